@@ -34,14 +34,26 @@ def with_located(
     ``pos`` is the 0-based character offset. With ``limit`` only the first
     ``limit`` matches are kept.
     """
-    raws, gaps = f"__{out}_raws", f"__{out}_gaps"
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    df = df.withColumn(raws, F.slice(found, 1, limit) if limit else found)
-    df = df.withColumn(
-        gaps,
-        F.when(F.size(raws) > 0, F.split(F.col(text), pattern, -1)).otherwise(F.array()),
+    return with_located_each(df, text, {out: pattern}, limit)
+
+
+def with_located_each(
+    df: DataFrame, text: str, patterns: dict[str, str], limit: int | None = None
+) -> DataFrame:
+    """:func:`with_located` for several patterns, as three projections in all."""
+    pieces = limit + 1 if limit else -1
+    raws, gaps = {}, {}
+    for out, pattern in patterns.items():
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        raws[f"__{out}_raws"] = F.slice(found, 1, limit) if limit else found
+        gaps[f"__{out}_gaps"] = F.when(
+            F.size(f"__{out}_raws") > 0, F.split(F.col(text), pattern, pieces)
+        ).otherwise(F.array())
+    located = df.withColumns(raws).withColumns(gaps)
+    return located.select(
+        *df.columns,
+        *[_offsets(F.col(f"__{o}_raws"), F.col(f"__{o}_gaps")).alias(o) for o in patterns],
     )
-    return df.withColumn(out, _offsets(F.col(raws), F.col(gaps))).drop(raws, gaps)
 
 
 def _offsets(raws: Column, gaps: Column) -> Column:
