@@ -13,7 +13,7 @@ UNITS = ("days", "months", "years")
 def dmy_to_iso(c: Column) -> Column:
     """DD-MM-YYYY text as ISO text; text that does not parse is kept."""
     text = c.cast("string")
-    parsed = F.try_to_date(text, F.lit("d-M-yyyy"))
+    parsed = F.try_to_date(text, "d-M-yyyy")
     return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), text)
 
 

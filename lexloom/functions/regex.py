@@ -20,6 +20,11 @@ def flagged(pattern: str, *, ignore_case=False, dotall=False, multiline=False) -
     return f"(?{flags}){pattern}"
 
 
+def sql_string(value: str) -> str:
+    """``value`` as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def quote(text: str) -> str:
     """``text`` as a literal inside a pattern."""
     special = set("\\.[]{}()*+-?^$|&#~ \t\n\r\v\f")
@@ -41,36 +46,31 @@ def with_located_each(
     df: DataFrame, text: str, patterns: dict[str, str], limit: int | None = None
 ) -> DataFrame:
     """:func:`with_located` for several patterns, as three projections in all."""
-    pieces = limit + 1 if limit else -1
-    raws, gaps = {}, {}
+    raws, gaps, located = [], [], []
     for out, pattern in patterns.items():
-        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-        raws[f"__{out}_raws"] = F.slice(found, 1, limit) if limit else found
-        gaps[f"__{out}_gaps"] = F.when(
-            F.size(f"__{out}_raws") > 0, F.split(F.col(text), pattern, pieces)
-        ).otherwise(F.array())
-    located = df.withColumns(raws).withColumns(gaps)
-    return located.select(
-        *df.columns,
-        *[_offsets(F.col(f"__{o}_raws"), F.col(f"__{o}_gaps")).alias(o) for o in patterns],
+        literal = sql_string(pattern)
+        found = f"regexp_extract_all({text}, {literal}, 0)"
+        found = f"slice({found}, 1, {limit})" if limit else found
+        raws.append(f"{found} AS __{out}_raws")
+        gaps.append(
+            f"CASE WHEN size(__{out}_raws) > 0 THEN split({text}, {literal}, {limit + 1 if limit else -1}) "
+            f"ELSE array() END AS __{out}_gaps"
+        )
+        located.append(f"{_offsets(f'__{out}_raws', f'__{out}_gaps')} AS {out}")
+    return (
+        df.selectExpr("*", *raws).selectExpr("*", *gaps).selectExpr(*df.columns, *located)
     )
 
 
-def _offsets(raws: Column, gaps: Column) -> Column:
-    step = F.zip_with(
-        raws,
-        F.slice(gaps, F.lit(1), F.size(raws)),
-        lambda raw, gap: F.length(gap) + F.length(raw),
+def _offsets(raws: str, gaps: str) -> str:
+    """Text before match i is gaps 0..i and matches 0..i-1."""
+    step = (
+        f"zip_with({raws}, slice({gaps}, 1, size({raws})), "
+        "(raw, gap) -> length(gap) + length(raw))"
     )
-    return F.transform(
-        raws,
-        lambda raw, i: F.struct(
-            (
-                F.aggregate(F.slice(step, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n)
-                - F.length(raw)
-            ).alias("pos"),
-            raw.alias("raw"),
-        ),
+    return (
+        f"transform({raws}, (raw, i) -> named_struct("
+        f"'pos', aggregate(slice({step}, 1, i + 1), 0, (a, n) -> a + n) - length(raw), 'raw', raw))"
     )
 
 

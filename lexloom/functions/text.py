@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lexloom.functions.regex import sql_string
 from lexloom.rules.citation_forms import PARTY_STOP_WORDS
 
 _SPACE = r"(?U)\s+"
@@ -37,6 +38,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
+def count_token(token_array: Column, token: str) -> Column:
+    """How often a token occurs in an array of tokens."""
+    return F.size(F.filter(token_array, lambda t: t == F.lit(token)))
+
+
 def tags_to_spaces(c: Column) -> Column:
     """Replace markup tags by spaces and collapse whitespace."""
     return squash(F.regexp_replace(c, r"<[^>]+>", " "))
@@ -98,7 +104,7 @@ def party_terms(title: Column) -> Column:
         F.coalesce(title, F.lit("")), r"(?U)^[A-Z]+/\d+/\d+\s+of\s+", ""
     )
     sides = F.slice(F.split(cleaned, r"(?Ui)\s+(?:versus|vs\.?|v\.?)\s+", -1), 1, 2)
-    stop = F.array(*[F.lit(w) for w in PARTY_STOP_WORDS])
+    stop = word_list(PARTY_STOP_WORDS)
     per_side = F.transform(
         sides,
         lambda side: F.slice(
@@ -123,10 +129,10 @@ def loose_date(c: Column) -> Column:
     """ISO date from the four formats court sites use; '' when none fits."""
     text = strip(c)
     parsed = F.coalesce(
-        F.try_to_date(text, F.lit("d/M/yyyy")),
-        F.try_to_date(text, F.lit("d-M-yyyy")),
-        F.try_to_date(text, F.lit("yyyy-M-d")),
-        F.try_to_date(text, F.lit("d-MMM-yyyy")),
+        F.try_to_date(text, "d/M/yyyy"),
+        F.try_to_date(text, "d-M-yyyy"),
+        F.try_to_date(text, "yyyy-M-d"),
+        F.try_to_date(text, "d-MMM-yyyy"),
     )
     return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), F.lit(""))
 
@@ -150,7 +156,12 @@ def contains_count(haystack: Column, needles: Column, weight: int = 1) -> Column
     )
 
 
-def lookup(table: dict, key: Column) -> Column:
+def word_list(values: list[str]) -> Column:
+    """A fixed list of strings as one array literal."""
+    return F.expr("array(" + ", ".join(sql_string(v) for v in values) + ")")
+
+
+def lookup(table: dict[str, str], key: Column) -> Column:
     """Value of ``key`` in a fixed table, NULL when absent."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"{sql_string(k)}, {sql_string(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)

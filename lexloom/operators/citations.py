@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.regex import with_located_each
-from lexloom.functions.text import citation_key, lookup, squash, strip, strip_chars, words
+from lexloom.functions.regex import sql_string, with_located_each
+from lexloom.functions.text import citation_key, lookup, squash, strip, strip_chars, word_list, words
 from lexloom.rules import citation_forms as forms
 
 CASE, STATUTE, CONSTITUTION = "case", "statute", "constitution"
@@ -34,14 +36,6 @@ def _pattern(pattern: str) -> str:
     return "(?Ud)" + pattern
 
 
-def _group(raw: Column, pattern: str, i: int) -> Column:
-    return F.regexp_extract(raw, _pattern(pattern), i)
-
-
-def _optional(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
-
-
 def _reporter_key(raw: Column) -> Column:
     return F.lower(squash(F.regexp_replace(raw, r"\.", "")))
 
@@ -61,7 +55,7 @@ def expand_statute(raw: Column) -> Column:
 def trim_lead_ins(name: Column) -> Column:
     """Drop narrative words before a party name, keeping two words and "In re"."""
     parts = words(name)
-    lead_ins = F.array(*[F.lit(w) for w in forms.CASE_NAME_LEAD_INS])
+    lead_ins = word_list(forms.CASE_NAME_LEAD_INS)
 
     def bare(word):
         return strip_chars(F.lower(word), ".,")
@@ -100,80 +94,60 @@ def nearest_case_name(window: Column) -> Column:
     )
 
 
-def _case_fields(family: int, pattern: str, raw: Column) -> dict[str, Column]:
-    def g(i):
-        return _group(raw, pattern, i)
-
-    empty = F.lit("")
-    if family in (1, 2):
-        reporter, year, volume, page = canonical_reporter(g(3)), g(1), _optional(g(2)), g(4)
-        if family == 1:
-            normalized = F.concat(
-                F.lit("("), year, F.lit(") "),
-                F.coalesce(F.concat(volume, F.lit(" ")), empty), reporter, F.lit(" "), page,
-            )
-        else:
-            normalized = F.concat(
-                year, F.lit(" ("), volume, F.lit(") "), reporter, F.lit(" "), page
-            )
-        known = lookup(forms.REPORTERS, _reporter_key(g(3))).isNotNull()
-    elif family in (3, 4):
-        year = g(1) if family == 3 else g(2)
-        reporter = canonical_reporter(g(2) if family == 3 else g(1))
-        volume, page = F.lit(None).cast("string"), g(4)
-        lead = [year, reporter] if family == 3 else [reporter, year]
-        normalized = F.concat_ws(" ", *lead, _optional(g(3)), page)
-        known = F.lit(True)
-    else:
-        year, court, page = g(1), F.upper(g(2)), g(3)
-        reporter, volume = F.concat(court, F.lit(" (neutral)")), F.lit(None).cast("string")
-        if family == 5:
-            normalized = F.concat_ws(":", year, court, page, _optional(g(4)))
-        else:
-            normalized = F.concat(year, court, page)
-        known = F.lit(True)
-    return {
-        "kind": F.lit(CASE),
-        "normalized": normalized,
-        "citation_key": citation_key(normalized),
-        "year": year.cast("int"),
-        "reporter": reporter,
-        "volume": volume,
-        "page": page,
-        "section": F.lit(None).cast("string"),
-        "statute": F.lit(None).cast("string"),
-        "known_reporter": known,
-    }
-
-
-def _statute_fields(family: int, pattern: str, raw: Column) -> dict[str, Column]:
-    def g(i):
-        return _group(raw, pattern, i)
-
-    kind = F.lit(STATUTE)
-    if family == 7:
-        section, statute = squash(g(1)), expand_statute(g(2))
-        normalized = F.concat(F.lit("Section "), section, F.lit(", "), statute)
-    elif family == 8:
-        section = F.concat(F.lit("Order "), g(1), F.lit(" Rule "), g(2))
-        statute = expand_statute(F.when(g(3) == "", F.lit("CPC")).otherwise(g(3)))
-        normalized = F.concat(section, F.lit(", "), statute)
-    else:
-        section, statute = squash(g(1)), F.lit("Constitution of India")
-        kind = F.lit(CONSTITUTION)
-        normalized = F.concat(F.lit("Article "), section, F.lit(", Constitution of India"))
-    return {
-        "kind": kind,
-        "normalized": normalized,
-        "citation_key": F.lower(normalized),
-        "year": F.lit(None).cast("int"),
-        "reporter": F.lit(None).cast("string"),
-        "volume": F.lit(None).cast("string"),
-        "page": F.lit(None).cast("string"),
-        "section": section,
-        "statute": statute,
-        "known_reporter": F.lit(None).cast("boolean"),
-    }
+def _with_groups(rows: DataFrame) -> DataFrame:
+    """Add g1 to g4: the groups of each match, by its family's pattern."""
+    groups = []
+    for i in (1, 2, 3, 4):
+        branches = " ".join(
+            f"WHEN {family} THEN nullif(regexp_extract(raw, {sql_string(_pattern(p))}, {i}), '')"
+            for family, p in _CASE_FAMILIES + _STATUTE_FAMILIES
+            if i <= re.compile(p).groups
+        )
+        groups.append(f"CASE family {branches} END AS g{i}")
+    return rows.selectExpr("*", *groups)
+
+
+def _with_parts(rows: DataFrame) -> DataFrame:
+    """Name the groups: which is the year, the reporter and so on, by family."""
+    family = F.col("family")
+    order_and_rule = F.concat(F.lit("Order "), F.col("g1"), F.lit(" Rule "), F.col("g2"))
+    named = rows.select(
+        *[c for c in rows.columns if not c.startswith("g")],
+        F.when(family == 4, F.col("g2")).when(family <= 6, F.col("g1")).alias("year"),
+        F.when(family <= 2, F.col("g3")).when(family == 3, F.col("g2"))
+        .when(family == 4, F.col("g1")).alias("written"),
+        F.when(family.isin(5, 6), F.upper("g2")).when(family.isin(3, 4), F.col("g3")).alias("court"),
+        F.when(family <= 2, F.col("g2")).alias("volume"),
+        F.when(family <= 4, F.col("g4")).when(family <= 6, F.col("g3")).alias("page"),
+        F.when(family == 5, F.col("g4")).alias("suffix"),
+        F.when(family == 8, order_and_rule).when(family.isin(7, 9), squash(F.col("g1"))).alias("section"),
+        F.when(family == 7, expand_statute(F.col("g2")))
+        .when(family == 8, expand_statute(F.coalesce("g3", F.lit("CPC"))))
+        .when(family == 9, "Constitution of India").alias("statute"),
+    )
+    return named.withColumn(
+        "reporter",
+        F.when(family.isin(5, 6), F.concat("court", F.lit(" (neutral)")))
+        .when(family <= 4, canonical_reporter(F.col("written"))),
+    )
+
+
+def _normalized() -> Column:
+    family, gap = F.col("family"), F.lit(" ")
+    return (
+        F.when(
+            family == 1,
+            F.concat_ws(" ", F.concat(F.lit("("), "year", F.lit(")")), "volume", "reporter", "page"),
+        )
+        .when(family == 2, F.concat("year", F.lit(" ("), "volume", F.lit(") "), "reporter", gap, "page"))
+        .when(family == 3, F.concat_ws(" ", "year", "reporter", "court", "page"))
+        .when(family == 4, F.concat_ws(" ", "reporter", "year", "court", "page"))
+        .when(family == 5, F.concat_ws(":", "year", "court", "page", "suffix"))
+        .when(family == 6, F.concat("year", "court", "page"))
+        .when(family == 7, F.concat(F.lit("Section "), "section", F.lit(", "), "statute"))
+        .when(family == 8, F.concat("section", F.lit(", "), "statute"))
+        .otherwise(F.concat(F.lit("Article "), "section", F.lit(", "), "statute"))
+    )
 
 
 def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -184,37 +158,35 @@ def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
         {f"m{family}": _pattern(p) for family, p in _CASE_FAMILIES + _STATUTE_FAMILIES},
     )
 
-    def tagged(family: int, is_case: bool) -> Column:
-        def one(m):
-            start = F.greatest(m["pos"] - forms.CASE_NAME_WINDOW, F.lit(0))
-            before = F.substring(F.col("__text"), start + 1, m["pos"] - start)
-            return F.struct(
-                F.lit(family).alias("family"),
-                m["pos"].alias("position"),
-                strip(m["raw"]).alias("raw"),
-                (before if is_case else F.lit(None).cast("string")).alias("before"),
-            )
-
-        return F.transform(F.col(f"m{family}"), one)
-
-    every = F.concat(
-        *[tagged(f, True) for f, _ in _CASE_FAMILIES],
-        *[tagged(f, False) for f, _ in _STATUTE_FAMILIES],
+    tagged = ", ".join(
+        f"transform(m{family}, m -> named_struct('family', {family}, 'm', m))"
+        for family, _ in _CASE_FAMILIES + _STATUTE_FAMILIES
+    )
+    start = f"greatest(m.pos - {forms.CASE_NAME_WINDOW}, 0)"
+    rows = located.selectExpr(key, "__text", f"inline(concat({tagged}))").selectExpr(
+        key, "family", "m.pos AS position", "m.raw AS raw",
+        f"CASE WHEN family <= 6 THEN substring(__text, {start} + 1, m.pos - {start}) END AS before",
+    ).withColumn("raw", strip(F.col("raw")))
+
+    # One row per match from here on.
+    parts = _with_parts(_with_groups(rows)).withColumn("normalized", _normalized())
+    is_case = F.col("family") <= 6
+    return parts.select(
+        key,
+        F.when(is_case, CASE).when(F.col("family") == 9, CONSTITUTION).otherwise(STATUTE).alias("kind"),
+        "family", "position", "raw", "normalized",
+        F.when(is_case, citation_key(F.col("normalized")))
+        .otherwise(F.lower("normalized")).alias("citation_key"),
+        F.col("year").cast("int").alias("year"),
+        "reporter", "volume", "page",
+        nearest_case_name(F.col("before")).alias("case_name"),
+        "section", "statute",
+        F.when(
+            is_case,
+            F.col("family").isin(3, 4, 5, 6)
+            | lookup(forms.REPORTERS, _reporter_key(F.col("written"))).isNotNull(),
+        ).alias("known_reporter"),
     )
-    rows = located.select(key, F.explode(every).alias("m")).select(key, "m.*")
-
-    # One row per match from here on: each family fills the same columns.
-    fields: dict[str, Column] = {}
-    makers = [(f, p, _case_fields) for f, p in _CASE_FAMILIES]
-    makers += [(f, p, _statute_fields) for f, p in _STATUTE_FAMILIES]
-    for family, pattern, make in makers:
-        for name, value in make(family, pattern, F.col("raw")).items():
-            is_family = F.col("family") == family
-            fields[name] = (
-                fields[name].when(is_family, value) if name in fields else F.when(is_family, value)
-            )
-    filled = rows.withColumns(fields).withColumn("case_name", nearest_case_name(F.col("before")))
-    return filled.select(key, *FIELDS)
 
 
 def extract(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.errors import InvalidRequest, SourceUnavailable
-from lexloom.functions.text import lookup, strip
+from lexloom.functions.text import lookup, strip, word_list
 from lexloom.operators.corpus import ALL_COURTS
 from lexloom.rules.courts import (
     COURT_ALIASES,
@@ -23,7 +23,7 @@ _SHORTEST_CONTAINED = 4
 def court_code(name: Column) -> Column:
     """Code of a court name: alias, code, then first alias contained; else NULL."""
     key = F.lower(strip(name))
-    codes = F.array(*[F.lit(c) for c in [*HIGH_COURTS, SUPREME_COURT]])
+    codes = word_list([*HIGH_COURTS, SUPREME_COURT])
     contained = F.lit(None).cast("string")
     for alias, code in reversed(COURT_ALIASES.items()):
         if len(alias) >= _SHORTEST_CONTAINED:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.errors import InvalidRequest
 from lexloom.functions.regex import around, flagged, quote, with_located
-from lexloom.functions.text import strip, tokens
+from lexloom.functions.text import count_token, strip, tokens
 from lexloom.functions.vectors import cosine
 from lexloom.operators.matters import clamp
 from lexloom.operators.ranking import query_terms
@@ -176,7 +176,7 @@ def text_leg(chunks: DataFrame, key: str, text: str, query: str, k: int, score:
         raise InvalidRequest("query must not be blank")
     held = chunks.withColumn("__t", tokens(F.col(text)))
     for i, term in enumerate(terms):
-        held = held.withColumn(f"__n{i}", F.size(F.filter("__t", lambda t, term=term: t == term)))
+        held = held.withColumn(f"__n{i}", count_token(F.col("__t"), term))
     every = F.least(*[F.col(f"__n{i}") for i in range(len(terms))], F.lit(2**31 - 1)) > 0
     frequency = sum((F.col(f"__n{i}") for i in range(1, len(terms))), F.col("__n0"))
     ranked = held.where(every).select(

@@ -58,11 +58,11 @@ def positions(claims: DataFrame, calendar: DataFrame | None = None) -> DataFrame
     )
     # A fixed table of 31 rows: broadcasting it is always safe.
     ruled = ready.join(F.broadcast(rule_table(claims.sparkSession)), "rule_key", "left")
-    value = F.when(
+    value = F.col("period_value")
+    unit = F.when(
         F.col("authority").isNull(),
-        F.raise_error(F.concat(F.lit("unknown limitation rule: "), F.col("rule_key"))).cast("int"),
-    ).otherwise(F.col("period_value"))
-    unit = F.col("period_unit")
+        F.raise_error(F.concat(F.lit("unknown limitation rule: "), F.col("rule_key"))).cast("string"),
+    ).otherwise(F.col("period_unit"))
     first = F.date_add("start_date", 1)
     provisional = last_day_of_period(first, value, unit)
     in_time = F.coalesce(F.col("__ack") <= F.col("provisional_expiry"), F.lit(False))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import tokens
+from lexloom.functions.text import count_token, tokens
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -40,28 +40,26 @@ def rank_query(
     query: str,
     text_columns: list[str],
     score: str = "score",
-    candidates: Column | None = None,
+    keep_unscored: bool = False,
 ) -> DataFrame:
-    """Add the BM25 score of each row for one query; rows without a hit are left out.
+    """Add the BM25 score of each row for one query.
 
     Two scans and no shuffle of rows: the first collapses the table to one row of
-    statistics, the second scores each row by itself. Statistics cover the whole
-    table; ``candidates`` restricts which rows are returned.
+    statistics, the second scores each row by itself. Rows without a hit are left
+    out, or get score zero with ``keep_unscored``.
     """
     terms = query_terms(query)
     parts = df.withColumn("__tokens", tokens(_text(text_columns)))
     parts = parts.withColumn("__len", F.size("__tokens").cast("double"))
     counts = {}
     for i, term in enumerate(terms):
-        counts[f"__tf{i}"] = F.size(F.filter("__tokens", lambda t, term=term: t == term))
+        counts[f"__tf{i}"] = count_token(F.col("__tokens"), term)
     parts = parts.withColumns(counts) if counts else parts
     stats = parts.agg(
         F.count("*").cast("double").alias("__n"),
         F.avg("__len").alias("__mean"),
         *[F.count_if(F.col(c) > 0).cast("double").alias(f"{c}_df") for c in counts],
     )
-    if candidates is not None:
-        parts = parts.where(candidates)
     one = stats.select(F.struct("*").alias("s")).scalar()  # a scalar subquery of one row
     total = F.lit(0.0)
     for c in counts:
@@ -69,7 +67,8 @@ def rank_query(
             one["__n"], one[f"{c}_df"], F.col(c).cast("double"), F.col("__len"), one["__mean"]
         )
     hit = F.greatest(*[F.col(c) for c in counts], F.lit(0), F.lit(0)) > 0
-    return parts.where(hit).select(*df.columns, total.alias(score))
+    kept = parts if keep_unscored else parts.where(hit)
+    return kept.select(*df.columns, total.alias(score))
 
 
 @dataclass(frozen=True)
@@ -102,7 +101,7 @@ def build_index(df: DataFrame, key: str, text_columns: list[str]) -> PostingsInd
     return PostingsIndex(postings, terms, stats)
 
 
-def write_index(index: PostingsIndex, folder: str, built_from: Column | None = None) -> None:
+def write_index(index: PostingsIndex, folder: str) -> None:
     """Store an index; term buckets become partitions that a query prunes by."""
     share = F.pmod(F.xxhash64("key"), F.lit(BUCKET_SHARES))
     (

@@ -63,18 +63,12 @@ def clause_hits(df: DataFrame, key: str, text: str) -> DataFrame:
     located = with_located_each(df.select(key, text), text, names, CLAUSE_MAX_HITS)
     per_type = []
     for i, (clause, _, _, patterns) in enumerate(CLAUSE_TYPES):
-        hits = F.slice(
-            F.concat(*[F.col(f"p{i}_{j}") for j in range(len(patterns))]), 1, CLAUSE_MAX_HITS
-        )
+        every = ", ".join(f"p{i}_{j}" for j in range(len(patterns)))
         per_type.append(
-            F.transform(
-                hits,
-                lambda m, n, clause=clause: F.struct(
-                    F.lit(clause).alias("clause"), (n + 1).alias("hit"), m.alias("m")
-                ),
-            )
+            f"transform(slice(concat({every}), 1, {CLAUSE_MAX_HITS}), "
+            f"(m, n) -> named_struct('clause', '{clause}', 'hit', n + 1, 'm', m))"
         )
-    rows = located.select(key, text, F.inline(F.concat(*per_type)))
+    rows = located.selectExpr(key, text, f"inline(concat({', '.join(per_type)}))")
     end = F.col("m.pos") + F.length("m.raw")
     return rows.select(
         key, "clause", "hit", F.col("m.pos").alias("position"),

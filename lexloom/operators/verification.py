@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import lookup, party_terms, section_key
+from lexloom.functions.text import party_terms, section_key
 from lexloom.operators.citations import CASE
 from lexloom.operators.corpus import doc_id
 from lexloom.operators.ordering import top_per_group
@@ -22,7 +22,10 @@ CANDIDATES = 10
 
 def confidence(verdict: Column) -> Column:
     """Confidence of a verdict."""
-    return F.coalesce(lookup(VERDICT_CONFIDENCE, verdict), F.lit(0.0))
+    result = F.lit(0.0)
+    for name, value in VERDICT_CONFIDENCE.items():
+        result = F.when(verdict == name, value).otherwise(result)
+    return result
 
 
 def exact_matches(citations: DataFrame, corpus: DataFrame) -> DataFrame:

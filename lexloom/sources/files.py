@@ -7,6 +7,7 @@ import io
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.errors import SourceUnavailable
 
@@ -53,7 +54,16 @@ def _plain(content: bytes) -> tuple[str, int | None]:
 _READERS = {"pdf": _pdf, "docx": _docx, "txt": _plain, "md": _plain}
 
 
-@F.pandas_udf("text string, page_count int, problem string")
+_EXTRACTED = T.StructType(
+    [
+        T.StructField("text", T.StringType()),
+        T.StructField("page_count", T.IntegerType()),
+        T.StructField("problem", T.StringType()),
+    ]
+)
+
+
+@F.pandas_udf(_EXTRACTED)
 def _extract(path: pd.Series, content: pd.Series) -> pd.DataFrame:
     def one(name, data):
         reader = _READERS.get(name.rsplit(".", 1)[-1].lower())

@@ -21,8 +21,8 @@ from lexloom.sources.files import any_file, read_binary
 _LAYOUTS = {
     "sc": ("sc/metadata", "year=*/metadata.parquet", schemas.SUPREME_COURT),
     "hc": ("hc/metadata", "year=*/court=*/bench=*/metadata.parquet", schemas.HIGH_COURT),
-    "historical": ("historical", "*/metadata.parquet", schemas.HARVESTED),
-    "recent": ("recent", "*/metadata.parquet", schemas.HARVESTED),
+    "historical": ("historical", "*", schemas.HARVESTED),
+    "recent": ("recent", "*", schemas.HARVESTED),
 }
 
 
@@ -50,7 +50,9 @@ class CaseLawLake:
             return reader.option("basePath", f"{self.root}/{base}").option(
                 "pathGlobFilter", "metadata.parquet"
             ).parquet(f"{self.root}/{base}")
-        return reader.parquet(f"{self.root}/{base}/{glob}")
+        return reader.option("recursiveFileLookup", "true").option(
+            "pathGlobFilter", "*.parquet"
+        ).parquet(f"{self.root}/{base}")
 
     def sources(self) -> dict[str, DataFrame]:
         """Every layout that exists."""
@@ -100,22 +102,17 @@ def write_historical(rows: DataFrame, root: str, name: str) -> None:
 def write_recent(rows: DataFrame, root: str) -> None:
     """Write recent rows, one folder per court, in a single job.
 
-    The court stays a column of the files as well, as the layout expects.
+    The rows of a court are spread over several files, so that one busy court does
+    not keep one task waiting.
     """
     spread = F.pmod(F.xxhash64("pdf_link"), F.lit(8))
     (
         rows.select(*_columns(schemas.HARVESTED))
         .withColumn("folder", F.col("court"))
         .repartition("folder", spread)
-        .write.mode("overwrite").partitionBy("folder")
-        .parquet(f"{root}/recent-by-court")
+        .write.mode("overwrite").partitionBy("folder").parquet(f"{root}/recent")
     )
 
 
-def read_recent(spark: SparkSession, root: str) -> DataFrame:
-    """Recent rows as written by :func:`write_recent`."""
-    return spark.read.schema(schemas.HARVESTED).parquet(f"{root}/recent-by-court")
-
-
 def _columns(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
