@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import party_terms
 from lexloom.operators.ordering import top_per_group
 from lexloom.operators.terms import match_all_terms
+from lexloom.session import durable
 
 
 def related_proceedings(seeds: DataFrame, texts: DataFrame, limit: int = 20) -> DataFrame:
@@ -23,23 +24,18 @@ def related_proceedings(seeds: DataFrame, texts: DataFrame, limit: int = 20) ->
             F.array_distinct(F.transform(party_terms(F.col("title")), F.lower))
         ).alias("terms"),
     ).withColumn("query_id", F.array_join("terms", " "))
-    sets = named.select("query_id", "terms").distinct()
-    pairs = match_all_terms(sets, texts, "doc_id", "body")
-    dated = pairs.join(texts.select("doc_id", "decided"), "doc_id")
+    sets = durable(named.select("query_id", "terms").distinct())
+    dated = match_all_terms(sets, texts.select("doc_id", "body", "decided"), "doc_id", "body")
     order = [F.col("decided").desc_nulls_last(), F.col("doc_id")]
-    best = top_per_group(dated, ["query_id"], order, limit + 1, "place")
-    # Each seed meets at most limit + 1 rows; its own place shifts the later ones.
-    met = named.select("seed_id", "query_id").join(best, "query_id")
-    own = met.where(F.col("seed_id") == F.col("doc_id")).select(
-        "seed_id", F.col("place").alias("own")
+    best = top_per_group(
+        dated.select("query_id", "doc_id", "decided"), ["query_id"], order, limit + 1, "place"
     )
-    return (
-        met.where(F.col("seed_id") != F.col("doc_id"))
-        .join(own, "seed_id", "left")
-        .withColumn(
-            "rank",
-            F.col("place") - F.when(F.col("place") > F.col("own"), 1).otherwise(0),
-        )
-        .where(F.col("rank") <= limit)
-        .select("seed_id", "doc_id", "rank")
+    # At most limit + 1 places per set; each seed takes them without its own.
+    places = best.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("place", "doc_id"))).alias("places")
     )
+    met = named.select("seed_id", "query_id").join(places, "query_id")
+    others = F.filter("places", lambda p: p["doc_id"] != F.col("seed_id"))
+    return met.select(
+        "seed_id", F.posexplode(F.slice(others, 1, limit)).alias("i", "p")
+    ).select("seed_id", F.col("p.doc_id").alias("doc_id"), (F.col("i") + 1).alias("rank"))

@@ -12,6 +12,7 @@ from lexloom.errors import InvalidRequest
 from lexloom.functions.text import act_key, concordance_key, contains_count, section_key
 from lexloom.rules import concordance
 from lexloom.rules.drafts import SNIPPET_CHARS
+from lexloom.session import durable
 
 AUTHENTIC = "authentic"
 SUMMARY_CAVEAT = "This is a summary, not the words of the statute; read the official text."
@@ -70,15 +71,15 @@ def resolve_acts(names: DataFrame, aliases: DataFrame) -> DataFrame:
     (first alias in table order); at least 88 % similar (best, then first). Each
     stage is an equi-join: on the key, on short substrings, on pieces.
     """
-    keyed = (
+    keyed = durable(
         names.select("name").distinct()
         .withColumn("key", act_key(F.col("name")))
         .where("key <> ''")
     )
     keys = keyed.select("key").distinct()
-    table = aliases.select("alias", "slug", "ordinal").where("alias <> ''")
+    table = durable(aliases.select("alias", "slug", "ordinal").where("alias <> ''"))
 
-    exact = keys.join(table, keys.key == table.alias).select(
+    exact = keys.join(table, F.col("key") == F.col("alias")).select(
         "key", "slug", F.lit(_EXACT).alias("stage"), F.lit(0.0).alias("loss"), "ordinal"
     )
     rest = keys.join(exact.select("key"), "key", "left_anti")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import durable
+
 GRAM = 4
 
 
@@ -22,7 +24,7 @@ def _letter_runs(text: Column) -> Column:
 def match_all_terms(
     queries: DataFrame, texts: DataFrame, text_key: str, text: str
 ) -> DataFrame:
-    """(query_id, ``text_key``) pairs where every term occurs in the text.
+    """``query_id`` and the columns of ``texts`` where every term occurs in the text.
 
     ``queries`` has ``query_id`` and ``terms`` (array of ASCII-letter words of at
     least four letters). Callers should pass distinct term sets. Queries without
@@ -48,7 +50,8 @@ def match_all_terms(
         ),
     )
     terms = asked.select(F.explode("terms").alias("term")).distinct()
-    inside = (
+    # Terms with the words that contain them: small, and needed twice.
+    inside = durable(
         terms.withColumn("gram", F.substring("term", 1, GRAM))
         .join(grams, "gram")
         .where(F.contains("word", "term"))
@@ -73,9 +76,9 @@ def match_all_terms(
         .select("query_id", "terms", "__key")
         .distinct()
     )
-    bodies = texts.select(F.col(text_key).alias("__key"), F.lower(F.col(text)).alias("__body"))
     return (
-        found.join(bodies, "__key")
-        .where(F.forall("terms", lambda t: F.contains(F.col("__body"), t)))
-        .select("query_id", F.col("__key").alias(text_key))
+        found.withColumnRenamed("__key", text_key)
+        .join(texts, text_key)
+        .where(F.forall("terms", lambda t: F.contains(F.lower(F.col(text)), t)))
+        .select("query_id", *texts.columns)
     )

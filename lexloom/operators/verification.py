@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.dates import iso_date
 from lexloom.functions.text import party_terms, section_key
 from lexloom.operators.citations import CASE
 from lexloom.operators.corpus import doc_id
 from lexloom.operators.ordering import top_per_group
-from lexloom.operators.search import newest_first, with_citation_keys
+from lexloom.operators.search import with_citation_keys
 from lexloom.operators.statutes import resolve_acts
 from lexloom.operators.terms import match_all_terms
 from lexloom.rules.citation_forms import VERDICT_CONFIDENCE
+from lexloom.session import durable
 
 VERIFIED, NOT_FOUND, AMBIGUOUS, UNCHECKED = "VERIFIED", "NOT_FOUND", "AMBIGUOUS", "UNCHECKED"
 
@@ -46,10 +48,9 @@ def title_candidates(names: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -
 
     ``names`` has ``case_name``. Each distinct set of terms is looked up once.
     """
-    sets = names.select("case_name").distinct().withColumn("terms", party_terms(F.col("case_name")))
-    queries = (
-        sets.select(F.array_sort(F.array_distinct(F.transform("terms", F.lower))).alias("terms"))
-        .distinct()
+    terms = F.array_sort(F.array_distinct(F.transform(party_terms(F.col("case_name")), F.lower)))
+    sets = durable(
+        names.select("case_name").distinct().withColumn("terms", terms)
         .withColumn("query_id", F.array_join("terms", " "))
     )
     keyed = corpus.select(
@@ -58,31 +59,16 @@ def title_candidates(names: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -
         F.lower(F.coalesce("title", F.lit(""))).alias("title"),
         F.lower(F.coalesce("citation", F.lit(""))).alias("citation"),
         F.lower(F.coalesce("neutral_citation", F.lit(""))).alias("neutral"),
-        newest_first_key().alias("decided"),
-    )
-    pairs = match_all_terms(queries, keyed, "doc_id", "body")
-    dated = pairs.join(keyed.select("doc_id", "decided"), "doc_id")
-    best = top_per_group(
-        dated, ["query_id"], [F.col("decided").desc_nulls_last(), F.col("doc_id")], k, "rank"
-    )
-    fields = keyed.select("doc_id", "title", "citation", "neutral")
-    return (
-        sets.withColumn(
-            "query_id",
-            F.array_join(F.array_sort(F.array_distinct(F.transform("terms", F.lower))), " "),
-        )
-        .select("case_name", "query_id")
-        .join(best, "query_id")
-        .join(fields, "doc_id")
-        .select("case_name", "doc_id", "rank", "title", "citation", "neutral")
+        iso_date(F.col("decision_date")).alias("decided"),
+    )
+    matched = match_all_terms(
+        sets.select("query_id", "terms").distinct(), keyed, "doc_id", "body"
+    ).drop("body")
+    order = [F.col("decided").desc_nulls_last(), F.col("doc_id")]
+    best = top_per_group(matched, ["query_id"], order, k, "rank")
+    return sets.select("case_name", "query_id").join(best, "query_id").select(
+        "case_name", "doc_id", "rank", "title", "citation", "neutral"
     )
-
-
-def newest_first_key() -> Column:
-    """Decision date used to order candidates."""
-    from lexloom.functions.dates import iso_date
-
-    return iso_date(F.col("decision_date"))
 
 
 def verify_cases(citations: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -93,12 +79,12 @@ def verify_cases(citations: DataFrame, corpus: DataFrame) -> DataFrame:
     shows the citation in its title or citation fields means VERIFIED; anything
     else is AMBIGUOUS.
     """
-    asked = (
+    asked = durable(
         citations.where(F.col("kind") == CASE)
         .select("citation_key", "normalized", "case_name")
         .distinct()
     )
-    exact = asked.join(exact_matches(asked, corpus), "citation_key")
+    exact = durable(asked.join(exact_matches(asked, corpus), "citation_key"))
     # Keys the corpus lacks go on to the fallback; the others are settled here.
     settled = exact.where("exact > 0").select(
         "citation_key", "normalized", "case_name",
@@ -151,7 +137,9 @@ def verify_statutes(citations: DataFrame, acts: DataFrame, sections: DataFrame,
     is held in full; in a partial Act, and for "Order x Rule y" (which the
     section numbers do not index), it is UNCHECKED.
     """
-    asked = citations.where(F.col("kind") != CASE).select("statute", "section").distinct()
+    asked = durable(
+        citations.where(F.col("kind") != CASE).select("statute", "section").distinct()
+    )
     resolved = resolve_acts(asked.select(F.col("statute").alias("name")), aliases)
     held = sections.select(
         "slug", section_key(F.col("number")).alias("section_key"), F.col("number").alias("match")
@@ -225,7 +213,7 @@ def sweep(
 
     Each distinct citation is verified once, however many texts cite it.
     """
-    marked = within_budget(citations, key, budget)
+    marked = durable(within_budget(citations, key, budget))
     cases = verify_cases(marked.where("checked"), corpus)
     statutes = verify_statutes(marked, acts, sections, aliases)
     case_rows = marked.where(F.col("kind") == CASE)

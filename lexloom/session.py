@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,10 +56,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so later reads see one result."""
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Used where a result feeds several branches of a plan, or where rows must not
+    move between two reads. The plan starts afresh from the table, whose measured
+    size the optimizer then knows, and an executor can be lost without losing it.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    folder = shared_folder(spark)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
