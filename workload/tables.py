@@ -155,6 +155,9 @@ _PLACE = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 class Tables:
     """Base and derived tables of one data folder as DataFrames."""
 
+    #: SQL of further records, by name.
+    texts: dict[str, str] = {}
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._made: dict[str, DataFrame] = {}
@@ -164,13 +167,15 @@ class Tables:
             if name in BASE:
                 self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
-                self._made[name] = self.sql(DERIVED[name])
+                self._made[name] = self.sql({**DERIVED, **self.texts}[name])
         return self._made[name]
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL whose ``{name}`` placeholders are tables."""
         used = {name: self[name] for name in set(_PLACE.findall(text))}
-        return self.spark.sql(_PLACE.sub(r"{\1}", text.replace("{{ ", "{{{{ ").replace(" }}", " }}}}")), **used)
+        for name, df in used.items():
+            df.createOrReplaceTempView(f"lexloom_{name}")
+        return self.spark.sql(_PLACE.sub(r"lexloom_\1", text))
 
     def corpus_sources(self) -> dict[str, DataFrame]:
         """The four raw case-law sources."""
