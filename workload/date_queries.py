@@ -46,7 +46,7 @@ FROM {orders}""",
     "notices": """
 SELECT DISTINCT 'Court ' || CAST(o_custkey % 20 AS STRING) AS court, CAST(year(o_orderdate) AS INT) AS year,
   CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, 'Vacation ' || CAST(month(o_orderdate) AS STRING) AS occasion
-FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0""",
+FROM {orders} WHERE o_orderpriority = '1-URGENT'""",
     "calendar_documents": """
 SELECT court, '{"' || court || '": {"' || CAST(year AS STRING) || '": [{"date": "' || day || '", "occasion": "' || occasion || '"}, {"date": "not a day"}], "soon": []}}' AS body
 FROM {notices}""",
