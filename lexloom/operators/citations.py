@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.regex import sql_string, with_located_each
 from lexloom.functions.text import citation_key, lookup, squash, strip, strip_chars, word_list, words
 from lexloom.rules import citation_forms as forms
+from lexloom.session import spread
 
 CASE, STATUTE, CONSTITUTION = "case", "statute", "constitution"
 
@@ -74,37 +75,46 @@ def trim_lead_ins(name: Column) -> Column:
     return F.array_join(F.slice(parts, drop + 1, F.greatest(F.size(parts), F.lit(1))), " ")
 
 
-def _last(items: Column) -> Column:
-    return F.element_at(items, -1)
+# Marks around what a pattern found; they do not occur in prose.
+_OPEN, _BETWEEN, _CLOSE = "\u0001", "\u0002", "\u0003"
 
 
-def nearest_case_name(window: Column) -> Column:
-    """Case name that ends within 30 characters of the end of ``window``."""
-    pattern = "(?Uid)" + forms.CASE_NAME[4:]
+def with_case_name(rows: DataFrame, window: str, out: str) -> DataFrame:
+    """Add ``out``: the case name that ends at most 30 characters before the end of ``window``.
 
-    def all_of(group):
-        return F.regexp_extract_all(window, F.lit(pattern), F.lit(group))
-
-    tail = F.length(_last(F.split(window, pattern, -1)))
-    name = squash(
-        F.concat(trim_lead_ins(_last(all_of(1))), F.lit(" v. "), _last(all_of(2)))
+    One replacement marks every name, the text after the last mark is the gap.
+    Only windows with a "v." between blanks are searched.
+    """
+    versus = sql_string(r"(?Uid)\s(?:v\.?|vs\.?|versus)\s")
+    marked = rows.selectExpr(
+        "*",
+        f"CASE WHEN {window} RLIKE {versus} THEN regexp_replace({window}, "
+        f"{sql_string(_pattern(forms.CASE_NAME))}, '{_OPEN}$1{_BETWEEN}$2{_CLOSE}') END AS __marked",
     )
-    return F.when(
-        (F.size(all_of(0)) > 0) & (tail <= forms.CASE_NAME_GAP), name
+    gap = F.substring_index("__marked", _CLOSE, -1)
+    pair = F.substring_index(F.substring_index("__marked", _OPEN, -1), _CLOSE, 1)
+    name = squash(
+        F.concat(
+            trim_lead_ins(F.substring_index(pair, _BETWEEN, 1)), F.lit(" v. "),
+            F.substring_index(pair, _BETWEEN, -1),
+        )
     )
+    near = F.contains("__marked", F.lit(_CLOSE)) & (F.length(gap) <= forms.CASE_NAME_GAP)
+    return marked.withColumn(out, F.when(near, name)).drop("__marked")
 
 
 def _with_groups(rows: DataFrame) -> DataFrame:
     """Add g1 to g4: the groups of each match, by its family's pattern."""
-    groups = []
-    for i in (1, 2, 3, 4):
-        branches = " ".join(
-            f"WHEN {family} THEN nullif(regexp_extract(raw, {sql_string(_pattern(p))}, {i}), '')"
-            for family, p in _CASE_FAMILIES + _STATUTE_FAMILIES
-            if i <= re.compile(p).groups
+    branches = []
+    for family, pattern in _CASE_FAMILIES + _STATUTE_FAMILIES:
+        groups = _BETWEEN.join(f"${i + 1}" for i in range(re.compile(pattern).groups))
+        branches.append(
+            f"WHEN {family} THEN regexp_replace(raw, {sql_string(_pattern(pattern))}, '{groups}')"
         )
-        groups.append(f"CASE family {branches} END AS g{i}")
-    return rows.selectExpr("*", *groups)
+    marked = rows.selectExpr("*", f"CASE family {' '.join(branches)} END AS __groups")
+    return marked.selectExpr(
+        "*", *[f"nullif(split_part(__groups, '{_BETWEEN}', {i}), '') AS g{i}" for i in (1, 2, 3, 4)]
+    ).drop("__groups")
 
 
 def _with_parts(rows: DataFrame) -> DataFrame:
@@ -153,7 +163,7 @@ def _normalized() -> Column:
 def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
     """Every match of every family: ``key`` and the citation fields, repeats included."""
     located = with_located_each(
-        df.select(F.col(key), F.col(text).alias("__text")),
+        spread(df.select(F.col(key), F.col(text).alias("__text"))),
         "__text",
         {f"m{family}": _pattern(p) for family, p in _CASE_FAMILIES + _STATUTE_FAMILIES},
     )
@@ -169,7 +179,8 @@ def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
     ).withColumn("raw", strip(F.col("raw")))
 
     # One row per match from here on.
-    parts = _with_parts(_with_groups(rows)).withColumn("normalized", _normalized())
+    named = with_case_name(rows, "before", "case_name").drop("before")
+    parts = _with_parts(_with_groups(named)).withColumn("normalized", _normalized())
     is_case = F.col("family") <= 6
     return parts.select(
         key,
@@ -179,8 +190,7 @@ def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
         .otherwise(F.lower("normalized")).alias("citation_key"),
         F.col("year").cast("int").alias("year"),
         "reporter", "volume", "page",
-        nearest_case_name(F.col("before")).alias("case_name"),
-        "section", "statute",
+        "case_name", "section", "statute",
         F.when(
             is_case,
             F.col("family").isin(3, 4, 5, 6)

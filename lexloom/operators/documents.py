@@ -14,6 +14,7 @@ from lexloom.functions.vectors import cosine
 from lexloom.operators.matters import clamp
 from lexloom.operators.ranking import query_terms
 from lexloom.rules import drafts
+from lexloom.session import spread
 
 _MARK = "\u0001"
 
@@ -138,7 +139,7 @@ def passages(df: DataFrame, key: str, text: str, query: str, limit: int = drafts
     if not terms:
         raise InvalidRequest("query must not be blank")
     pattern = flagged("(?:" + "|".join(quote(t) for t in terms) + ")", ignore_case=True)
-    located = with_located(df.select(key, text), text, pattern, "m", limit)
+    located = with_located(spread(df.select(key, text)), text, pattern, "m", limit)
     exploded = located.select(key, text, F.explode("m").alias("m"))
     end = F.col("m.pos") + F.length("m.raw")
     return exploded.select(

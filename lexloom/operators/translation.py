@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.regex import flagged, quote
 from lexloom.rules.phrases import DEFAULT_LANGUAGE, LANGUAGES, PHRASES
+from lexloom.session import spread
 
 _FACT = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 
@@ -56,15 +57,20 @@ def translate(df: DataFrame, text: str, language: str, out: str = "translated")
     Phrases are replaced one after another, in table order, ignoring case. The
     English phrase is what is looked for, whatever the draft's own language.
     """
-    df = df.withColumn(out, F.col(text)).withColumn("sentences_translated", F.lit(0))
+    df = spread(df).withColumn(out, F.col(text)).withColumn("sentences_translated", F.lit(0))
     for english, target in phrases_for(language):
         pattern, names = phrase_pattern(english)
         regex = flagged(pattern, ignore_case=True)
+        # Most phrases are absent; their longest fixed part is looked for first.
+        fixed = max(_FACT.split(english)[::2], key=len).lower()
+        present = F.contains(F.lower(F.col(out)), F.lit(fixed))
         df = df.withColumns(
             {
                 "sentences_translated": F.col("sentences_translated")
-                + F.regexp_count(F.col(out), F.lit(regex)),
-                out: F.regexp_replace(F.col(out), regex, phrase_replacement(target, names)),
+                + F.when(present, F.regexp_count(F.col(out), F.lit(regex))).otherwise(0),
+                out: F.when(
+                    present, F.regexp_replace(F.col(out), regex, phrase_replacement(target, names))
+                ).otherwise(F.col(out)),
             }
         )
     return df

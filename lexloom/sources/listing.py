@@ -9,22 +9,22 @@ from lexloom.errors import InvalidRequest
 from lexloom.operators.corpus import court_label
 from lexloom.rules.courts import SUPREME_COURT
 
-_ITEM = "Contents"
+_LISTING = "Contents array<struct<Key string, Size bigint>>, NextContinuationToken string"
+
+
+def _parsed(text: str):
+    return F.from_xml(F.col(text), _LISTING, {"ignoreNamespace": "true"})
 
 
 def parse_listing(pages: DataFrame, text: str) -> DataFrame:
     """(key, size) of object-listing XML pages."""
-    items = F.xpath(F.col(text), F.lit(f"//*[local-name()='{_ITEM}']/*[local-name()='Key']/text()"))
-    sizes = F.xpath(F.col(text), F.lit(f"//*[local-name()='{_ITEM}']/*[local-name()='Size']/text()"))
-    return pages.select(F.inline(F.arrays_zip(items.alias("key"), sizes.alias("size")))).select(
-        "key", F.col("size").cast("bigint").alias("size")
-    )
+    return pages.select(F.inline(_parsed(text)["Contents"]).alias("key", "size"))
 
 
 def next_tokens(pages: DataFrame, text: str) -> DataFrame:
     """Continuation tokens of pages that are not the last."""
-    token = F.xpath_string(F.col(text), F.lit("//*[local-name()='NextContinuationToken']/text()"))
-    return pages.select(token.alias("token")).where("token <> ''")
+    tokens = pages.select(_parsed(text)["NextContinuationToken"].alias("token"))
+    return tokens.where("token <> ''")
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
