@@ -20,6 +20,34 @@ def flagged(pattern: str, *, ignore_case=False, dotall=False, multiline=False) -
     return f"(?{flags}){pattern}"
 
 
+def required_text(pattern: str) -> str:
+    """The longest fixed text every match of ``pattern`` contains, '' if none is sure.
+
+    Only plain characters outside groups, classes and alternatives count.
+    """
+    best, run, depth, i = "", "", 0, 0
+    while i <= len(pattern):
+        ch = pattern[i] if i < len(pattern) else ""
+        if ch == "|" and depth == 0:
+            return ""
+        plain = depth == 0 and (ch.isalnum() or ch == " ")
+        following = pattern[i + 1 : i + 2]
+        if plain and (not following or following not in "?*{"):
+            run += ch
+        else:
+            best, run = max(best, run, key=len), ""
+        if ch == "\\":
+            i += 1
+        elif ch == "[":
+            i = pattern.index("]", i + 2)
+        elif ch == "{":
+            i = pattern.index("}", i)
+        elif ch in ("(", ")"):
+            depth += 1 if ch == "(" else -1
+        i += 1
+    return best
+
+
 def sql_string(value: str) -> str:
     """``value`` as a SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -42,14 +70,30 @@ def with_located(
     return with_located_each(df, text, {out: pattern}, limit)
 
 
+def folded(text: str) -> str:
+    """SQL for ``text`` in lower case as a case-blind pattern sees it."""
+    return f"replace(lower({text}), '\u017f', 's')"
+
+
 def with_located_each(
-    df: DataFrame, text: str, patterns: dict[str, str], limit: int | None = None
+    df: DataFrame, text: str, patterns: dict[str, str], limit: int | None = None,
+    required: dict[str, str] | None = None,
 ) -> DataFrame:
-    """:func:`with_located` for several patterns, as three projections in all."""
+    """:func:`with_located` for several patterns, as three projections in all.
+
+    ``required`` gives, for case-blind patterns, lower-case text without which they
+    cannot match; a pattern is only tried on texts that contain it.
+    """
     raws, gaps, located = [], [], []
+    columns = df.columns
+    if required:
+        df = df.selectExpr("*", f"{folded(text)} AS __folded")
     for out, pattern in patterns.items():
         literal = sql_string(pattern)
         found = f"regexp_extract_all({text}, {literal}, 0)"
+        needed = (required or {}).get(out)
+        if needed:
+            found = f"CASE WHEN contains(__folded, {sql_string(needed)}) THEN {found} ELSE array() END"
         found = f"slice({found}, 1, {limit})" if limit else found
         raws.append(f"{found} AS __{out}_raws")
         gaps.append(
@@ -58,7 +102,7 @@ def with_located_each(
         )
         located.append(f"{_offsets(f'__{out}_raws', f'__{out}_gaps')} AS {out}")
     return (
-        df.selectExpr("*", *raws).selectExpr("*", *gaps).selectExpr(*df.columns, *located)
+        df.selectExpr("*", *raws).selectExpr("*", *gaps).selectExpr(*columns, *located)
     )
 
 

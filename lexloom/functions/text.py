@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,17 +30,27 @@ def strip_chars(c: Column, chars: str) -> Column:
 
 def words(c: Column) -> Column:
     """Whitespace-separated words, without empty ones."""
-    return F.filter(F.split(c, _SPACE, -1), lambda w: w != "")
+    return F.array_remove(F.split(c, _SPACE, -1), "")
 
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits; no stemming, no stop words."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+", -1), "")
+
+
+def with_tokens(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Add ``out``: the tokens of ``text``, worked out once per row.
+
+    A generator keeps later filters from being pushed below it, where they would
+    split the text again for every term.
+    """
+    made = F.inline(F.array(F.struct(tokens(text).alias(out))))
+    return df.select("*", made)
 
 
 def count_token(token_array: Column, token: str) -> Column:
     """How often a token occurs in an array of tokens."""
-    return F.size(F.filter(token_array, lambda t: t == F.lit(token)))
+    return F.size(token_array) - F.size(F.array_remove(token_array, token))
 
 
 def tags_to_spaces(c: Column) -> Column:

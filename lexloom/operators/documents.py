@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.errors import InvalidRequest
 from lexloom.functions.regex import around, flagged, quote, with_located
-from lexloom.functions.text import count_token, strip, tokens
+from lexloom.functions.text import count_token, strip, with_tokens
 from lexloom.functions.vectors import cosine
 from lexloom.operators.matters import clamp
 from lexloom.operators.ranking import query_terms
@@ -65,7 +65,7 @@ def chunk_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     whole = F.array(strip(F.col(text)))
     units = F.when(F.size(pieces) > 0, pieces).otherwise(whole)
-    folded = df.select(key, units.alias("units")).select(key, _fold(F.col("units")).alias("chunks"))
+    folded = spread(df.select(key, text)).select(key, units.alias("units")).select(key, _fold(F.col("units")).alias("chunks"))
     numbered = folded.select(key, F.posexplode("chunks").alias("chunk_index", "content"))
     line = strip(F.substring_index("content", "\n", 1))
     return numbered.withColumn(
@@ -175,7 +175,7 @@ def text_leg(chunks: DataFrame, key: str, text: str, query: str, k: int, score:
     terms = query_terms(query)
     if not terms:
         raise InvalidRequest("query must not be blank")
-    held = chunks.withColumn("__t", tokens(F.col(text)))
+    held = with_tokens(spread(chunks), F.col(text), "__t")
     for i, term in enumerate(terms):
         held = held.withColumn(f"__n{i}", count_token(F.col("__t"), term))
     every = F.least(*[F.col(f"__n{i}") for i in range(len(terms))], F.lit(2**31 - 1)) > 0

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import count_token, tokens
+from lexloom.functions.text import count_token, tokens, with_tokens
+from lexloom.session import spread
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -49,7 +50,7 @@ def rank_query(
     out, or get score zero with ``keep_unscored``.
     """
     terms = query_terms(query)
-    parts = df.withColumn("__tokens", tokens(_text(text_columns)))
+    parts = with_tokens(spread(df), _text(text_columns), "__tokens")
     parts = parts.withColumn("__len", F.size("__tokens").cast("double"))
     counts = {}
     for i, term in enumerate(terms):
@@ -86,7 +87,8 @@ def _bucket(term: Column) -> Column:
 
 def build_index(df: DataFrame, key: str, text_columns: list[str]) -> PostingsIndex:
     """Postings, document frequencies and corpus statistics of ``df``."""
-    docs = df.select(F.col(key).alias("key"), tokens(_text(text_columns)).alias("t"))
+    texts = spread(df.select(F.col(key).alias("key"), _text(text_columns).alias("text")))
+    docs = texts.select("key", tokens(F.col("text")).alias("t"))
     lengths = docs.withColumn("length", F.size("t"))
     postings = (
         lengths.select("key", "length", F.explode("t").alias("term"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.regex import around, flagged, with_located_each
+from lexloom.functions.regex import around, flagged, required_text, with_located_each
 from lexloom.functions.text import squash
 from lexloom.rules import drafts
 from lexloom.rules.clauses import (
@@ -61,7 +61,14 @@ def clause_hits(df: DataFrame, key: str, text: str) -> DataFrame:
         for i, (_, _, _, patterns) in enumerate(CLAUSE_TYPES)
         for j, p in enumerate(patterns)
     }
-    located = with_located_each(spread(df.select(key, text)), text, names, CLAUSE_MAX_HITS)
+    required = {
+        f"p{i}_{j}": required_text(p).lower()
+        for i, (_, _, _, patterns) in enumerate(CLAUSE_TYPES)
+        for j, p in enumerate(patterns)
+    }
+    located = with_located_each(
+        spread(df.select(key, text)), text, names, CLAUSE_MAX_HITS, required
+    )
     per_type = []
     for i, (clause, _, _, patterns) in enumerate(CLAUSE_TYPES):
         every = ", ".join(f"p{i}_{j}" for j in range(len(patterns)))
