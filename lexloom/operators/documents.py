@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from lexloom.errors import InvalidRequest
+from lexloom.errors import InvalidRequest, SourceUnavailable
 from lexloom.functions.regex import around, flagged, quote, with_located
 from lexloom.functions.text import count_token, strip, with_tokens
 from lexloom.functions.vectors import cosine
@@ -130,6 +132,31 @@ def _fold(units: Column) -> Column:
     return F.aggregate(units, start, step, _flushed)
 
 
+def with_embeddings(
+    df: DataFrame, text: str, provider: Callable[[], Callable[[list[str]], list[list[float]]]] | None,
+    out: str = "embedding", batch: int = 256,
+) -> DataFrame:
+    """Add the embedding of each text.
+
+    ``provider`` is called once per task and returns the function that embeds a
+    list of texts. Without a provider the semantic leg is unavailable.
+    """
+    if provider is None:
+        raise SourceUnavailable("no embedding provider is configured")
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = provider()
+        for part in parts:
+            texts = part.tolist()
+            vectors = []
+            for i in range(0, len(texts), batch):
+                vectors += model(texts[i : i + batch])
+            yield pd.Series(vectors)
+
+    return df.withColumn(out, embed(F.col(text)))
+
+
 # --- reading ---------------------------------------------------------------------
 
 

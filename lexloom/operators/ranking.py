@@ -103,9 +103,13 @@ def build_index(df: DataFrame, key: str, text_columns: list[str]) -> PostingsInd
     return PostingsIndex(postings, terms, stats)
 
 
-def write_index(index: PostingsIndex, folder: str) -> None:
-    """Store an index; term buckets become partitions that a query prunes by."""
-    share = F.pmod(F.xxhash64("key"), F.lit(BUCKET_SHARES))
+def write_index(index: PostingsIndex, folder: str, shares: int = BUCKET_SHARES) -> None:
+    """Store an index; term buckets become partitions that a query prunes by.
+
+    ``shares`` grows with the collection: it bounds how much of the postings of one
+    common term a single task writes.
+    """
+    share = F.pmod(F.xxhash64("key"), F.lit(shares))
     (
         index.postings.repartition("bucket", share)
         .sortWithinPartitions("bucket", "term")

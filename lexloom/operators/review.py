@@ -201,3 +201,11 @@ def draft_summary(issues: DataFrame, key: str) -> DataFrame:
         F.count("*").alias("issue_count"),
         F.count_if(F.col("severity") == "high").alias("high_severity_count"),
     )
+
+
+def parameter_gaps(required: Column, optional: Column, supplied: Column) -> Column:
+    """``struct<missing, unknown>`` for the facts supplied to a template."""
+    return F.struct(
+        F.array_except(required, supplied).alias("missing"),
+        F.array_except(supplied, F.array_union(required, optional)).alias("unknown"),
+    )

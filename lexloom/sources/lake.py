@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from lexloom.operators.corpus import (
     years_per_court,
 )
 from lexloom.operators.courts import resolve_scope
+from lexloom.operators.ranking import index_is_stale
 from lexloom.operators.search import find_by_citation, search
 from lexloom.rules.courts import SUPREME_COURT
 from lexloom.sources import schemas
@@ -83,6 +86,17 @@ class CaseLawLake:
             raise CorpusNotSynced(f"no {name} corpus")
         return courts_present(uniform_view({name: self.source(name)}, ALL_COURTS))
 
+    def status(self, index_folder: str | None = None) -> DataFrame:
+        """One row per court: judgments, first and last year; and whether the index is stale."""
+        stale = F.lit(None).cast("boolean")
+        if index_folder and any_file(self.spark, f"{index_folder}/stats"):
+            stats = self.spark.read.parquet(f"{index_folder}/stats")
+            files = [self.source(n).select("_metadata") for n in _LAYOUTS if self.has(n)]
+            stale = index_is_stale(reduce(lambda a, b: a.union(b), files), stats).scalar()
+        return self.corpus().groupBy("court_code").agg(
+            F.count("*").alias("judgments"), F.min("year").alias("first_year"), F.max("year").alias("last_year")
+        ).withColumn("index_is_stale", stale)
+
     def pdf_count(self) -> DataFrame:
         """One row: number of judgment PDFs held locally."""
         if not any_file(self.spark, f"{self.root}/pdf/*"):

@@ -192,3 +192,34 @@ def test_passages(spark):
     assert got[0].passage == text[101 : 401 + 5 + 300].strip()
     with pytest.raises(InvalidRequest):
         documents.passages(df, "id", "text", "  ")
+
+
+def test_ingest_files(spark, tmp_path):
+    from lexloom.plans.documents import ingest_files
+    from lexloom.sources.files import read_binary
+
+    folder, root = tmp_path / "in", str(tmp_path / "db")
+    folder.mkdir()
+    (folder / "a.txt").write_text("1. First clause " + "word " * 60 + "\n2. Second clause " + "word " * 60)
+    (folder / "b.txt").write_text("short note")
+    (folder / "copy.txt").write_text("short note")
+    rows.create_tables(spark, root)
+
+    def once():
+        docs, chunks = rows.read_table(spark, root, "documents"), rows.read_table(spark, root, "document_chunks")
+        new_docs, new_chunks = ingest_files(
+            read_binary(spark, str(folder)), docs, chunks, "2026-01-01", matter_id=7,
+            provider=lambda: lambda texts: [[float(len(t)), 1.0] for t in texts],
+        )
+        rows.append_table(new_chunks, root, "document_chunks")
+        rows.append_table(new_docs, root, "documents")
+        return rows.read_table(spark, root, "documents"), rows.read_table(spark, root, "document_chunks")
+
+    docs, chunks = once()
+    assert {(r.id, r.title, r.matter_id) for r in docs.collect()} == {(1, "a.txt", 7), (2, "b.txt", 7)}
+    got = [(r.id, r.document_id, r.chunk_index, r.embedding[0] == len(r.content)) for r in chunks.orderBy("id").collect()]
+    assert got == [(1, 1, 0, True), (2, 1, 1, True), (3, 2, 0, True)]
+    docs, chunks = once()
+    assert docs.count() == 2 and chunks.count() == 3
+    with pytest.raises(SourceUnavailable):
+        documents.with_embeddings(chunks, "content", None)

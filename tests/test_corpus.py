@@ -145,6 +145,15 @@ def test_inventory(lake):
     assert {r.court_code for r in lake.harvested_courts("historical").collect()} == {"27_1"}
 
 
+def test_status_names_a_stale_index(lake, spark, tmp_path):
+    index = ranking.build_index(lake.corpus().withColumn("id", corpora.doc_id()), "id", ["title", "description", "judge"])
+    ranking.write_index(index, str(tmp_path / "ix"), shares=2)
+    rows = {r.court_code: r for r in lake.status(str(tmp_path / "ix")).collect()}
+    assert rows["SC"].judgments == 3 and rows["27_1"].first_year == "1866"
+    assert rows["SC"].index_is_stale is False
+    assert lake.status().first().index_is_stale is None
+
+
 def paged(spark, n):
     rows = [
         (f"PAGING MATTER {i} versus THE STATE", f"number {i}", "J", f"[2024] 1 S.C.R. {i}", f"C{i}",

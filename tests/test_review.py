@@ -277,3 +277,9 @@ def test_document_files(spark, tmp_path):
     with pytest.raises(SourceUnavailable):
         files.require_text(files.document_text(files.read_binary(spark, str(tmp_path), "*.xls")))
     assert drafts.MAX_CHUNK_CHARS == 1800
+
+
+def test_parameter_gaps(spark):
+    df = spark.createDataFrame([(["a", "b"], ["c"], ["b", "c", "z"])], "r array<string>, o array<string>, s array<string>")
+    row = df.select(review.parameter_gaps(F.col("r"), F.col("o"), F.col("s")).alias("g")).first().g
+    assert (row.missing, row.unknown) == (["a"], ["z"])

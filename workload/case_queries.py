@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import documents, ledger, matters
 from lexloom.rules import drafts
 from lexloom.rules.matters import MATTER_STATUSES, MATTER_TYPES
+from lexloom.sources.rows import serialised
 from workload.tables import Tables, with_tables
 
 AS_ON = date(1998, 6, 15)
@@ -25,6 +26,10 @@ FROM {orders} WHERE o_orderstatus = 'P'""",
 SELECT id - CASE WHEN id % 13 = 0 THEN id ELSE 0 END AS id, reference, CASE WHEN id % 7 = 0 THEN '  ' ELSE title END AS title,
   CASE WHEN id % 5 = 0 THEN 'unheard_of' ELSE matter_type END AS matter_type, CASE WHEN id % 11 = 0 THEN 'lost' ELSE status END AS status
 FROM {{matters}}""",
+    "stored_matters": """
+SELECT m.id, m.cause_of_action_date, m.filing_date, m.limitation_expiry, CAST(m.claim_value AS DECIMAL(38, 2)) AS claim_value,
+  '[{"name": "' || m.title || '", "role": "petitioner"}, {"name": "' || r.r_name || '", "role": "respondent"}]' AS parties
+FROM {matters} m JOIN {customer} c ON c.c_custkey + 1 = m.id JOIN {nation} n ON n.n_nationkey = c.c_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey""",
     "tokens": """
 SELECT user_id, event_id, ts AS issued, ts + INTERVAL '1' HOUR * CAST(event_id % 48 AS INT) AS expires_at FROM {events}""",
     "chunks": """
@@ -137,6 +142,15 @@ def invalid_matters(spark, folder):
     return rows.select("reference", F.array_join("problems", "; ").alias("problems"))
 
 
+def matter_rows(spark, folder):
+    """Matters as they are shown: ISO dates, parsed parties, value as a number."""
+    rows = serialised(Records(spark, folder)["stored_matters"])
+    return rows.select(
+        "id", "cause_of_action_date", "filing_date", "limitation_expiry", "claim_value",
+        F.array_join(F.transform("parties", lambda p: F.concat_ws("/", p["role"], p["name"])), ", ").alias("parties"),
+    )
+
+
 def live_tokens(spark, folder):
     """Tokens that have not expired."""
     rows = matters.unexpired(Records(spark, folder)["tokens"], F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
@@ -237,7 +251,7 @@ QUERIES = {
     for f in (
         matter_list, limitation_alerts, matter_urgency, matters_by_status, hearing_diary, imminent_hearings,
         matter_children, matter_totals, matter_timeline, matter_updates, hearings_appended,
-        hearing_orphans, invalid_matters, live_tokens, daily_spend, admitted_calls,
+        hearing_orphans, invalid_matters, matter_rows, live_tokens, daily_spend, admitted_calls,
         content_first_copies, content_new, document_chunks, document_passages, document_previews,
         conversation_counts, text_matches, vector_matches, hybrid_search, text_only_search,
     )
@@ -330,6 +344,9 @@ SELECT (SELECT max(id) FROM {hearings}) + row_number() OVER (ORDER BY o_orderkey
     "invalid_matters": f"""
 SELECT * FROM (SELECT reference, array_to_string(list_filter([CASE WHEN trim(title) = '' THEN 'title is blank' END, CASE WHEN matter_type NOT IN ({_TYPES}) THEN 'unknown matter type' END,
   CASE WHEN status NOT IN ({_STATES}) THEN 'unknown status' END, CASE WHEN id <= 0 THEN 'id is not positive' END], lambda x: x IS NOT NULL), '; ') AS problems FROM {{raw_matters}}) WHERE problems <> ''""",
+    "matter_rows": """
+SELECT id, strftime(s.cause_of_action_date, '%Y-%m-%d') AS cause_of_action_date, strftime(s.filing_date, '%Y-%m-%d') AS filing_date, strftime(s.limitation_expiry, '%Y-%m-%d') AS limitation_expiry,
+  CAST(claim_value AS DOUBLE) AS claim_value, 'petitioner/' || json_extract_string(parties, '$[0].name') || ', respondent/' || json_extract_string(parties, '$[1].name') AS parties FROM {stored_matters} s""",
     "live_tokens": "SELECT user_id, count(*) AS tokens FROM {events} WHERE ts + to_hours(CAST(event_id % 48 AS INT)) >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY user_id",
     "daily_spend": """
 SELECT strftime(d.day, '%Y-%m-%d') AS day, count(*) AS calls, CAST(sum(cost_paise) AS DOUBLE) / 100 AS spent_inr, CAST(greatest(10000 - sum(cost_paise), 0) AS DOUBLE) / 100 AS remaining_inr FROM {paid_calls} d GROUP BY d.day""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.dates import iso_date
 from lexloom.functions.text import party_terms
 from lexloom.operators import citations, corpus, ranking, search, verification
+from lexloom.operators.ordering import dense_number
 from lexloom.operators.statutes import find_sections, resolve_acts
 from lexloom.plans import research
 from lexloom.rules.citation_forms import PARTY_STOP_WORDS
@@ -129,6 +130,12 @@ def related_proceedings(spark, folder):
     return research.related_in_corpus(_corpus(spark, folder), 10)
 
 
+def numbered_corpus(spark, folder):
+    """The corpus with consecutive ids, as a ranked table stores it."""
+    rows = _corpus(spark, folder).select(corpus.doc_id().alias("doc_id"), "title", "description", "judge")
+    return dense_number(rows, ["doc_id"], "id").select("id", "doc_id", "title")
+
+
 def party_words(spark, folder):
     """Party words of every title."""
     rows = _corpus(spark, folder)
@@ -232,7 +239,7 @@ QUERIES = {
         corpus_union, corpus_hits, doc_id_parts, metadata_by_id, search_terms_page, search_filtered,
         search_wildcards, search_next_page, search_total, years_per_court, courts_present, bm25_scan,
         bm25_postings, term_frequencies, ranked_search, research_memo, memo_status, related_proceedings,
-        party_words, citation_extract, citation_single, citation_lookup, citation_verdicts,
+        numbered_corpus, party_words, citation_extract, citation_single, citation_lookup, citation_verdicts,
         statute_verdicts, citation_sweep, verification_summary, verification_total, act_resolution,
         section_lookup,
     )
@@ -438,6 +445,7 @@ SELECT seed_id, doc_id, row_number() OVER (PARTITION BY seed_id ORDER BY decided
       AND contains(lower(t.title || chr(10) || t.description), lower(coalesce(q.terms[3], '')))) m
   ON m.terms = s.terms AND m.doc_id <> s.doc_id)
 QUALIFY rank <= 10""",
+    "numbered_corpus": "SELECT row_number() OVER (ORDER BY doc_id) AS id, doc_id, title FROM {named}",
     "party_words": "SELECT doc_id, array_to_string(terms, ' ') AS terms FROM {titled}",
     "citation_extract": "SELECT * FROM {found}",
     "citation_single": """
