@@ -255,7 +255,7 @@ def test_match_all_terms_is_exact(spark):
     queries = {"a": ["anna", "bihar"], "b": ["bihar"], "c": ["zzzz", "bihar"], "d": []}
     t = spark.createDataFrame(list(texts.items()), "k int, body string")
     q = spark.createDataFrame(list(queries.items()), "query_id string, terms array<string>")
-    got = {tuple(r) for r in match_all_terms(q, t, "k", "body").collect()}
+    got = {(r.query_id, r.k) for r in match_all_terms(q, t, "k", "body").collect()}
     want = {
         (qid, k) for qid, ts in queries.items() for k, body in texts.items()
         if ts and all(x in body.lower() for x in ts)
