@@ -160,17 +160,24 @@ def _normalized() -> Column:
     )
 
 
-def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Every match of every family: ``key`` and the citation fields, repeats included."""
+CASES = tuple(f for f, _ in _CASE_FAMILIES)
+STATUTES = tuple(f for f, _ in _STATUTE_FAMILIES)
+
+
+def occurrences(
+    df: DataFrame, key: str, text: str, families: tuple[int, ...] = CASES + STATUTES
+) -> DataFrame:
+    """Every match of the families: ``key`` and the citation fields, repeats included."""
+    wanted = [(f, p) for f, p in _CASE_FAMILIES + _STATUTE_FAMILIES if f in families]
     located = with_located_each(
         spread(df.select(F.col(key), F.col(text).alias("__text"))),
         "__text",
-        {f"m{family}": _pattern(p) for family, p in _CASE_FAMILIES + _STATUTE_FAMILIES},
+        {f"m{family}": _pattern(p) for family, p in wanted},
     )
 
     tagged = ", ".join(
         f"transform(m{family}, m -> named_struct('family', {family}, 'm', m))"
-        for family, _ in _CASE_FAMILIES + _STATUTE_FAMILIES
+        for family, _ in wanted
     )
     start = f"greatest(m.pos - {forms.CASE_NAME_WINDOW}, 0)"
     rows = located.selectExpr(key, "__text", f"inline(concat({tagged}))").selectExpr(
@@ -199,13 +206,15 @@ def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def extract(df: DataFrame, key: str, text: str) -> DataFrame:
+def extract(
+    df: DataFrame, key: str, text: str, families: tuple[int, ...] = CASES + STATUTES
+) -> DataFrame:
     """Distinct citations of each text, cases and statutes deduplicated apart.
 
     Of several matches with one key, the lowest family and then the first position
     is kept. Spaced and compact neutral citations have the same key.
     """
-    rows = occurrences(df, key, text).withColumn("is_case", F.col("kind") == CASE)
+    rows = occurrences(df, key, text, families).withColumn("is_case", F.col("kind") == CASE)
     best = F.min_by(F.struct(*[f for f in FIELDS if f != "citation_key"]), F.struct("family", "position"))
     return (
         rows.groupBy(key, "is_case", "citation_key")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.errors import InvalidRequest
 from lexloom.operators.corpus import court_label
 from lexloom.rules.courts import SUPREME_COURT
+from lexloom.session import spread
 
 _LISTING = "Contents array<struct<Key string, Size bigint>>, NextContinuationToken string"
 
@@ -18,7 +19,7 @@ def _parsed(text: str):
 
 def parse_listing(pages: DataFrame, text: str) -> DataFrame:
     """(key, size) of object-listing XML pages."""
-    return pages.select(F.inline(_parsed(text)["Contents"]).alias("key", "size"))
+    return spread(pages).select(F.inline(_parsed(text)["Contents"]).alias("key", "size"))
 
 
 def next_tokens(pages: DataFrame, text: str) -> DataFrame:

@@ -147,8 +147,8 @@ def party_words(spark, folder):
 # --- citations -------------------------------------------------------------------
 
 
-def _found(tables):
-    return citations.extract(tables["brief_texts"], "brief_id", "text")
+def _found(tables, families=citations.CASES + citations.STATUTES):
+    return citations.extract(tables["brief_texts"], "brief_id", "text", families)
 
 
 def citation_extract(spark, folder):
@@ -171,7 +171,7 @@ def citation_single(spark, folder):
 def citation_lookup(spark, folder):
     """Judgments per cited key."""
     tables = Tables(spark, folder)
-    cases = _found(tables).where("kind = 'case'")
+    cases = _found(tables, citations.CASES)
     rows = verification.exact_matches(cases, corpus.uniform_view(tables.corpus_sources()))
     return rows.select("citation_key", "exact", "match")
 
@@ -179,13 +179,13 @@ def citation_lookup(spark, folder):
 def citation_verdicts(spark, folder):
     """Verdict on every distinct case citation."""
     tables = Tables(spark, folder)
-    return verification.verify_cases(_found(tables), corpus.uniform_view(tables.corpus_sources()))
+    return verification.verify_cases(_found(tables, citations.CASES), corpus.uniform_view(tables.corpus_sources()))
 
 
 def statute_verdicts(spark, folder):
     """Verdict on every distinct statutory citation."""
     t = Tables(spark, folder)
-    rows = verification.verify_statutes(_found(t), t["acts"], t["sections"], t["aliases"])
+    rows = verification.verify_statutes(_found(t, citations.STATUTES), t["acts"], t["sections"], t["aliases"])
     return rows.select("statute", "section", "slug", "verdict", "match")
 
 
