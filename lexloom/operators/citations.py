@@ -75,8 +75,13 @@ def trim_lead_ins(name: Column) -> Column:
     return F.array_join(F.slice(parts, drop + 1, F.greatest(F.size(parts), F.lit(1))), " ")
 
 
-# Marks around what a pattern found; they do not occur in prose.
-_OPEN, _BETWEEN, _CLOSE = "\u0001", "\u0002", "\u0003"
+# Marks around what a pattern found. A text's own such characters are first
+# replaced by another control character, which the patterns treat alike.
+_OPEN, _BETWEEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003", "\u0004"
+
+
+def _unmarked(text: str) -> str:
+    return f"translate({text}, '{_OPEN}{_BETWEEN}{_CLOSE}', '{_OTHER * 3}')"
 
 
 def with_case_name(rows: DataFrame, window: str, out: str) -> DataFrame:
@@ -88,7 +93,7 @@ def with_case_name(rows: DataFrame, window: str, out: str) -> DataFrame:
     versus = sql_string(r"(?Uid)\s(?:v\.?|vs\.?|versus)\s")
     marked = rows.selectExpr(
         "*",
-        f"CASE WHEN {window} RLIKE {versus} THEN regexp_replace({window}, "
+        f"CASE WHEN {window} RLIKE {versus} THEN regexp_replace({_unmarked(window)}, "
         f"{sql_string(_pattern(forms.CASE_NAME))}, '{_OPEN}$1{_BETWEEN}$2{_CLOSE}') END AS __marked",
     )
     gap = F.substring_index("__marked", _CLOSE, -1)
@@ -109,7 +114,7 @@ def _with_groups(rows: DataFrame) -> DataFrame:
     for family, pattern in _CASE_FAMILIES + _STATUTE_FAMILIES:
         groups = _BETWEEN.join(f"${i + 1}" for i in range(re.compile(pattern).groups))
         branches.append(
-            f"WHEN {family} THEN regexp_replace(raw, {sql_string(_pattern(pattern))}, '{groups}')"
+            f"WHEN {family} THEN regexp_replace({_unmarked('raw')}, {sql_string(_pattern(pattern))}, '{groups}')"
         )
     marked = rows.selectExpr("*", f"CASE family {' '.join(branches)} END AS __groups")
     return marked.selectExpr(

@@ -18,9 +18,6 @@ from lexloom.operators.ranking import query_terms
 from lexloom.rules import drafts
 from lexloom.session import spread
 
-_MARK = "\u0001"
-
-
 # --- ingest --------------------------------------------------------------------
 
 
@@ -59,15 +56,17 @@ def chunk_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     over 1800 are split at blank lines, but a paragraph is never cut.
     """
     breaks = flagged(drafts.STRUCTURE_BREAK, multiline=True)
-    pieces = F.filter(
-        F.transform(
-            F.split(F.regexp_replace(F.col(text), breaks, _MARK + "$0"), _MARK, -1), strip
-        ),
-        lambda s: s != "",
+    located = with_located(spread(df.select(key, text)), text, breaks, "m")
+    cuts = f"array_distinct(concat(array(0), transform(m, x -> x.pos), array(length({text}))))"
+    cut = located.selectExpr(key, text, f"{cuts} AS cuts").selectExpr(
+        key, text,
+        "zip_with(slice(cuts, 1, size(cuts) - 1), slice(cuts, 2, size(cuts)), "
+        f"(a, z) -> substring({text}, a + 1, z - a)) AS pieces",
     )
+    pieces = F.filter(F.transform("pieces", strip), lambda s: s != "")
     whole = F.array(strip(F.col(text)))
     units = F.when(F.size(pieces) > 0, pieces).otherwise(whole)
-    folded = spread(df.select(key, text)).select(key, units.alias("units")).select(key, _fold(F.col("units")).alias("chunks"))
+    folded = cut.select(key, units.alias("units")).select(key, _fold(F.col("units")).alias("chunks"))
     numbered = folded.select(key, F.posexplode("chunks").alias("chunk_index", "content"))
     line = strip(F.substring_index("content", "\n", 1))
     return numbered.withColumn(

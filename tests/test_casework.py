@@ -172,7 +172,7 @@ def test_chunks(spark):
     long_clause = "\n".join(f"{i}. Clause number {i} " + "says a good deal about it. " * 20 for i in range(1, 6))
     texts = {
         1: long_clause, 2: "1. A b\n2. B c\n3. C d", 3: "plain words only", 4: "TERMS AND CONDITIONS\n" + "para one. " * 120 + "\n\n" + "para two. " * 150 + "\n \n" + "z" * 2500,
-        5: "", 6: "1.\nSECTION 5 begins\n\n\n(a) Also here\nदायित्व खंड\nARTICLE IV x",
+        5: "", 7: "1. Alpha \u0001 beta" + " word" * 60 + "\n\u0001\n2. Gamma" + " word" * 60, 6: "1.\nSECTION 5 begins\n\n\n(a) Also here\nदायित्व खंड\nARTICLE IV x",
     }
     df = spark.createDataFrame(list(texts.items()), "id int, text string")
     got = {}

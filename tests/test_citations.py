@@ -90,3 +90,12 @@ def test_keys_ignore_punctuation(spark):
     forms = ["[2024] 10 S.C.R. 108", "(2024) 10 SCR 108", "2024 10 SCR 108"]
     df = spark.createDataFrame([(f,) for f in forms], "c string")
     assert {r.k for r in df.select(citation_key(F.col("c")).alias("k")).collect()} == {"202410scr108"}
+
+
+def test_control_characters_in_the_text(spark):
+    text = "A\u0003 \u0001Ram Lal v. Shyam Das\u0002, (2014) 9 SCC 129 and \u0001 Order 1 Rule 2 of the CPC"
+    rows = found(spark, text)
+    assert [(r["position"], r["normalized"], r["case_name"]) for r in rows] == [
+        (text.index("(2014)"), "(2014) 9 SCC 129", "Ram Lal v. Shyam Das"),
+        (text.index("Order"), "Order 1 Rule 2, Code of Civil Procedure, 1908", None),
+    ]
