@@ -104,7 +104,9 @@ def word_lists(texts: pa.Array, fold: bool = True) -> pa.LargeListArray:
 
     ``fold`` lower-cases A-Z.
     """
-    large = pc.fill_null(texts.cast(pa.large_string()), "")
+    # A copy, as the ASCII functions misread the offsets of a sliced array.
+    whole = texts.take(pa.array(range(len(texts)), pa.int64()))
+    large = pc.fill_null(whole.cast(pa.large_string()), "")
     trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(large) if fold else large)
     lists = pc.ascii_split_whitespace(trimmed).cast(pa.large_list(pa.large_string()))
     # An empty text splits into one empty word.

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import table
 from lexloom.llm.line_runs import drop_common_lines
+from lexloom.llm.pfair import mix_sources
+from lexloom.llm.simhash import near_copies
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,8 +17,21 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at three bits or fewer."""
+    found = near_copies(table(spark, folder, "documents"), width=3, distance=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every document in a mix of the sources at square-root weights."""
+    return mix_sources(table(spark, folder, "documents")).drop("h1", "h2")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_simhash": op2_simhash,
+    "op7_pfair_mix": op7_pfair_mix,
 }
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
