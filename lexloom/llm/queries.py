@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.bpe import encode_bpe
 from lexloom.llm.common import table
 from lexloom.llm.line_runs import drop_common_lines
 from lexloom.llm.pfair import mix_sources
 from lexloom.llm.simhash import near_copies
+from lexloom.llm.token_files import write_token_files
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,15 +26,41 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every text, and the text that they decode to."""
+    coded = encode_bpe(
+        table(spark, folder, "documents").select("doc_id", "text"),
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        decoded="decoded",
+    )
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The place of every document in a mix of the sources at square-root weights."""
     return mix_sources(table(spark, folder, "documents")).drop("h1", "h2")
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids in flat files in the order of ids, read back."""
+    files = write_token_files(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2
+    )
+    return files.documents()
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_pfair_mix": op7_pfair_mix,
+    "op10_token_files": op10_token_files,
 }
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
