@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import functools
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -44,121 +45,140 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class _State:
+    """Bytes not yet final, the last token of each prefix of them, the open positions, the steps.
+
+    A prefix has its last token and where that starts, or None where no token can start;
+    prefix 0 has the last final token, or -1.
+    """
+
+    __slots__ = ("pending", "prefixes", "open", "steps", "end")
+
+    def __init__(self, pending: bytes, prefixes: tuple, open_: tuple[int, ...]):
+        self.pending, self.prefixes, self.open = pending, prefixes, open_
+        self.steps: dict[int, tuple[_State, tuple[int, ...]]] = {}
+        self.end: tuple[int, ...] | None = None
+
+
+def _path(prefixes: tuple, upto: int) -> tuple[int, ...]:
+    tokens = []
+    while upto > 0:
+        token, upto = prefixes[upto]
+        tokens.append(token)
+    return tuple(reversed(tokens))
+
+
 class Transducer:
-    """Tokens of byte strings; at most ``most`` states are held, then they are made anew."""
+    """Tokens of byte strings.
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 120_000):
+    The first ``most`` states met are kept; later ones are made for the piece at hand only,
+    so the frequent ones stay and memory is bounded.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
         self.ranks, self.most = ranks, most
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.heads = {token[:i] for token in ranks for i in range(1, len(token) + 1)}
+        self.bytes = [bytes([i]) for i in range(256)]
         self.agrees: dict[tuple[int, int], bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.numbers: dict[tuple[int, bytes], int] = {}
-        self.states: list[tuple[bytes, tuple, tuple[int, ...]]] = []
-        self.ends: list[tuple[int, ...]] = []
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._state(b"", ((-1, -1),), (0,))
+        self.states: dict[tuple[int, bytes], _State] = {}
+        self.start = self._state(b"", ((-1, -1),), (0,))[0]
 
     def _follows(self, last: int, token: int) -> bool:
         """Whether ``token`` after ``last`` (-1: the beginning) is what merging gives."""
         known = self.agrees.get((last, token))
         if known is None:
-            if len(self.agrees) > 8 * self.most:
+            if len(self.agrees) > 4 * self.most:
                 self.agrees.clear()
             before = self.tokens[last] if last >= 0 else b""
             wanted = [last, token] if last >= 0 else [token]
             known = self.agrees[last, token] = merge(before + self.tokens[token], self.ranks) == wanted
         return known
 
-    def _state(self, pending: bytes, prefixes: tuple, live: tuple[int, ...]) -> int:
-        """The number of a state: bytes not yet final, last token of each prefix, open positions.
-
-        A prefix has its last token and where that starts, or None where no token can start.
-        """
+    def _state(self, pending: bytes, prefixes: tuple, open_: tuple[int, ...]) -> tuple[_State, bool]:
+        """The state, and whether it is kept."""
         key = (prefixes[0][0], pending)
-        number = self.numbers.get(key)
-        if number is None:
-            number = self.numbers[key] = len(self.states)
-            self.states.append((pending, prefixes, live))
-            self.ends.append(self._path(prefixes, len(pending)))
-        return number
-
-    @staticmethod
-    def _path(prefixes: tuple, upto: int) -> tuple[int, ...]:
-        tokens = []
-        while upto > 0:
-            token, upto = prefixes[upto]
-            tokens.append(token)
-        return tuple(reversed(tokens))
-
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        pending, prefixes, live = self.states[state]
-        pending += bytes([byte])
+        state = self.states.get(key)
+        if state is not None:
+            return state, True
+        state = _State(pending, prefixes, open_)
+        kept = len(self.states) < self.most
+        if kept:
+            self.states[key] = state
+        return state, kept
+
+    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
+        pending, prefixes, ranks = state.pending + self.bytes[byte], state.prefixes, self.ranks
         size = len(pending)
-        for start in live:
-            token = self.ranks.get(pending[start:])
+        for start in state.open:
+            token = ranks.get(pending[start:])
             if token is not None and self._follows(prefixes[start][0], token):
                 prefixes = (*prefixes, (token, start))
                 break
         else:
             raise ValueError("the ranks are not those of merges over single bytes")
-        live = (*(p for p in live if pending[p:] in self.heads), size)
-        # The encodings of all open positions agree up to where their paths back first meet.
-        ends = set(live)
-        while len(ends) > 1:
-            last = max(ends)
-            ends.remove(last)
-            ends.add(prefixes[last][1])
-        final = ends.pop()
-        emitted = self._path(prefixes, final)
+        heads = self.heads
+        open_ = (*[p for p in state.open if pending[p:] in heads], size)
+        final, emitted = 0, ()
+        if open_[0]:
+            # The encodings of all open positions agree up to where their paths back first meet.
+            ends = set(open_)
+            while len(ends) > 1:
+                last = max(ends)
+                ends.remove(last)
+                ends.add(prefixes[last][1])
+            final = ends.pop()
         if final:
-            kept = prefixes[final + 1 :]
+            emitted = _path(prefixes, final)
             prefixes = (
                 (prefixes[final][0], -1),
-                *((p[0], p[1] - final) if p and p[1] >= final else None for p in kept),
+                *((p[0], p[1] - final) if p and p[1] >= final else None for p in prefixes[final + 1 :]),
             )
-            pending, live = pending[final:], tuple(p - final for p in live)
-        made = self.steps[state << 8 | byte] = (self._state(pending, prefixes, live), emitted)
-        return made
+            pending, open_ = pending[final:], tuple([p - final for p in open_])
+        there, kept = self._state(pending, prefixes, open_)
+        if kept:
+            state.steps[byte] = (there, emitted)
+        return there, emitted
 
     def __call__(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece; a piece that is a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > self.most:
-            self._reset()
-        state, out, steps = self.start, [], self.steps
+        state, out, step = self.start, (), self._step
         for byte in piece:
-            state, emitted = steps.get(state << 8 | byte) or self._step(state, byte)
+            state, emitted = state.steps.get(byte) or step(state, byte)
             if emitted:
-                out.extend(emitted)
-        out.extend(self.ends[state])
-        return tuple(out)
+                out += emitted
+        if state.end is None:
+            state.end = _path(state.prefixes, len(state.pending))
+        return out + state.end
 
 
 class _Pieces(dict):
-    """Tokens of the pieces met before, a bounded number of them."""
+    """Tokens of the pieces met lately: two generations of at most ``most`` pieces each."""
 
     def __init__(self, encode, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) > self.most:
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        tokens = self[piece] = self.encode(piece.encode())
+        tokens = self.older.get(piece)
+        if tokens is None:
+            tokens = self.encode(piece.encode())
+        self[piece] = tokens
         return tokens
 
 
 class BpeCodec:
     """Encodes texts and decodes ids with one rank file and one splitting pattern."""
 
-    def __init__(self, path: str, pattern: str, pieces: int = 250_000):
+    def __init__(self, path: str, pattern: str, pieces: int = 300_000):
         self.transducer = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
         self.known = _Pieces(self.transducer, pieces)
@@ -183,6 +203,12 @@ class BpeCodec:
         yield machine.decode(b"".join(held), final=True)
 
 
+@functools.lru_cache(maxsize=1)
+def _codec(path: str, pattern: str) -> BpeCodec:
+    """One codec for all tasks that a Python worker runs."""
+    return BpeCodec(path, pattern)
+
+
 def encode_bpe(
     docs: DataFrame,
     path: str,
@@ -206,7 +232,7 @@ def encode_bpe(
         names.append(decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BpeCodec(path, pattern)
+        codec = _codec(path, pattern)
         for some in slices(batches, "__text", 4_000_000):
             ids = [codec.encode(t or "") for t in some["__text"].to_pylist()]
             sizes = np.cumsum([0, *map(len, ids)])
@@ -229,7 +255,7 @@ def decode_bpe(encoded: DataFrame, path: str, ids: str = "token_ids", out: str =
     fields = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BpeCodec(path, "")
+        codec = _codec(path, "")
         for batch in batches:
             texts = ["".join(codec.decode(x or [])) for x in batch[ids].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(texts, pa.string())], [*keep, out])

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.bpe import encode_bpe
-from lexloom.llm.common import table
+from lexloom.llm.common import learns_from, table
 from lexloom.llm.line_runs import drop_common_lines
 from lexloom.llm.pfair import mix_sources
 from lexloom.llm.simhash import near_copies
+from lexloom.llm.subword import score_toxicity
 from lexloom.llm.token_files import write_token_files
 
 
@@ -47,6 +48,18 @@ def op7_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents")).drop("h1", "h2")
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text, learnt from two thirds of the labels."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, folder, "labels"), out="score")
+    return scored.select(
+        "doc_id",
+        (~learns_from(F.col("doc_id"), 3, 1)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids in flat files in the order of ids, read back."""
     files = write_token_files(
@@ -60,6 +73,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pfair_mix": op7_pfair_mix,
+    "op8_toxicity": op8_toxicity,
     "op10_token_files": op10_token_files,
 }
 
