@@ -10,9 +10,11 @@ from lexloom.llm.bpe import encode_bpe
 from lexloom.llm.common import learns_from, table
 from lexloom.llm.line_runs import drop_common_lines
 from lexloom.llm.pfair import mix_sources
+from lexloom.llm.robust import judge_quality
 from lexloom.llm.simhash import near_copies
 from lexloom.llm.subword import score_toxicity
 from lexloom.llm.token_files import write_token_files
+from lexloom.llm.topk import top_products
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +29,14 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_robust_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every text, the fixed rule, and outliers within language and source."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    return judge_quality(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every text, and the text that they decode to."""
     coded = encode_bpe(
@@ -60,6 +70,11 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector."""
+    return top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids in flat files in the order of ids, read back."""
     files = write_token_files(
@@ -71,9 +86,11 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
+    "op5_robust_quality": op5_robust_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pfair_mix": op7_pfair_mix,
     "op8_toxicity": op8_toxicity,
+    "op9_top_products": op9_top_products,
     "op10_token_files": op10_token_files,
 }
 
@@ -89,4 +106,18 @@ common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING coun
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (FROM common)) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (FROM common)), '')) AS kept_sha256
 FROM keyed GROUP BY doc_id""",
+    "op9_top_products": """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM sound),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
 }
