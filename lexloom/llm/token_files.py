@@ -8,6 +8,7 @@ base, the ids and documents of all parts before it, is a prefix sum over one sma
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 import zlib
@@ -24,32 +25,45 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import shared_path, slices, word_lists
 from lexloom.session import durable
 
-_MEMO = 300_000
+_TOGETHER = 256
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins text across ASCII white space.
 
-    Each different word goes to the tokenizer once; a bounded table keeps the ids of the
-    words met before.
+    Each different word goes to the tokenizer once; two generations of at most about ``most``
+    words each keep the ids of the words met lately.
     """
 
-    def __init__(self, path: str, end: int | None, kind: str = "<u4"):
+    def __init__(self, path: str, end: int | None, kind: str = "<u4", most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.kind, self.memo = end, np.dtype(kind), {}
+        self.end, self.kind, self.most = end, np.dtype(kind), most
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _known(self, words: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        new = [w for w in words if w not in memo]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                memo[w] = np.array(got.ids, self.kind).tobytes()
+        if len(self.memo) > self.most:
+            self.older, self.memo = self.memo, {}
+        memo, older, new = self.memo, self.older, []
+        for w in words:
+            if w not in memo:
+                if w in older:
+                    memo[w] = older[w]
+                else:
+                    new.append(w)
+        for at in range(0, len(new), _TOGETHER):
+            some = new[at : at + _TOGETHER]
+            # As one text, which is quicker; a token is of the word that its place is in.
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(got.ids, self.kind).tobytes()
+            begins = np.cumsum([0, *(len(w) + 1 for w in some)])
+            places = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.offsets))
+            cuts = (np.searchsorted(places, begins) * self.kind.itemsize).tolist()
+            for w, start, stop in zip(some, cuts, cuts[1:]):
+                memo[w] = ids[start:stop]
         return [memo[w] for w in words]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +88,15 @@ class WordEncoder:
         return flat[at], np.diff(upto[cuts])
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, end: int | None, kind: str) -> WordEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return WordEncoder(path, end, kind)
+
+
 @dataclass(frozen=True)
 class TokenFiles:
-    """A written set of parts: folder as mounted, bytes per id, and one row per part."""
+    """A written set of parts: folder as mounted, type of an id, and one row per part."""
 
     folder: str
     kind: str
@@ -84,7 +104,10 @@ class TokenFiles:
     parts: DataFrame
 
     def documents(self) -> DataFrame:
-        """(doc_id, start, n_tokens, ids_crc32, part) of every document, read back from the files."""
+        """(doc_id, start, n_tokens, ids_crc32, part) of every document, read back from the files.
+
+        The checksum is of the ids as four little-endian bytes each, whatever the files use.
+        """
         read = _reader(self.folder, self.kind)
         return self.parts.select("part", "base").repartition("part").mapInArrow(
             read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, part int"
@@ -109,7 +132,7 @@ def _reader(folder: str, kind: str):
                 ids, offsets, docs, present = part_arrays(folder, part, kind)
                 for at in range(0, len(docs), 8192):
                     cut = offsets[at : at + 8193].astype(np.int64)
-                    digests = [zlib.crc32(ids[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                    digests = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(docs[at : at + 8192], pa.int64(), mask=present[at : at + 8192] == 0),
@@ -126,13 +149,13 @@ def _reader(folder: str, kind: str):
 
 def _writer(folder: str, tokenizer: str, end: int | None, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer, end, kind), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer, end, kind), TaskContext.get().partitionId()
         names = ("ids", "offsets", "docs", "present")
         Path(folder).mkdir(parents=True, exist_ok=True)
         mine = {n: Path(folder) / f".{n}-{part:06d}.{uuid.uuid4().hex}" for n in names}
         files, n_docs, n_ids = None, 0, 0
         try:
-            for some in slices(batches, "text"):
+            for some in slices(batches, "text", 12_000_000):
                 if files is None:
                     files = {n: path.open("wb") for n, path in mine.items()}
                     files["offsets"].write(np.zeros(1, "<u8").tobytes())
@@ -157,11 +180,17 @@ def _writer(folder: str, tokenizer: str, end: int | None, kind: str):
     return run
 
 
+def _kind(tokenizer: str) -> str:
+    """Two bytes an id where the vocabulary allows it, else four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def write_token_files(
     docs: DataFrame,
     tokenizer: str,
     end: int | None = None,
-    id_bytes: int = 4,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> TokenFiles:
@@ -174,7 +203,7 @@ def write_token_files(
     An empty table has no parts.
     """
     _, folder = shared_path(docs.sparkSession, "token-files")
-    kind = f"<u{id_bytes}"
+    kind = _kind(tokenizer)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     parts = durable(
