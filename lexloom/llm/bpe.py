@@ -71,8 +71,8 @@ def _path(prefixes: tuple, upto: int) -> tuple[int, ...]:
 class Transducer:
     """Tokens of byte strings.
 
-    The first ``most`` states met are kept; later ones are made for the piece at hand only,
-    so the frequent ones stay and memory is bounded.
+    The first ``most`` states met are kept, so the frequent ones stay and memory is bounded. Where a
+    piece leaves them, its rest is read prefix by prefix in the same way without making states.
     """
 
     def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
@@ -84,7 +84,7 @@ class Transducer:
         self.bytes = [bytes([i]) for i in range(256)]
         self.agrees: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple[int, bytes], _State] = {}
-        self.start = self._state(b"", ((-1, -1),), (0,))[0]
+        self.start = self._state(b"", ((-1, -1),), (0,))
 
     def _follows(self, last: int, token: int) -> bool:
         """Whether ``token`` after ``last`` (-1: the beginning) is what merging gives."""
@@ -97,30 +97,36 @@ class Transducer:
             known = self.agrees[last, token] = merge(before + self.tokens[token], self.ranks) == wanted
         return known
 
-    def _state(self, pending: bytes, prefixes: tuple, open_: tuple[int, ...]) -> tuple[_State, bool]:
-        """The state, and whether it is kept."""
+    def _state(self, pending: bytes, prefixes: tuple, open_: tuple[int, ...]) -> _State:
         key = (prefixes[0][0], pending)
         state = self.states.get(key)
-        if state is not None:
-            return state, True
-        state = _State(pending, prefixes, open_)
-        kept = len(self.states) < self.most
-        if kept:
-            self.states[key] = state
-        return state, kept
+        if state is None:
+            state = self.states[key] = _State(pending, prefixes, open_)
+        return state
+
+    def _last(self, text: bytes, size: int, prefixes, open_) -> tuple[int, int]:
+        """The last token of the first ``size`` bytes, and where it starts."""
+        for start in open_:
+            token = self.ranks.get(text[start:size])
+            if token is not None and self._follows(prefixes[start][0], token):
+                return token, start
+        raise ValueError("the ranks are not those of merges over single bytes")
+
+    def _rest(self, state: _State, rest: bytes) -> tuple[int, ...]:
+        """The tokens of what is pending and ``rest``."""
+        text, prefixes, open_ = state.pending + rest, list(state.prefixes), list(state.open)
+        heads = self.heads
+        for size in range(len(state.pending) + 1, len(text) + 1):
+            prefixes.append(self._last(text, size, prefixes, open_))
+            open_ = [p for p in open_ if text[p:size] in heads]
+            open_.append(size)
+        return _path(prefixes, len(text))
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        pending, prefixes, ranks = state.pending + self.bytes[byte], state.prefixes, self.ranks
+        pending = state.pending + self.bytes[byte]
         size = len(pending)
-        for start in state.open:
-            token = ranks.get(pending[start:])
-            if token is not None and self._follows(prefixes[start][0], token):
-                prefixes = (*prefixes, (token, start))
-                break
-        else:
-            raise ValueError("the ranks are not those of merges over single bytes")
-        heads = self.heads
-        open_ = (*[p for p in state.open if pending[p:] in heads], size)
+        prefixes = (*state.prefixes, self._last(pending, size, state.prefixes, state.open))
+        open_ = (*[p for p in state.open if pending[p:] in self.heads], size)
         final, emitted = 0, ()
         if open_[0]:
             # The encodings of all open positions agree up to where their paths back first meet.
@@ -137,19 +143,22 @@ class Transducer:
                 *((p[0], p[1] - final) if p and p[1] >= final else None for p in prefixes[final + 1 :]),
             )
             pending, open_ = pending[final:], tuple([p - final for p in open_])
-        there, kept = self._state(pending, prefixes, open_)
-        if kept:
-            state.steps[byte] = (there, emitted)
-        return there, emitted
+        made = state.steps[byte] = (self._state(pending, prefixes, open_), emitted)
+        return made
 
     def __call__(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece; a piece that is a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, out, step = self.start, (), self._step
-        for byte in piece:
-            state, emitted = state.steps.get(byte) or step(state, byte)
+        state, out = self.start, ()
+        for at, byte in enumerate(piece):
+            made = state.steps.get(byte)
+            if made is None:
+                if len(self.states) >= self.most:
+                    return out + self._rest(state, piece[at:])
+                made = self._step(state, byte)
+            state, emitted = made
             if emitted:
                 out += emitted
         if state.end is None:
@@ -178,7 +187,7 @@ class _Pieces(dict):
 class BpeCodec:
     """Encodes texts and decodes ids with one rank file and one splitting pattern."""
 
-    def __init__(self, path: str, pattern: str, pieces: int = 300_000):
+    def __init__(self, path: str, pattern: str, pieces: int = 400_000):
         self.transducer = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
         self.known = _Pieces(self.transducer, pieces)
