@@ -10,6 +10,7 @@ from lexloom.llm.bpe import encode_bpe
 from lexloom.llm.common import learns_from, table
 from lexloom.llm.line_runs import drop_common_lines
 from lexloom.llm.pfair import mix_sources
+from lexloom.llm.repeats import remove_repeats
 from lexloom.llm.robust import judge_quality
 from lexloom.llm.simhash import near_copies
 from lexloom.llm.subword import score_toxicity
@@ -29,6 +30,12 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without strings of fifty bytes that an earlier document has."""
+    left = remove_repeats(table(spark, folder, "documents"), threshold=50)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_robust_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every text, the fixed rule, and outliers within language and source."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
@@ -86,6 +93,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
+    "op3_repeats": op3_repeats,
     "op5_robust_quality": op5_robust_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pfair_mix": op7_pfair_mix,
