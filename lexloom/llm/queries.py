@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.bpe import encode_bpe
 from lexloom.llm.common import learns_from, table
 from lexloom.llm.line_runs import drop_common_lines
+from lexloom.llm.ngram_trie import score_held_out
 from lexloom.llm.pfair import mix_sources
 from lexloom.llm.repeats import remove_repeats
 from lexloom.llm.robust import judge_quality
@@ -36,6 +37,11 @@ def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_ngram_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every text under a trigram model of six sevenths of them."""
+    return score_held_out(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op5_robust_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every text, the fixed rule, and outliers within language and source."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
@@ -94,6 +100,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
     "op3_repeats": op3_repeats,
+    "op4_ngram_scores": op4_ngram_scores,
     "op5_robust_quality": op5_robust_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_pfair_mix": op7_pfair_mix,
