@@ -185,7 +185,7 @@ class _Slice:
 
 def _split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]]:
     """Order of ``keys`` by bucket (ascending within), and the part of each bucket."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
     return order, [slice(a, b) for a, b in zip(cuts, cuts[1:])]

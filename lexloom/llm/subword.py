@@ -43,7 +43,7 @@ def _subwords(words: list[str], bits: int, shortest: int, longest: int) -> tuple
         turn = place.astype(np.uint64)
         found.append(np.add.reduceat((points + np.uint64(7)) * (turn * _MIX ^ (turn << np.uint64(40))), ends - sizes))
         rolling = np.zeros(len(points), np.uint64)
-        for n in range(1, longest + 1):
+        for n in range(1, min(longest, len(points)) + 1):
             rolling[: len(points) - n + 1] = rolling[: len(points) - n + 1] * _MIX + points[n - 1 :]
             if n >= shortest:
                 keep = np.flatnonzero(room >= n)

@@ -49,13 +49,13 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """All inner products of integer rows, exactly: in doubles where they hold them, else in whole numbers."""
+    """All inner products of integer rows, exactly: in doubles where they hold them, else in Python's whole numbers."""
     if not queries.size or not rows.size:
         return np.zeros((len(queries), len(rows)), np.int64)
     bound = float(np.abs(queries.astype(float)).max()) * float(np.abs(rows.astype(float)).max()) * queries.shape[1]
     if bound < _EXACT:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    return (queries.astype(object) @ rows.astype(object).T).astype(np.int64)
+    return queries.astype(object) @ rows.astype(object).T
 
 
 def _survivors(query: np.ndarray, length: float, beat: float, rows: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -128,7 +128,7 @@ def _visit(k: int):
                     if not len(left):
                         continue
                     top_ids = np.concatenate([top_ids, ids[left]])
-                    top_scores = np.concatenate([top_scores, products(query[None, :], held[left])[0]])
+                    top_scores = np.concatenate([top_scores, products(query[None, :], held[left])[0].astype(np.int64)])
                     best = _best(top_scores, top_ids, k)
                     top_ids, top_scores = top_ids[best], top_scores[best]
                     if len(top_ids) == k:
@@ -157,7 +157,7 @@ def top_products(
     ``queries`` is a condition on ``vec_id``. The score is the inner product of floor(``scale`` * x). A query's
     candidates are all rows of other ids with as many components; fewer than ``k`` are
     all returned. Unusable rows (see ``whole_vectors``) take no part; a table without
-    usable rows gives an empty result.
+    usable rows gives an empty result. A score that a long cannot hold raises.
 
     Queries and vectors meet in groups of at most about ``query_rows`` and ``group_rows`` rows,
     split by a hash, so a length that a third of all vectors share is spread as well.
