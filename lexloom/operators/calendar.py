@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,12 +32,14 @@ def weekend(day: Column) -> Column:
 def court_calendar(
     spark: SparkSession, first: date, last: date, published: DataFrame | None = None
 ) -> DataFrame:
-    """One row per court and day: reason, open, open_index, next_open.
+    """One row per court and day: reason, open, open_index, next_open, last_day.
 
     ``published`` has ``court``, ``day``, ``occasion``. Weekends come before fixed
     holidays and these before published ones. ``open_index`` counts open days up to
     and including the day; ``next_open`` is the first open day on or after it, or the
-    day 60 days on if none is open before.
+    day 60 days on if none is open before. ``last_day`` is the end of the calendar. A day
+    outside ``first`` to ``last`` makes the operators below fail, so take the range from the
+    data (:func:`calendar_over`).
 
     The windows hold the days of one court, so their size is set by the range.
     """
@@ -68,7 +71,32 @@ def court_calendar(
             F.date_add("day", CLOSURE_SEARCH_DAYS),
         ),
     )
-    return counted.where(F.col("day") <= F.lit(last))
+    return counted.where(F.col("day") <= F.lit(last)).withColumn("last_day", F.lit(last))
+
+
+def calendar_over(
+    df: DataFrame, days: Sequence[Column], published: DataFrame | None = None
+) -> DataFrame:
+    """The calendar from the earliest to the latest of ``days`` in ``df``.
+
+    Name every day that will be looked up: starts, ends of periods, and for working days
+    :func:`working_days_limit`. Takes one aggregate over ``df``. Without any day it holds one.
+    """
+    low, high = F.min(F.least(*days, days[0])), F.max(F.greatest(*days, days[0]))
+    row = df.agg(low.alias("low"), high.alias("high")).first()
+    first, last = row.low or date(2000, 1, 1), row.high or date(2000, 1, 1)
+    return court_calendar(df.sparkSession, first, last, published)
+
+
+def working_days_limit(start: Column, count: Column) -> Column:
+    """The day on which the search for the ``count``-th working day ends."""
+    return F.date_add(start, (F.greatest(count, F.lit(0)) * 5 + CLOSURE_SEARCH_DAYS).cast("int"))
+
+
+def _within(day: Column, found: Column, value: Column) -> Column:
+    """``value``; NULL for a NULL day; an error for a day the calendar does not have."""
+    outside = F.concat(F.lit("no calendar day for "), day.cast("string"))
+    return F.when(day.isNotNull() & found.isNull(), F.raise_error(outside).cast("date")).otherwise(value)
 
 
 def calendar_name(df: DataFrame, court: str, published: DataFrame | None) -> DataFrame:
@@ -84,22 +112,37 @@ def calendar_name(df: DataFrame, court: str, published: DataFrame | None) -> Dat
 
 
 def with_next_open(df: DataFrame, day: str, calendar: DataFrame, out: str, court: str = "__calendar") -> DataFrame:
-    """Add ``out`` (next open day) and ``{out}_reason`` (why ``day`` is closed)."""
+    """Add ``out`` (next open day) and ``{out}_reason`` (why ``day`` is closed).
+
+    A day that ``calendar`` does not have is an error; a NULL day gives NULL.
+    """
     side = calendar.select(
         F.col("court").alias("__c"), F.col("day").alias("__d"),
         F.col("next_open").alias(out), F.col("reason").alias(f"{out}_reason"),
     )
     on = (F.col(court) == F.col("__c")) & (F.col(day) == F.col("__d"))
-    return df.join(side, on, "left").drop("__c", "__d")
+    joined = df.join(side, on, "left")
+    return joined.withColumn(out, _within(F.col(day), F.col("__d"), F.col(out))).drop("__c", "__d")
 
 
 def with_open_index(df: DataFrame, day: str, calendar: DataFrame, out: str, court: str = "__calendar") -> DataFrame:
-    """Add ``out``: open days up to and including ``day``."""
+    """Add ``out`` (open days up to and including ``day``) and ``{out}_end`` (the calendar's end).
+
+    A day that ``calendar`` does not have is an error; a NULL day gives NULL.
+    """
     side = calendar.select(
-        F.col("court").alias("__c"), F.col("day").alias("__d"), F.col("open_index").alias(out)
+        F.col("court").alias("__c"), F.col("day").alias("__d"),
+        F.col("open_index").alias(out), F.col("last_day").alias(f"{out}_end"),
     )
     on = (F.col(court) == F.col("__c")) & (F.col(day) == F.col("__d"))
-    return df.join(side, on, "left").drop("__c", "__d")
+    ended = _within(F.col(day), F.col("__d"), F.col(f"{out}_end"))
+    # Both columns hang on the check, so that neither is read without it.
+    return (
+        df.join(side, on, "left")
+        .withColumn(f"{out}_end", ended)
+        .withColumn(out, F.when(F.col(f"{out}_end").isNotNull(), F.col(out)))
+        .drop("__c", "__d")
+    )
 
 
 def add_working_days(
@@ -107,7 +150,8 @@ def add_working_days(
 ) -> DataFrame:
     """Add ``out``: the ``count``-th open day after ``start``; 0 gives ``start``.
 
-    The search ends after five days per working day plus 60.
+    The search ends after five days per working day plus 60. A calendar that ends before
+    both the day sought and that limit is an error.
     """
     indexed = with_open_index(df, start, calendar, "__from", court).withColumn(
         "__target", F.col("__from") + F.col(count)
@@ -116,14 +160,19 @@ def add_working_days(
         F.col("court").alias("__c"), F.col("open_index").alias("__i"), F.col("day").alias("__found")
     )
     on = (F.col(court) == F.col("__c")) & (F.col("__target") == F.col("__i"))
-    limit = F.date_add(F.col(start), (F.col(count) * 5 + CLOSURE_SEARCH_DAYS).cast("int"))
+    limit = working_days_limit(F.col(start), F.col(count))
+    short = F.raise_error(F.concat(F.lit("the calendar ends before working days after "), F.col(start).cast("string")))
     return (
         indexed.join(opens, on, "left")
         .withColumn(
             out,
-            F.when(F.col(count) <= 0, F.col(start)).otherwise(F.least(F.col("__found"), limit)),
+            F.when(F.col(start).isNull() | F.col(count).isNull(), F.lit(None).cast("date"))
+            .when(F.col(count) <= 0, F.col(start))
+            .when(F.col("__found").isNotNull(), F.least(F.col("__found"), limit))
+            .when(limit <= F.col("__from_end"), limit)
+            .otherwise(short.cast("date")),
         )
-        .drop("__from", "__target", "__c", "__i", "__found")
+        .drop("__from", "__from_end", "__target", "__c", "__i", "__found")
     )
 
 
@@ -139,7 +188,7 @@ def working_days_between(
         F.when(F.col(end) <= F.col(start), F.lit(0).cast("bigint")).otherwise(
             F.col("__b") - F.col("__a")
         ),
-    ).drop("__a", "__b")
+    ).drop("__a", "__a_end", "__b", "__b_end")
 
 
 def deadlines(

@@ -89,7 +89,7 @@ def positions(claims: DataFrame, calendar: DataFrame | None = None) -> DataFrame
         final = dated.withColumn("expiry", F.col("unadjusted_expiry"))
     else:
         final = with_next_open(dated, "unadjusted_expiry", calendar, "__open").withColumn(
-            "expiry", F.coalesce("__open", "unadjusted_expiry")
+            "expiry", F.col("__open")
         ).drop("__open", "__open_reason")
     return _explained(final).drop("__ack", "__applied", "__ready", "__forum", "provisional_expiry")
 

@@ -17,7 +17,6 @@ from lexloom.sources import schemas
 from workload.tables import Tables, with_tables
 
 AS_ON = date(1999, 6, 15)
-FIRST, LAST = date(1990, 1, 1), date(2030, 12, 31)
 
 
 def _iso(*names):
@@ -28,13 +27,18 @@ def _iso(*names):
 
 _RULE_KEYS = ",".join(r[0] for r in LIMITATION_RULES)
 
+#: Some claims lie decades before the others, some decades after.
+_SHIFTED = (
+    "(CAST(o_orderdate AS DATE) + CAST(CASE o_orderkey % 23 WHEN 0 THEN 14600 WHEN 1 THEN -20000 ELSE 0 END AS INT))"
+)
+
 RECORDS = {
     "claims": f"""
 SELECT o_orderkey AS claim_id, split_part('{_RULE_KEYS}', ',', CAST(o_orderkey % 31 AS INT) + 1) AS rule_key,
-  CAST(o_orderdate AS DATE) AS start_date,
-  CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 1500 AS INT) ELSE NULL END AS acknowledged,
-  CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) + 3 ELSE NULL END AS copy_applied,
-  CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) + 3 + CAST(o_orderkey % 30 AS INT) ELSE NULL END AS copy_ready,
+  {_SHIFTED} AS start_date,
+  CASE WHEN o_orderkey % 7 = 0 THEN {_SHIFTED} + CAST(o_orderkey % 1500 AS INT) ELSE NULL END AS acknowledged,
+  CASE WHEN o_orderkey % 5 = 0 THEN {_SHIFTED} + 3 ELSE NULL END AS copy_applied,
+  CASE WHEN o_orderkey % 5 = 0 THEN {_SHIFTED} + 3 + CAST(o_orderkey % 30 AS INT) ELSE NULL END AS copy_ready,
   CAST(CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey % 50 ELSE 0 END AS INT) AS wrong_forum_days,
   'Court ' || CAST(o_custkey % 40 AS STRING) AS court
 FROM {{orders}}""",
@@ -80,8 +84,8 @@ def _published(t):
     return t["notices"].select("court", F.col("day").cast("date").alias("day"), "occasion")
 
 
-def _calendar(t):
-    return calendar.court_calendar(t.spark, FIRST, LAST, _published(t))
+def _calendar(t, rows, *days):
+    return calendar.calendar_over(rows, [F.col(d) if isinstance(d, str) else d for d in days], _published(t))
 
 
 # --- queries -------------------------------------------------------------------------
@@ -91,7 +95,8 @@ def limitation_positions(spark, folder):
     """Limitation position of every claim, rolled to an open day."""
     t = Records(spark, folder)
     claims = calendar.calendar_name(t["claims"], "court", _published(t))
-    rows = limitation.standing(limitation.positions(claims, _calendar(t)), AS_ON)
+    ends = limitation.positions(t["claims"].drop("court"))
+    rows = limitation.standing(limitation.positions(claims, _calendar(t, ends, "unadjusted_expiry")), AS_ON)
     return rows.select(
         "claim_id", *_iso("base_expiry", "expiry"), "restarted", "days_remaining", "expired", "urgency",
         F.array_join(F.transform("exclusions", lambda e: e["provision"]), ",").alias("exclusions"),
@@ -128,7 +133,7 @@ def next_open_days(spark, folder):
     """Next open day of every claim's start."""
     t = Records(spark, folder)
     claims = calendar.calendar_name(t["claims"], "court", _published(t))
-    rows = calendar.with_next_open(claims, "start_date", _calendar(t), "open_day")
+    rows = calendar.with_next_open(claims, "start_date", _calendar(t, claims, "start_date"), "open_day")
     return rows.select("claim_id", *_iso("open_day"), F.coalesce("open_day_reason", F.lit("")).alias("reason"))
 
 
@@ -138,7 +143,8 @@ def working_days_added(spark, folder):
     claims = calendar.calendar_name(t["claims"], "court", _published(t)).withColumn(
         "n", (F.col("claim_id") % 25).cast("int")
     )
-    rows = calendar.add_working_days(claims, "start_date", "n", _calendar(t), "due")
+    span = _calendar(t, claims, "start_date", calendar.working_days_limit(F.col("start_date"), F.col("n")))
+    rows = calendar.add_working_days(claims, "start_date", "n", span, "due")
     return rows.select("claim_id", "n", *_iso("due"))
 
 
@@ -150,7 +156,7 @@ def working_days_between(spark, folder):
         "'Court ' || CAST(o_custkey % 40 AS STRING) AS court FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey"
     )
     named = calendar.calendar_name(spans, "court", _published(t))
-    rows = calendar.working_days_between(named, "a", "b", _calendar(t), "working_days")
+    rows = calendar.working_days_between(named, "a", "b", _calendar(t, spans, "a", "b"), "working_days")
     return rows.groupBy("l_orderkey").agg(F.sum("working_days").alias("working_days"), F.count("*").alias("lines"))
 
 
@@ -158,7 +164,8 @@ def court_deadlines(spark, folder):
     """Two months from every claim's start, moved off closed days."""
     t = Records(spark, folder)
     claims = calendar.calendar_name(t["claims"], "court", _published(t)).withColumn("n", F.lit(2))
-    rows = calendar.deadlines(claims, "start_date", "n", "months", _calendar(t))
+    span = _calendar(t, claims, "start_date", F.add_months("start_date", 2))
+    rows = calendar.deadlines(claims, "start_date", "n", "months", span)
     return rows.select("claim_id", *_iso("deadline", "moved_from"), "closure_reason", "day_of_week")
 
 
@@ -302,7 +309,9 @@ EXTRA = {
     "pairs": f"SELECT * FROM (VALUES {_PAIRS}) AS p(domain, old_section, new_section, subject)",
     "fixed": f"SELECT * FROM (VALUES {_FIXED_ROWS}) AS f(m, d, o)",
     "courts": "SELECT DISTINCT court FROM {notices} UNION ALL SELECT ''",
-    "days": f"SELECT CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS day",
+    "days": """
+SELECT CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS day
+FROM (SELECT min(start_date) AS first, CAST(max(start_date) + INTERVAL 40 YEAR AS DATE) AS last FROM {claims})""",
     "calendar": f"""
 SELECT c.court, d.day, CASE dayofweek(d.day) WHEN 0 THEN 'Sunday' WHEN 6 THEN 'Saturday' ELSE CASE {_FIXED.replace('(day)', '(d.day)')} ELSE n.occasion END END AS reason
 FROM {{courts}} c CROSS JOIN {{days}} d LEFT JOIN {{notices}} n ON n.court = c.court AND CAST(n.day AS DATE) = d.day""",
@@ -361,10 +370,11 @@ SELECT claim_id, CAST(claim_id % 25 AS INT) AS n, strftime(CASE WHEN claim_id %
   ELSE least((SELECT min(o.day) FROM {opens} o WHERE o.court = c.cal AND o.n = coalesce(b.n, 0) + claim_id % 25), start_date + CAST(claim_id % 25 * 5 + 60 AS INT)) END, '%Y-%m-%d') AS due
 FROM {claim_courts} c ASOF LEFT JOIN {opens} b ON b.court = c.cal AND b.day <= c.start_date""",
     "working_days_between": """
-SELECT l_orderkey, CAST(sum(CASE WHEN b > a THEN (SELECT count(*) FROM {opens} o WHERE o.court = cal AND o.day > a AND o.day <= b) ELSE 0 END) AS BIGINT) AS working_days, count(*) AS lines
+SELECT l_orderkey, CAST(sum(CASE WHEN b > a THEN coalesce(ob.n, 0) - coalesce(oa.n, 0) ELSE 0 END) AS BIGINT) AS working_days, count(*) AS lines
 FROM (SELECT l_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(l_shipdate AS DATE) AS b,
     CASE WHEN 'Court ' || CAST(o_custkey % 40 AS VARCHAR) IN (SELECT court FROM {notices}) THEN 'Court ' || CAST(o_custkey % 40 AS VARCHAR) ELSE '' END AS cal
-  FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey) GROUP BY l_orderkey""",
+  FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey) s
+ASOF LEFT JOIN {opens} oa ON oa.court = s.cal AND oa.day <= s.a ASOF LEFT JOIN {opens} ob ON ob.court = s.cal AND ob.day <= s.b GROUP BY l_orderkey""",
     "court_deadlines": """
 SELECT claim_id, strftime(d, '%Y-%m-%d') AS deadline, CASE WHEN d <> e THEN strftime(e, '%Y-%m-%d') END AS moved_from, CASE WHEN d <> e THEN reason END AS closure_reason, dayname(d) AS day_of_week
 FROM (SELECT c.claim_id, c.e, k.reason, CASE WHEN o.day IS NULL OR o.day > c.e + 59 THEN c.e + 60 ELSE o.day END AS d
