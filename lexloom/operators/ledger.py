@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.operators.ordering import running_total
-from lexloom.rules.matters import CALL_PRICES
+from lexloom.session import durable
 
 _PAISE = 100
 
@@ -20,12 +20,13 @@ def admit_calls(calls: DataFrame, budget: float, day: str = "day", order: tuple[
 
     Once a price is refused, that price and every higher one stay refused for the
     day. So each round finds, per day, the first call that no longer fits and
-    closes its price; there are at most as many rounds as prices.
+    closes its price, until no day has one; that takes one round more than the prices that
+    the busiest day closes, whatever prices the calls have. A price above the cap closes at once,
+    without a round.
     """
     cap = round(budget * _PAISE)
-    prices = sorted({round(p * _PAISE) for p in CALL_PRICES.values()})
-    rows = calls.withColumn("admitted", F.lit(True))
-    for _ in prices:
+    rows = calls.withColumn("admitted", F.col("cost_paise") <= cap)
+    while True:
         spend = F.when(F.col("admitted"), F.col("cost_paise")).otherwise(0).cast("bigint")
         totals = running_total(rows, [day], list(order), spend, "__spent")
         key = F.struct(*order)
@@ -34,6 +35,9 @@ def admit_calls(calls: DataFrame, budget: float, day: str = "day", order: tuple[
             .groupBy(day)
             .agg(F.min(key).alias("__at"), F.min_by("cost_paise", key).alias("__price"))
         )
+        closing = durable(closing)
+        if closing.isEmpty():
+            return totals.drop("__spent")
         rows = (
             totals.join(closing, day, "left")
             .withColumn(
@@ -45,7 +49,6 @@ def admit_calls(calls: DataFrame, budget: float, day: str = "day", order: tuple[
             )
             .drop("__spent", "__at", "__price")
         )
-    return rows
 
 
 def daily_spend(calls: DataFrame, budget: float, day: str = "day") -> DataFrame:

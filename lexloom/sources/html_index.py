@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.errors import InvalidRequest
 from lexloom.functions.text import (
     loose_date,
     squash,
@@ -156,22 +158,27 @@ def law_report_cases(pages: DataFrame, key: str, html: str, label: str) -> DataF
     )
 
 
-def reachable_pages(start: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def reachable_pages(start: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Pages reachable from ``start.url`` along ``edges`` (src, dst), with their depth.
 
-    One join per level; each level's frontier leaves out pages already seen. The
-    visited set is written to the shared folder, so that the plan does not grow.
+    One join per level, until a level brings no new page; each level's frontier leaves
+    out pages already seen. Every level is a table of its own in the shared folder, so the plan does
+    not grow and nothing is written twice. If pages lie beyond ``max_depth`` the crawl fails
+    rather than end early.
     """
-    seen = start.select("url").distinct().withColumn("depth", F.lit(0))
-    for depth in range(1, max_rounds + 1):
+    levels = [durable(start.select("url").distinct().withColumn("depth", F.lit(0)))]
+    while True:
+        depth = len(levels)
+        seen = functools.reduce(DataFrame.unionByName, levels)
         frontier = (
-            seen.where(F.col("depth") == depth - 1)
+            levels[-1]
             .join(edges, F.col("url") == F.col("src"))
             .select(F.col("dst").alias("url")).distinct()
             .join(seen.select("url"), "url", "left_anti")
         )
         fresh = durable(frontier.withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
-            break
-        seen = durable(seen.unionByName(fresh))
-    return seen
+            return seen
+        if max_depth is not None and depth > max_depth:
+            raise InvalidRequest(f"pages lie beyond depth {max_depth}")
+        levels.append(fresh)

@@ -73,7 +73,9 @@ SELECT o_orderkey, '<?xml version="1.0"?><ListBucketResult xmlns="http://s3.amaz
   '</Key><Size>' || CAST(o_orderkey * 10 AS STRING) || '</Size></Contents><Contents><Key>readme.txt</Key><Size>1</Size></Contents><IsTruncated>false</IsTruncated>' || CASE WHEN o_orderkey % 11 = 0 THEN '<NextContinuationToken>t' || CAST(o_orderkey AS STRING) || '</NextContinuationToken>' ELSE '' END || '</ListBucketResult>' AS body
 FROM {{orders}}""",
     "page_edges": """
-SELECT DISTINCT 'c' || CAST(o_custkey AS STRING) AS src, 'c' || CAST(o_orderkey % (SELECT count(*) FROM {customer}) AS STRING) AS dst FROM {orders}""",
+SELECT DISTINCT 'c' || CAST(o_custkey AS STRING) AS src, 'c' || CAST(o_orderkey % (SELECT count(*) FROM {customer}) AS STRING) AS dst FROM {orders}
+UNION ALL SELECT 'c' || CAST(c_custkey AS STRING), 'd' || CAST(c_custkey AS STRING) FROM {customer} WHERE c_custkey = 1
+UNION ALL SELECT 'd' || CAST(c_custkey AS STRING), 'd' || CAST(c_custkey + 1 AS STRING) FROM {customer} WHERE c_custkey < 16""",
     "written_dates": """
 SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
   WHEN 1 THEN lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || '/' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '/' || CAST(year(o_orderdate) AS STRING)
@@ -500,5 +502,5 @@ _EDGES = with_tables("SELECT * FROM {page_edges}", EXTRA)
 _EDGE_CTES = _EDGES[len("WITH ") : _EDGES.rindex("\n")]
 ORACLE["reachable_pages"] = f"""WITH RECURSIVE {_EDGE_CTES},
 walk AS (SELECT 'c' || min(c_custkey) AS url, 0 AS depth FROM customer
-UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN page_edges e ON e.src = w.url WHERE w.depth < 12)
+UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN page_edges e ON e.src = w.url WHERE w.depth < 32)
 SELECT url, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY url"""

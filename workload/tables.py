@@ -105,7 +105,7 @@ SELECT doc_id + 1 AS id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 200 +
 FROM {documents}""",
     "paid_calls": f"""
 SELECT event_id AS id, ts, CAST(ts AS DATE) AS day,
-  CASE event_type WHEN 'view' THEN 50 WHEN 'click' THEN 20 WHEN 'purchase' THEN 50 ELSE 5 END AS cost_paise
+  CASE event_type WHEN 'view' THEN 50 + CAST(event_id % 7 AS INT) WHEN 'click' THEN 20 WHEN 'purchase' THEN 40 + CAST(event_id % 11 AS INT) ELSE 5 END AS cost_paise
 FROM {{events}}""",
     # Each order cites its own judgment, a neighbour's or a made-up one.
     "briefs": f"""
