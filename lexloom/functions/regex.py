@@ -79,12 +79,12 @@ def with_located_each(
     df: DataFrame, text: str, patterns: dict[str, str], limit: int | None = None,
     required: dict[str, str] | None = None,
 ) -> DataFrame:
-    """:func:`with_located` for several patterns, as three projections in all.
+    """:func:`with_located` for several patterns, as five projections in all; linear in the matches.
 
     ``required`` gives, for case-blind patterns, lower-case text without which they
     cannot match; a pattern is only tried on texts that contain it.
     """
-    raws, gaps, located = [], [], []
+    raws, gaps, steps, sums, located = [], [], [], [], []
     columns = df.columns
     if required:
         df = df.selectExpr("*", f"{folded(text)} AS __folded")
@@ -100,22 +100,48 @@ def with_located_each(
             f"CASE WHEN size(__{out}_raws) > 0 THEN split({text}, {literal}, {limit + 1 if limit else -1}) "
             f"ELSE array() END AS __{out}_gaps"
         )
-        located.append(f"{_offsets(f'__{out}_raws', f'__{out}_gaps')} AS {out}")
+        steps.append(f"{_blocks(f'__{out}_raws', f'__{out}_gaps')} AS __{out}_blocks")
+        sums.append(f"{_bases(f'__{out}_blocks')} AS __{out}_bases")
+        located.append(
+            f"{_offsets(f'__{out}_raws', f'__{out}_gaps', f'__{out}_blocks', f'__{out}_bases')} AS {out}"
+        )
     return (
-        df.selectExpr("*", *raws).selectExpr("*", *gaps).selectExpr(*columns, *located)
+        df.selectExpr("*", *raws)
+        .selectExpr("*", *gaps)
+        .selectExpr("*", *steps)
+        .selectExpr("*", *sums)
+        .selectExpr(*columns, *located)
     )
 
 
-def _offsets(raws: str, gaps: str) -> str:
-    """Text before match i is gaps 0..i and matches 0..i-1."""
-    step = (
-        f"zip_with({raws}, slice({gaps}, 1, size({raws})), "
-        "(raw, gap) -> length(gap) + length(raw))"
-    )
+#: Running sums copy what they have so far, so they are made within blocks of this many matches.
+_BLOCK = 256
+_RUNNING = "aggregate({}, array(0), (done, n) -> concat(done, array(element_at(done, -1) + n)))"
+
+
+def _blocks(raws: str, gaps: str) -> str:
+    """Blocks of the lengths of each match with the text before it."""
+    step = f"zip_with({raws}, slice({gaps}, 1, size({raws})), (raw, gap) -> length(gap) + length(raw))"
+    # The steps are an argument of the inner function, so they are worked out once.
     return (
-        f"transform({raws}, (raw, i) -> named_struct("
-        f"'pos', aggregate(slice({step}, 1, i + 1), 0, (a, n) -> a + n) - length(raw), 'raw', raw))"
+        f"transform(array({step}), steps -> transform(sequence(0, greatest(size(steps) - 1, 0) div {_BLOCK}), "
+        f"b -> slice(steps, b * {_BLOCK} + 1, {_BLOCK})))[0]"
+    )
+
+
+def _bases(blocks: str) -> str:
+    """Text before each block, and the whole."""
+    return _RUNNING.format(f"transform({blocks}, x -> aggregate(x, 0, (total, n) -> total + n))")
+
+
+def _offsets(raws: str, gaps: str, blocks: str, bases: str) -> str:
+    """Text before a match: before its block, before it within the block, and its own gap."""
+    before = (
+        f"flatten(zip_with({blocks}, slice({bases}, 1, size({blocks})), "
+        f"(x, base) -> transform(slice({_RUNNING.format('x')}, 1, size(x)), n -> n + base)))"
     )
+    starts = f"zip_with({before}, slice({gaps}, 1, size({raws})), (n, gap) -> n + length(gap))"
+    return f"zip_with({raws}, {starts}, (raw, pos) -> named_struct('pos', pos, 'raw', raw))"
 
 
 def around(text: Column, start: Column, end: Column, before: int, after: int) -> Column:

@@ -66,7 +66,7 @@ def chunk_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     pieces = F.filter(F.transform("pieces", strip), lambda s: s != "")
     whole = F.array(strip(F.col(text)))
     units = F.when(F.size(pieces) > 0, pieces).otherwise(whole)
-    folded = cut.select(key, units.alias("units")).select(key, _fold(F.col("units")).alias("chunks"))
+    folded = _fold(cut.select(key, units.alias("units")), key)
     numbered = folded.select(key, F.posexplode("chunks").alias("chunk_index", "content"))
     line = strip(F.substring_index("content", "\n", 1))
     return numbered.withColumn(
@@ -74,61 +74,88 @@ def chunk_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _state(buffer: Column, done: Column) -> Column:
-    return F.struct(buffer.alias("buffer"), done.alias("done"))
+def _groups(lengths: Column, breaks: Callable[[Column, Column], Column], alone: Callable[[Column], Column]) -> Column:
+    """How texts of ``lengths`` fall into chunks: array of ``struct<first, count, alone>``.
 
+    ``breaks(held, n)`` says whether a text of ``n`` characters starts a new chunk when ``held`` characters wait;
+    ``alone(n)`` whether it is a chunk of its own. Only whole numbers are carried along, so
+    the fold is linear in the text.
+    """
+    none = F.array().cast("array<struct<first:int,count:int,alone:boolean>>")
 
-def _flushed(state: Column) -> Column:
-    """Finished chunks with a non-empty buffer added."""
-    return F.concat(
-        state["done"],
-        F.filter(F.array(state["buffer"]), lambda b: b != ""),
-    )
-
+    def state(held, first, done):
+        return F.struct(held.cast("int").alias("held"), first.cast("int").alias("first"), done.alias("done"))
 
-def _joined(a: Column, b: Column) -> Column:
-    return F.when(a == "", b).otherwise(F.concat(a, F.lit("\n\n"), b))
+    def closed(s, upto, last=None):
+        entry = F.struct(
+            s["first"].alias("first"), (upto - s["first"]).cast("int").alias("count"), F.lit(False).alias("alone")
+        )
+        waiting = F.when(s["held"] > 0, F.array(entry)).otherwise(none)
+        return F.concat(s["done"], waiting) if last is None else F.concat(s["done"], waiting, F.array(last))
 
+    def step(s, x):
+        i, n = x["i"], x["n"]
+        own = F.struct(i.alias("first"), F.lit(1).alias("count"), F.lit(True).alias("alone"))
+        empty = s["held"] == 0
+        return (
+            F.when(alone(n), state(F.lit(0), i + 1, closed(s, i, own)))
+            .when(breaks(s["held"], n), state(n, i, closed(s, i)))
+            .otherwise(
+                state(
+                    F.when(empty, n).otherwise(s["held"] + 2 + n), F.when(empty, i).otherwise(s["first"]), s["done"]
+                )
+            )
+        )
 
-def _paragraphs(unit: Column) -> Column:
-    """A long unit packed into chunks of whole paragraphs."""
-    empty = _state(F.lit(""), F.array().cast("array<string>"))
+    placed = F.transform(lengths, lambda n, i: F.struct(i.alias("i"), n.alias("n")))
+    begin = state(F.lit(0), F.lit(0), none)
+    return F.aggregate(placed, begin, step, lambda s: closed(s, F.lit(2**30)))
 
-    def pack(state, paragraph):
-        full = (
-            F.length(state["buffer"]) + F.length(paragraph) > drafts.MAX_CHUNK_CHARS
-        ) & (state["buffer"] != "")
-        return F.when(
-            full, _state(paragraph, F.concat(state["done"], F.array(strip(state["buffer"]))))
-        ).otherwise(_state(_joined(state["buffer"], paragraph), state["done"]))
 
-    packed = F.aggregate(
-        F.split(unit, "(?U)" + drafts.PARAGRAPH_BREAK, -1), empty, pack,
-        lambda state: F.concat(
-            state["done"],
-            F.filter(F.array(strip(state["buffer"])), lambda b: b != ""),
-        ),
-    )
-    return packed
+def _joined(texts: Column, group: Column) -> Column:
+    return F.array_join(F.slice(texts, group["first"] + 1, group["count"]), "\n\n")
 
 
-def _fold(units: Column) -> Column:
-    start = _state(F.lit(""), F.array().cast("array<string>"))
+def _fold(df: DataFrame, key: str) -> DataFrame:
+    """(key, chunks) from (key, units): short units joined, long ones cut at their blank lines."""
+    size = F.col("units")
+    grouped = df.select(
+        key,
+        "units",
+        _groups(
+            F.transform(size, F.length),
+            lambda held, n: held + n >= drafts.MIN_CHUNK_CHARS,
+            lambda n: n > drafts.MAX_CHUNK_CHARS,
+        ).alias("groups"),
+    )
+    # Each long unit's paragraphs are packed on their own.
+    split = F.transform(
+        F.filter("units", lambda u: F.length(u) > drafts.MAX_CHUNK_CHARS),
+        lambda u: F.split(u, "(?U)" + drafts.PARAGRAPH_BREAK, -1),
+    )
+    parted = grouped.select(key, "units", "groups", split.alias("long"))
 
-    def step(state, unit):
-        return (
-            F.when(
-                F.length(unit) > drafts.MAX_CHUNK_CHARS,
-                _state(F.lit(""), F.concat(_flushed(state), _paragraphs(unit))),
-            )
-            .when(
-                F.length(state["buffer"]) + F.length(unit) < drafts.MIN_CHUNK_CHARS,
-                _state(_joined(state["buffer"], unit), state["done"]),
-            )
-            .otherwise(_state(unit, _flushed(state)))
+    def packed(paragraphs):
+        groups = _groups(
+            F.transform(paragraphs, F.length),
+            lambda held, n: (held + n > drafts.MAX_CHUNK_CHARS) & (held > 0),
+            lambda n: F.lit(False),
         )
-
-    return F.aggregate(units, start, step, _flushed)
+        return F.transform(groups, lambda g: strip(_joined(paragraphs, g)))
+
+    cut = parted.select(key, "units", "groups", F.transform("long", packed).alias("long"))
+    units, long = F.col("units"), F.col("long")
+    # The long chunks are taken in turn: a group that stands alone has its place among those before it.
+    alone = F.filter("groups", lambda g: g["alone"])
+    first_of = F.transform(alone, lambda g: g["first"])
+    placed = cut.select(key, "units", "groups", "long", first_of.alias("firsts"))
+    chunks = F.transform(
+        "groups",
+        lambda g: F.when(
+            g["alone"], F.get(long, (F.array_position(F.col("firsts"), g["first"]) - 1).cast("int"))
+        ).otherwise(F.array(_joined(units, g))),
+    )
+    return placed.select(key, F.filter(F.flatten(chunks), lambda c: c != "").alias("chunks"))
 
 
 def with_embeddings(
