@@ -21,6 +21,7 @@ from dataclasses import dataclass, replace
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from lexloom.session import durable
 
 #: The closing token; no word has a space.
 END = xxhash.xxh3_64_intdigest(b" end of text")
-_SLICE = 5_000_000
+_SLICE = 7_000_000
 #: Steps of a quantised binary logarithm.
 _STEPS = 2048
 
@@ -71,7 +72,7 @@ def map_shard(path: Path) -> dict[str, np.ndarray] | None:
     """The arrays of a shard, mapped; None if the shard is empty."""
     if not path.exists():
         return None
-    data = np.memmap(path, np.uint8, "r")
+    data = np.asarray(np.memmap(path, np.uint8, "r"))
     (size,) = struct.unpack("<q", data[:8].tobytes())
     found = {}
     for name, kind, count, at in json.loads(data[8 : 8 + size].tobytes()):
@@ -111,11 +112,12 @@ def _shard(folder: str, level: int, bucket: int) -> _Words | _Level | None:
 class NgramModel:
     """Where the levels are, and the totals: order, shards, training tokens and different words.
 
-    ``hot`` has for each level its large contexts: keys ascending, counts, weights.
+    Longer n-grams are held from ``least`` occurrences on. ``hot`` has for each level its large contexts: keys ascending, counts, weights.
     """
 
     folder: str
     shards: int
+    least: int = 2
     order: int = 1
     tokens: int = 0
     words: int = 0
@@ -173,7 +175,8 @@ class NgramModel:
 
 
 def _by_bucket(bucket: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = bucket.astype(np.int64)
+    # Sixteen bits are sorted by radix.
+    bucket = bucket.astype(np.uint16 if shards <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(shards + 1)).tolist()
     for number, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -202,6 +205,13 @@ class _Text:
         ends = np.cumsum(self.counts + 2)
         self.first, self.ends = ends - self.counts - 2, ends
         self.owner = np.repeat(np.arange(len(self.counts)), self.counts + 2)
+        self.seen: np.ndarray | None = None
+
+    def known(self, model: NgramModel) -> np.ndarray:
+        """Training count of each different word."""
+        if self.seen is None:
+            self.seen = model.counts(self.hashes)
+        return self.seen
 
     def grams(self, size: int) -> np.ndarray:
         """Places of the first tokens of all ``size``-grams that lie within one text."""
@@ -218,8 +228,11 @@ class _Text:
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of one of each different pair, each pair's number, its count)."""
-    _, first, back, count = np.unique(_mixed(a, b), return_index=True, return_inverse=True, return_counts=True)
-    return first, back, count
+    back, unique = pd.factorize(_mixed(a, b))
+    first = np.empty(len(unique), np.int64)
+    # Written from the end, so that the first of each stays.
+    first[back[::-1]] = np.arange(len(back) - 1, -1, -1)
+    return first, back, np.bincount(back, minlength=len(unique))
 
 
 def _count(model: NgramModel, level: int):
@@ -236,7 +249,7 @@ def _count(model: NgramModel, level: int):
                 yield bucket, _pack(keys[at], count[at].astype(np.uint32))
             return
         at = text.grams(level)
-        if level > 2 and len(at):
+        if len(at):
             both = _kept(model, level - 1, text)
             at = at[both[at] & both[at + 1]]
         if not len(at):
@@ -246,7 +259,7 @@ def _count(model: NgramModel, level: int):
         contexts, words = contexts[first], words[first]
         unique, place, back = np.unique(contexts, return_index=True, return_inverse=True)
         if level == 2:
-            sums = model.counts(unique)
+            sums = text.known(model)[text.tokens[at[first][place]]]
         else:
             where = at[first][place]
             sums, _, _ = model.lookup(level - 1, text.contexts(level - 2, where), text.hashes[text.tokens[where + level - 2]])
@@ -271,10 +284,11 @@ def _count(model: NgramModel, level: int):
 def _kept(model: NgramModel, size: int, text: _Text) -> np.ndarray:
     """For each place whether the ``size``-gram from there is in the model."""
     known = np.zeros(len(text.tokens) + 1, bool)
-    at = text.grams(size)
-    if size > 2:
-        below = _kept(model, size - 1, text)
-        at = at[below[at] & below[at + 1]]
+    if size == 1:
+        known[:-1] = (text.known(model) >= model.least)[text.tokens]
+        return known
+    below, at = _kept(model, size - 1, text), text.grams(size)
+    at = at[below[at] & below[at + 1]]
     if len(at):
         contexts, words = text.contexts(size - 1, at), text.hashes[text.tokens[at + size - 1]]
         first, back, _ = _unique_pairs(contexts, words)
@@ -286,7 +300,7 @@ def _kept(model: NgramModel, size: int, text: _Text) -> np.ndarray:
 _BUILT = "bucket int, entries bigint, total bigint, context bigint, mass double"
 
 
-def _build(model: NgramModel, level: int, least: int, discount: float):
+def _build(model: NgramModel, level: int, discount: float):
     """Merges the counts of one shard and writes it; says how much large contexts have kept."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -308,7 +322,7 @@ def _build(model: NgramModel, level: int, least: int, discount: float):
             new = np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])])
             starts = np.flatnonzero(new)
             counts = np.add.reduceat(counts, starts)
-            keep = counts >= least
+            keep = counts >= model.least
             contexts, sums, words, counts = contexts[starts][keep], sums[starts][keep], words[starts][keep], counts[keep]
             if len(contexts):
                 own, begin = np.unique(contexts, return_index=True)
@@ -374,11 +388,11 @@ def train_model(
     """
     spark = docs.sparkSession
     _, folder = shared_path(spark, "ngram-levels")
-    model = NgramModel(folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    model = NgramModel(folder, int(spark.conf.get("spark.sql.shuffle.partitions")), least)
     rows = docs.select(F.col(text).cast("string").alias("text"))
     for level in range(1, order + 1):
         counted = rows.mapInArrow(_count(model, level), "bucket int, sent binary")
-        built = durable(counted.groupBy("bucket").applyInArrow(_build(model, level, least, discount), _BUILT))
+        built = durable(counted.groupBy("bucket").applyInArrow(_build(model, level, discount), _BUILT))
         totals = built.agg(F.sum("entries").alias("entries"), F.sum("total").alias("total")).first()
         if level == 1:
             model = replace(model, tokens=totals.total or 0, words=totals.entries or 0)
@@ -405,18 +419,17 @@ def _scorer(model: NgramModel, names: list[str], kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches, "text", _SLICE):
             text = _Text(some["text"])
-            known = model.counts(text.hashes)
+            known = text.known(model)
             share = (known + 1.0) / (model.tokens + model.words + 1.0)
             scored = np.ones(len(text.tokens), bool)
             scored[text.first] = False
             base = np.where(scored, np.log10(share)[text.tokens], 0.0)
             full = share[text.tokens]
-            inner = np.ones(len(text.tokens) + 1, bool)
+            # A context that the level below lacks is none here.
+            inner = _kept(model, 1, text)
             for level in range(2, model.order + 1):
                 at = text.grams(level)
-                if level > 2:
-                    # A context that the level below lacks is none here.
-                    at = at[inner[at]]
+                at = at[inner[at]]
                 if not len(at):
                     break
                 contexts, words = text.contexts(level - 1, at), text.hashes[text.tokens[at + level - 1]]
