@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from lexloom.errors import InvalidRequest, SourceUnavailable
-from lexloom.functions.regex import around, flagged, quote, with_located
+from lexloom.functions.regex import around, flagged, quote, sql_string, with_located
 from lexloom.functions.text import count_token, strip, with_tokens
 from lexloom.functions.vectors import cosine
 from lexloom.operators.matters import clamp
 from lexloom.operators.ranking import query_terms
 from lexloom.rules import drafts
-from lexloom.session import spread
 
 # --- ingest --------------------------------------------------------------------
 
@@ -56,18 +55,24 @@ def chunk_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     over 1800 are split at blank lines, but a paragraph is never cut.
     """
     breaks = flagged(drafts.STRUCTURE_BREAK, multiline=True)
-    located = with_located(spread(df.select(key, text)), text, breaks, "m")
-    cuts = f"array_distinct(concat(array(0), transform(m, x -> x.pos), array(length({text}))))"
-    cut = located.selectExpr(key, text, f"{cuts} AS cuts").selectExpr(
-        key, text,
-        "zip_with(slice(cuts, 1, size(cuts) - 1), slice(cuts, 2, size(cuts)), "
-        f"(a, z) -> substring({text}, a + 1, z - a)) AS pieces",
+    marks = sql_string(breaks)
+    # A piece is a break with the text up to the next one, so it is never cut out of the whole.
+    cut = (
+        df.select(key, text)
+        .selectExpr(key, text, f"regexp_extract_all({text}, {marks}, 0) AS raws", f"split({text}, {marks}, -1) AS gaps")
+        .selectExpr(
+            key, text,
+            "concat(slice(gaps, 1, 1), zip_with(raws, slice(gaps, 2, size(raws)), (raw, gap) -> concat(raw, gap))) AS pieces",
+        )
     )
     pieces = F.filter(F.transform("pieces", strip), lambda s: s != "")
     whole = F.array(strip(F.col(text)))
     units = F.when(F.size(pieces) > 0, pieces).otherwise(whole)
     folded = _fold(cut.select(key, units.alias("units")), key)
-    numbered = folded.select(key, F.posexplode("chunks").alias("chunk_index", "content"))
+    # The outer form: the other one adds a filter on the chunks, which is pushed below all of the above.
+    numbered = folded.select(key, F.posexplode_outer("chunks").alias("chunk_index", "content")).where(
+        "content IS NOT NULL"
+    )
     line = strip(F.substring_index("content", "\n", 1))
     return numbered.withColumn(
         "heading_path", F.when(F.length(line) < drafts.HEADING_CHARS, line)
@@ -149,11 +154,16 @@ def _fold(df: DataFrame, key: str) -> DataFrame:
     alone = F.filter("groups", lambda g: g["alone"])
     first_of = F.transform(alone, lambda g: g["first"])
     placed = cut.select(key, "units", "groups", "long", first_of.alias("firsts"))
-    chunks = F.transform(
-        "groups",
-        lambda g: F.when(
-            g["alone"], F.get(long, (F.array_position(F.col("firsts"), g["first"]) - 1).cast("int"))
-        ).otherwise(F.array(_joined(units, g))),
+    # Named a second time outside the function, a column is worked out once, not per group.
+    ready = (F.size(units) >= 0) & (F.size(long) >= 0) & (F.size("firsts") >= 0)
+    chunks = F.when(
+        ready,
+        F.transform(
+            "groups",
+            lambda g: F.when(
+                g["alone"], F.get(long, (F.array_position(F.col("firsts"), g["first"]) - 1).cast("int"))
+            ).otherwise(F.array(_joined(units, g))),
+        ),
     )
     return placed.select(key, F.filter(F.flatten(chunks), lambda c: c != "").alias("chunks"))
 
@@ -192,7 +202,7 @@ def passages(df: DataFrame, key: str, text: str, query: str, limit: int = drafts
     if not terms:
         raise InvalidRequest("query must not be blank")
     pattern = flagged("(?:" + "|".join(quote(t) for t in terms) + ")", ignore_case=True)
-    located = with_located(spread(df.select(key, text)), text, pattern, "m", limit)
+    located = with_located(df.select(key, text), text, pattern, "m", limit)
     exploded = located.select(key, text, F.explode("m").alias("m"))
     end = F.col("m.pos") + F.length("m.raw")
     return exploded.select(
@@ -228,7 +238,7 @@ def text_leg(chunks: DataFrame, key: str, text: str, query: str, k: int, score:
     terms = query_terms(query)
     if not terms:
         raise InvalidRequest("query must not be blank")
-    held = with_tokens(spread(chunks), F.col(text), "__t")
+    held = with_tokens(chunks, F.col(text), "__t")
     for i, term in enumerate(terms):
         held = held.withColumn(f"__n{i}", count_token(F.col("__t"), term))
     every = F.least(*[F.col(f"__n{i}") for i in range(len(terms))], F.lit(2**31 - 1)) > 0

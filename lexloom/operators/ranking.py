@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import count_token, tokens, with_tokens
-from lexloom.session import spread
 
 # The usual BM25 constants.
 K1, B = 1.2, 0.75
 
-#: Postings are spread over this many term buckets, and a bucket over shares by
-#: document, so the postings of a very common term are written by many tasks.
+#: Defaults of an index: term buckets, and shares by document of each bucket, so that the postings
+#: of a very common term are written by many tasks. Both should grow with the collection;
+#: the bucket count is stored with the index.
 TERM_BUCKETS = 64
 BUCKET_SHARES = 8
 
@@ -50,7 +50,7 @@ def rank_query(
     out, or get score zero with ``keep_unscored``.
     """
     terms = query_terms(query)
-    parts = with_tokens(spread(df), _text(text_columns), "__tokens")
+    parts = with_tokens(df, _text(text_columns), "__tokens")
     parts = parts.withColumn("__len", F.size("__tokens").cast("double"))
     counts = {}
     for i, term in enumerate(terms):
@@ -78,27 +78,42 @@ class PostingsIndex:
 
     postings: DataFrame  # term, bucket, key, tf, length
     terms: DataFrame  # term, bucket, df
-    stats: DataFrame  # one row: n, mean_length
+    stats: DataFrame  # one row: n, mean_length, buckets
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def _bucket(term: Column, buckets: int | Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build_index(df: DataFrame, key: str, text_columns: list[str]) -> PostingsIndex:
+def build_index(
+    df: DataFrame, key: str, text_columns: list[str], buckets: int = TERM_BUCKETS
+) -> PostingsIndex:
     """Postings, document frequencies and corpus statistics of ``df``."""
-    texts = spread(df.select(F.col(key).alias("key"), _text(text_columns).alias("text")))
-    docs = texts.select("key", tokens(F.col("text")).alias("t"))
+    texts = df.select(F.col(key).alias("key"), _text(text_columns).alias("text"))
+    docs = texts.select("key", F.array_sort(tokens(F.col("text"))).alias("t"))
     lengths = docs.withColumn("length", F.size("t"))
-    postings = (
-        lengths.select("key", "length", F.explode("t").alias("term"))
-        .groupBy("key", "length", "term")
-        .agg(F.count("*").cast("int").alias("tf"))
-        .withColumn("bucket", _bucket(F.col("term")))
+    # A document is one row, so its terms are counted within it: in sorted order a term's
+    # count is the distance from its first place to the next term's.
+    t = F.col("t")
+    first = F.filter(
+        F.transform(t, lambda term, i: F.struct(term.alias("term"), i.alias("i"))),
+        lambda x: (x["i"] == 0) | (x["term"] != F.get(t, F.greatest(x["i"] - 1, F.lit(0)))),
+    )
+    placed = lengths.select("key", "length", first.alias("first"))
+    f = F.col("first")
+    counted = F.transform(
+        f,
+        lambda x, i: F.struct(
+            x["term"].alias("term"),
+            (F.coalesce(F.get(f, i + 1)["i"], F.col("length")) - x["i"]).cast("int").alias("tf"),
+        ),
+    )
+    postings = placed.select("key", "length", F.inline(counted)).select(
+        "key", "length", "term", "tf", _bucket(F.col("term"), buckets).alias("bucket")
     )
     terms = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
     stats = lengths.agg(
-        F.count("*").alias("n"), F.avg("length").alias("mean_length")
+        F.count("*").alias("n"), F.avg("length").alias("mean_length"), F.lit(buckets).alias("buckets")
     )
     return PostingsIndex(postings, terms, stats)
 
@@ -139,8 +154,9 @@ def rank_index(index: PostingsIndex, query: str, score: str = "score") -> DataFr
     terms = query_terms(query)
     wanted = spark.createDataFrame([(t,) for t in terms], "term string")
     # The buckets are computed once so that they are literals the scan prunes by.
+    held = index.stats.first()
     buckets = [
-        row.b for row in wanted.select(_bucket(F.col("term")).alias("b")).distinct().collect()
+        row.b for row in wanted.select(_bucket(F.col("term"), held.buckets).alias("b")).distinct().collect()
     ]
     in_query = F.col("bucket").isin(buckets) & F.col("term").isin(terms)
     per_term = index.terms.where(in_query).select("term", "df")
@@ -148,10 +164,9 @@ def rank_index(index: PostingsIndex, query: str, score: str = "score") -> DataFr
         index.postings.where(in_query)
         .join(F.broadcast(per_term), "term")  # at most one row per query term
     )
-    one = index.stats.select(F.struct("*").alias("s")).scalar()
     weight = _weight(
-        one["n"].cast("double"), F.col("df").cast("double"), F.col("tf").cast("double"),
-        F.col("length").cast("double"), one["mean_length"],
+        F.lit(float(held.n)), F.col("df").cast("double"), F.col("tf").cast("double"),
+        F.col("length").cast("double"), F.lit(float(held.mean_length or 0.0)),
     )
     return joined.groupBy("key").agg(F.sum(weight).alias(score))
 

@@ -19,7 +19,6 @@ from lexloom.rules.clauses import (
     RISK_RULES,
     SEVERITY_ORDER,
 )
-from lexloom.session import spread
 
 
 def _clause(pattern: str) -> str:
@@ -67,7 +66,7 @@ def clause_hits(df: DataFrame, key: str, text: str) -> DataFrame:
         for j, p in enumerate(patterns)
     }
     located = with_located_each(
-        spread(df.select(key, text)), text, names, CLAUSE_MAX_HITS, required
+        df.select(key, text), text, names, CLAUSE_MAX_HITS, required
     )
     per_type = []
     for i, (clause, _, _, patterns) in enumerate(CLAUSE_TYPES):
@@ -107,7 +106,7 @@ def risk_flags(df: DataFrame, key: str, text: str) -> DataFrame:
     found = {
         f"r{i}": _risk(rule[3]) for i, rule in enumerate(RISK_RULES) if not rule[4]
     }
-    located = with_located_each(spread(df.select(key, text)), text, found, 1)
+    located = with_located_each(df.select(key, text), text, found, 1)
     flags = []
     for i, (rule, severity, title, pattern, when_absent, gate, authority) in enumerate(RISK_RULES):
         if when_absent:

@@ -3,8 +3,9 @@
 A text matches a query when each of its terms occurs in it as a substring. Terms
 are runs of ASCII letters, so an occurrence lies inside one letter run ("word") of the
 text. The distinct words of the corpus are matched to terms through the terms' first four
-letters; each query is then looked up by its rarest term only, and the other
-terms are checked on the rows found.
+letters; each query is then looked up by its two rarest terms together, against the pairs that the
+terms of one text form, and the other terms are checked on the rows found. So
+two common names in many queries read only the texts that have both.
 """
 
 from __future__ import annotations
@@ -65,17 +66,27 @@ def match_all_terms(
         .join(weights, "term", "left")
         .withColumn("weight", F.coalesce("weight", F.lit(0)))
     )
-    rarest = per_term.groupBy("query_id").agg(
-        F.min_by(F.struct("terms", "term"), F.struct("weight", "term")).alias("r"),
-        F.min("weight").alias("weight"),
+    ordered = per_term.groupBy("query_id").agg(
+        F.array_sort(F.collect_set(F.struct("weight", "term"))).alias("by_weight"), F.first("terms").alias("terms")
     )
-    seeds = rarest.where("weight > 0").select("query_id", "r.terms", "r.term")
-    found = (
-        seeds.join(inside.select("term", "word"), "term")
-        .join(postings, "word")
-        .select("query_id", "terms", "__key")
-        .distinct()
+    # The two rarest; a single term stands for both.
+    second = F.least(F.size("by_weight"), F.lit(2))
+    pair = F.array_sort(F.array(F.col("by_weight")[0]["term"], F.element_at("by_weight", second)["term"]))
+    seeds = durable(
+        ordered.where(F.col("by_weight")[0]["weight"] > 0).select(
+            "query_id", "terms", pair[0].alias("a"), pair[1].alias("b")
+        )
     )
+    # Words that hold a term of some seed; then per text those terms, and the pairs they form.
+    used = seeds.select(F.explode(F.array("a", "b")).alias("term")).distinct()
+    words = inside.join(used, "term", "left_semi").groupBy("word").agg(F.collect_set("term").alias("of"))
+    held = postings.join(words, "word").groupBy("__key").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("of")))).alias("of")
+    )
+    pairs = held.select("__key", "of", F.explode("of").alias("a")).select(
+        "__key", "a", F.explode(F.filter("of", lambda b: b >= F.col("a"))).alias("b")
+    )
+    found = pairs.join(seeds, ["a", "b"]).select("query_id", "terms", "__key")
     return (
         found.withColumnRenamed("__key", text_key)
         .join(texts, text_key)

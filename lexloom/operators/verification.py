@@ -18,7 +18,7 @@ from lexloom.session import durable
 
 VERIFIED, NOT_FOUND, AMBIGUOUS, UNCHECKED = "VERIFIED", "NOT_FOUND", "AMBIGUOUS", "UNCHECKED"
 
-#: The fallback looks at this many newest candidates.
+#: A display of candidates shows this many newest ones; verdicts weigh all.
 CANDIDATES = 10
 
 
@@ -43,8 +43,8 @@ def exact_matches(citations: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def title_candidates(names: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """Newest ``k`` judgments whose title or description has all party terms.
+def title_candidates(names: DataFrame, corpus: DataFrame, k: int | None = CANDIDATES) -> DataFrame:
+    """Newest ``k`` judgments, or all, whose title or description has all party terms.
 
     ``names`` has ``case_name``. Each distinct set of terms is looked up once.
     """
@@ -65,18 +65,20 @@ def title_candidates(names: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -
         sets.select("query_id", "terms").distinct(), keyed, "doc_id", "body"
     ).drop("body")
     order = [F.col("decided").desc_nulls_last(), F.col("doc_id")]
-    best = top_per_group(matched, ["query_id"], order, k, "rank")
-    return sets.select("case_name", "query_id").join(best, "query_id").select(
-        "case_name", "doc_id", "rank", "title", "citation", "neutral"
-    )
+    if k is None:
+        best, shown = matched, ["case_name", "doc_id", "title", "citation", "neutral"]
+    else:
+        best = top_per_group(matched, ["query_id"], order, k, "rank")
+        shown = ["case_name", "doc_id", "rank", "title", "citation", "neutral"]
+    return sets.select("case_name", "query_id").join(best, "query_id").select(*shown)
 
 
 def verify_cases(citations: DataFrame, corpus: DataFrame) -> DataFrame:
     """Verdict for each distinct (citation_key, normalized, case_name).
 
     A key carried by one judgment is VERIFIED, by several AMBIGUOUS. Otherwise the
-    party names are looked up: no judgment means NOT_FOUND; one candidate that
-    shows the citation in its title or citation fields means VERIFIED; anything
+    party names are looked up: no judgment means NOT_FOUND; exactly one of all that match
+    and shows the citation in its title or citation fields means VERIFIED; anything
     else is AMBIGUOUS.
     """
     asked = durable(
@@ -94,7 +96,7 @@ def verify_cases(citations: DataFrame, corpus: DataFrame) -> DataFrame:
     )
     open_ = exact.where("exact = 0").select("citation_key", "normalized", "case_name")
     named = open_.where(F.col("case_name").isNotNull())
-    candidates = title_candidates(named, corpus)
+    candidates = title_candidates(named, corpus, None)
     needle = F.lower("normalized")
     weighed = (
         named.join(candidates, "case_name")

@@ -66,24 +66,3 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/lexloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-#: Inputs up to this many scanned bytes are spread over all cores before heavy work.
-SMALL_INPUT = 256 * 1024 * 1024
-
-
-def scanned_bytes(df: DataFrame) -> int:
-    """Estimated bytes of the tables a plan reads."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before heavy work on each row.
-
-    A small table is often one file and so one task. A large one is split by its
-    scan already, and moving its texts would cost more than it gains.
-    """
-    if scanned_bytes(df) > SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -46,6 +46,14 @@ def test_admitted_calls_equal_the_one_by_one_walk(spark, budget):
     assert got == greedy(calls, round(budget * 100))
 
 
+@pytest.mark.parametrize("budget", [1.0, 3.33])
+def test_admitted_calls_at_many_prices(spark, budget):
+    calls = [(i, date(2024, 1, 1 + i % 2), i, 3 + (i * 37) % 131) for i in range(160)]
+    df = spark.createDataFrame(calls, "id int, day date, ts int, cost_paise int")
+    got = {r.id: r.admitted for r in ledger.admit_calls(df, budget).collect()}
+    assert got == greedy(calls, round(budget * 100))
+
+
 def matter(i, status="open", expiry=None, title="t"):
     return (i, title, "civil_suit", status, None, None, None, expiry, None)
 
@@ -223,3 +231,10 @@ def test_ingest_files(spark, tmp_path):
     assert docs.count() == 2 and chunks.count() == 3
     with pytest.raises(SourceUnavailable):
         documents.with_embeddings(chunks, "content", None)
+
+
+def test_long_document_is_chunked_in_linear_time(spark):
+    text = "\n".join(f"{i % 90}. Clause {i} " + "words of the clause " * 12 for i in range(4000))
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    chunks = documents.chunk_documents(df, "id", "text").orderBy("chunk_index").collect()
+    assert len(chunks) == 4000 and chunks[-1].content.startswith("39. Clause 3999")

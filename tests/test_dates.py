@@ -173,3 +173,31 @@ def test_published_entry_wins(spark):
     got = {r.day: r.occasion for r in calendar.known_closures(years, published).collect()}
     assert got[date(2026, 1, 26)] == "Own name" and got[date(2026, 3, 4)] == "Holi"
     assert len(got) == 6
+
+
+def test_days_outside_the_calendar_fail(spark, common):
+    df = spark.createDataFrame([(date(2031, 1, 6), date(2031, 2, 6), 5)], "d date, e date, n int")
+    named = df.withColumn("__calendar", F.lit(""))
+    for use in (
+        lambda: calendar.with_next_open(named, "d", common, "x"),
+        lambda: calendar.add_working_days(named, "d", "n", common, "x"),
+        lambda: calendar.working_days_between(named, "d", "e", common, "x"),
+    ):
+        with pytest.raises(Exception, match="calendar"):
+            use().collect()
+
+
+def test_search_that_passes_the_end_of_the_calendar_fails(spark, common):
+    named = spark.createDataFrame([(date(2027, 12, 30), 5)], "d date, n int").withColumn("__calendar", F.lit(""))
+    with pytest.raises(Exception, match="calendar ends"):
+        calendar.add_working_days(named, "d", "n", common, "x").collect()
+
+
+def test_calendar_over_any_dates(spark):
+    rows = [(date(1904, 2, 1), 5), (date(2089, 12, 1), 5), (None, 5), (date(2031, 1, 6), 5)]
+    df = spark.createDataFrame(rows, "d date, n int").withColumn("__calendar", F.lit(""))
+    table = calendar.calendar_over(df, [F.col("d"), calendar.working_days_limit(F.col("d"), F.col("n"))])
+    got = {r.d: r.x for r in calendar.add_working_days(df, "d", "n", table, "x").collect()}
+    assert got[date(2031, 1, 6)] == date(2031, 1, 13) and got[None] is None
+    assert got[date(2089, 12, 1)] == date(2089, 12, 8) and got[date(1904, 2, 1)] == date(1904, 2, 8)
+    assert calendar.calendar_over(df.limit(0), [F.col("d")]).count() == 1

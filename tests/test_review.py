@@ -267,6 +267,14 @@ def test_reachable_pages(spark):
     assert {(r.url, r.depth) for r in html_index.reachable_pages(start, edges).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_a_crawl_is_never_cut_silently(spark):
+    edges = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(6)], "src string, dst string")
+    start = spark.createDataFrame([("p0",)], "url string")
+    assert html_index.reachable_pages(start, edges, max_depth=6).count() == 7
+    with pytest.raises(InvalidRequest):
+        html_index.reachable_pages(start, edges, max_depth=5)
+
+
 def test_document_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("plain é", encoding="utf-8")
     (tmp_path / "b.md").write_text("# head")

@@ -10,7 +10,7 @@ from lexloom.operators import documents, ledger, matters
 from lexloom.rules import drafts
 from lexloom.rules.matters import MATTER_STATUSES, MATTER_TYPES
 from lexloom.sources.rows import serialised
-from workload.tables import Tables, with_tables
+from workload.tables import Tables, wide, with_tables
 
 AS_ON = date(1998, 6, 15)
 
@@ -191,13 +191,13 @@ def content_new(spark, folder):
 
 def document_chunks(spark, folder):
     """Chunks of every contract at its structural breaks."""
-    rows = documents.chunk_documents(Records(spark, folder)["contracts"], "doc_id", "text")
+    rows = documents.chunk_documents(wide(Records(spark, folder)["contracts"]), "doc_id", "text")
     return rows.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.length("content").alias("chars"), "heading_path")
 
 
 def document_passages(spark, folder):
     """Passages around query terms."""
-    return documents.passages(Records(spark, folder)["contracts"], "doc_id", "text", "license que Agreement shall")
+    return documents.passages(wide(Records(spark, folder)["contracts"]), "doc_id", "text", "license que Agreement shall")
 
 
 def document_previews(spark, folder):
@@ -218,7 +218,7 @@ TEXT_QUERY = "the of"
 
 def text_matches(spark, folder):
     """Best documents that contain every word of a query."""
-    rows = documents.text_leg(Records(spark, folder)["chunks"], "id", "content", TEXT_QUERY, 60)
+    rows = documents.text_leg(wide(Records(spark, folder)["chunks"]), "id", "content", TEXT_QUERY, 60)
     return rows.select("id", F.round("score", 9).alias("score"))
 
 

@@ -12,7 +12,7 @@ from lexloom.operators.statutes import find_sections, resolve_acts
 from lexloom.plans import research
 from lexloom.rules.citation_forms import PARTY_STOP_WORDS
 from lexloom.rules.courts import HC_ENDPOINT, HIGH_COURTS, SC_ENDPOINT
-from workload.tables import Tables, with_tables
+from workload.tables import Tables, wide, with_tables
 
 
 def _corpus(spark, folder, scope=corpus.ALL_COURTS):
@@ -89,21 +89,21 @@ BM25_QUERY = "the que license released"
 
 def bm25_scan(spark, folder):
     """Best documents for a query, scored in one pass."""
-    ranked = ranking.rank_query(Tables(spark, folder)["documents"], BM25_QUERY, ["text"])
+    ranked = ranking.rank_query(wide(Tables(spark, folder)["documents"]), BM25_QUERY, ["text"])
     top = ranked.select("doc_id", F.round("score", 6).alias("score"))
     return top.orderBy(F.desc("score"), "doc_id").limit(100)
 
 
 def bm25_postings(spark, folder):
     """Score of every document with a query term, from postings."""
-    index = ranking.build_index(Tables(spark, folder)["documents"], "doc_id", ["text"])
+    index = ranking.build_index(wide(Tables(spark, folder)["documents"]), "doc_id", ["text"])
     scored = ranking.rank_index(index, BM25_QUERY)
     return scored.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def term_frequencies(spark, folder):
     """Documents per term of the whole collection."""
-    index = ranking.build_index(Tables(spark, folder)["documents"], "doc_id", ["text"])
+    index = ranking.build_index(wide(Tables(spark, folder)["documents"]), "doc_id", ["text"])
     return index.terms.select("term", "df")
 
 
@@ -148,7 +148,7 @@ def party_words(spark, folder):
 
 
 def _found(tables, families=citations.CASES + citations.STATUTES):
-    return citations.extract(tables["brief_texts"], "brief_id", "text", families)
+    return citations.extract(wide(tables["brief_texts"]), "brief_id", "text", families)
 
 
 def citation_extract(spark, folder):
@@ -329,8 +329,7 @@ FROM (SELECT DISTINCT case_name, lower(split_part(case_name, ' ', 1)) AS t1, low
     lower(regexp_extract(case_name, 'LAND[A-J]+')) AS t3
   FROM {asked_cases} JOIN {exact} USING (citation_key) WHERE exact = 0 AND case_name IS NOT NULL)
 JOIN {named} ON contains(lower(title || chr(10) || description), t1) AND contains(lower(title || chr(10) || description), t2)
-  AND contains(lower(title || chr(10) || description), t3)
-QUALIFY row_number() OVER (PARTITION BY case_name ORDER BY decided DESC NULLS LAST, doc_id) <= 10""",
+  AND contains(lower(title || chr(10) || description), t3)""",
     "weighed": """
 SELECT a.citation_key, a.normalized, a.case_name, count(*) AS found,
   count(*) FILTER (contains(c.title, lower(a.normalized)) OR contains(c.citation, lower(a.normalized)) OR contains(c.neutral, lower(a.normalized))) AS strong,

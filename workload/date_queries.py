@@ -10,11 +10,10 @@ from lexloom.operators import calendar, limitation, statutes
 from lexloom.rules import concordance
 from lexloom.rules.calendar import FIXED_NATIONAL_HOLIDAYS
 from lexloom.rules.limitation import LIMITATION_RULES
-from lexloom.session import spread
 from lexloom.sources.calendars import published_holidays
 from lexloom.sources.statutes import acts_table, alias_table, sections_table, well_formed
 from lexloom.sources import schemas
-from workload.tables import Tables, with_tables
+from workload.tables import Tables, wide, with_tables
 
 AS_ON = date(1999, 6, 15)
 
@@ -256,7 +255,7 @@ def governing_regime(spark, folder):
 def rule_suggestions(spark, folder):
     """Limitation rules suggested for every claim text."""
     t = Records(spark, folder)
-    best = spread(t["claim_texts"]).select("claim_id", F.posexplode(statutes.best_rules(F.col("text"), LIMITATION_RULES, 8)).alias("i", "b"))
+    best = wide(t["claim_texts"]).select("claim_id", F.posexplode(statutes.best_rules(F.col("text"), LIMITATION_RULES, 8)).alias("i", "b"))
     return best.select("claim_id", (F.col("i") + 1).alias("place"), "b.score", "b.key")
 
 
@@ -264,7 +263,7 @@ def subject_suggestions(spark, folder):
     """Concordance pairs suggested for every claim text."""
     t = Records(spark, folder)
     pairs = list(concordance.all_pairs())
-    best = spread(t["claim_texts"]).select("claim_id", F.posexplode(statutes.best_subjects(F.col("text"), pairs, 10)).alias("i", "b"))
+    best = wide(t["claim_texts"]).select("claim_id", F.posexplode(statutes.best_subjects(F.col("text"), pairs, 10)).alias("i", "b"))
     return best.select("claim_id", (F.col("i") + 1).alias("place"), "b.score", "b.key")
 
 

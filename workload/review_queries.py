@@ -26,7 +26,7 @@ from lexloom.session import shared_folder
 from lexloom.sources import html_index, listing
 from lexloom.streaming import ingest
 from workload.case_queries import FOLD
-from workload.tables import Tables, with_tables
+from workload.tables import Tables, wide, with_tables
 
 MIN_DATE = date(1996, 1, 1)
 OLDEST = date(1995, 1, 4)
@@ -98,7 +98,7 @@ class Records(Tables):
 
 
 def _contracts(spark, folder):
-    return Records(spark, folder)["contracts"]
+    return wide(Records(spark, folder)["contracts"])
 
 
 def missing_clauses(spark, folder):
@@ -165,7 +165,7 @@ def court_codes(spark, folder):
 
 def translated_notices(spark, folder):
     """Notices with their standard phrases in Hindi."""
-    rows = translation.translate(Records(spark, folder)["notices_to_pay"], "text", "hi-IN")
+    rows = translation.translate(wide(Records(spark, folder)["notices_to_pay"]), "text", "hi-IN")
     return rows.select("o_orderkey", "translated", "sentences_translated")
 
 
@@ -225,7 +225,7 @@ def reachable_pages(spark, folder):
 
 
 def _plan(t):
-    found = listing.parse_listing(t["listing_pages"], "body")
+    found = listing.parse_listing(wide(t["listing_pages"]), "body")
     wanted = listing.wanted_keys(found, ["SC", *list(HIGH_COURTS)[:12]], 1996, 1999)
     held = wanted.where("size % 400 = 0").select("target", F.when(F.col("size") % 800 == 0, 0).otherwise(F.col("size")).alias("size"))
     return listing.fetch_plan(wanted, held)

@@ -23,6 +23,15 @@ BASE = [
 _DIGITS = "'0123456789', 'ABCDEFGHIJ'"
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores.
+
+    The given tables are single files, so one task each. A caller whose files are split by
+    their scan already leaves this out: operators never move texts on their own.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _pick(values: list[str], index: str) -> str:
     return f"split_part('{','.join(values)}', ',', CAST({index} AS INT) + 1)"
 
