@@ -230,6 +230,18 @@ def with_child_counts(parents: DataFrame, children: DataFrame, key: str, out: st
     )
 
 
+def newest_documents(docs: DataFrame, chunks: DataFrame, limit: int = 50) -> DataFrame:
+    """Own documents newest first, with the number of their chunks; ``limit`` is kept within 1 to 500."""
+    owned = chunks.select(F.col("document_id").alias("id"))
+    counted = with_child_counts(docs, owned, "id", "chunk_count")
+    return counted.orderBy(F.desc("created_at"), F.desc("id")).limit(clamp(limit, 1, 500))
+
+
+def by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is among ``keys``; a key without a row is no error."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
+
+
 # --- hybrid retrieval --------------------------------------------------------------
 
 

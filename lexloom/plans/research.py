@@ -12,7 +12,7 @@ from lexloom.functions.dates import iso_date
 from lexloom.operators import citations, verification
 from lexloom.operators.corpus import doc_id, hits
 from lexloom.operators.ordering import first_per_key, page_of
-from lexloom.operators.ranking import rank_query
+from lexloom.operators.ranking import PostingsIndex, rank_index, rank_query
 from lexloom.operators.related import related_proceedings
 from lexloom.operators.search import matching, newest_first, search
 
@@ -39,6 +39,20 @@ def ranked_search(corpus: DataFrame, query: str, limit: int = 20, page: int = 0,
     return page_of(rows, [F.desc(F.round("score", 6)), *newest_first()], limit, page)
 
 
+def indexed_search(
+    corpus: DataFrame, index: PostingsIndex, query: str, limit: int = 20, page: int = 0, **filters
+) -> DataFrame:
+    """:func:`ranked_search` with the scores of a stored index, keyed by the id of a judgment.
+
+    No text is split: the postings of the query's terms are read, and joined to the rows that match.
+    """
+    rows = matching(corpus.withColumn("__id", doc_id()), query, **filters)
+    scored = rank_index(index, query).withColumnRenamed("key", "__id")
+    joined = rows.join(scored, "__id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    order = [F.desc(F.round("score", 6)), *newest_first()]
+    return page_of(joined, order, limit, page).drop("__id")
+
+
 def research_memo(corpus: DataFrame, queries: list[str], max_authorities: int = 10, per_query: int = 10) -> DataFrame:
     """Authorities found by several queries, in query order, each once.
 

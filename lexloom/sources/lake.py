@@ -15,7 +15,7 @@ from lexloom.operators.corpus import (
     years_per_court,
 )
 from lexloom.operators.courts import resolve_scope
-from lexloom.operators.ranking import index_is_stale
+from lexloom.operators.ranking import index_is_stale, read_index
 from lexloom.operators.search import find_by_citation, search
 from lexloom.rules.courts import SUPREME_COURT
 from lexloom.sources import schemas
@@ -69,6 +69,19 @@ class CaseLawLake:
         """One page of matching judgments, newest first."""
         return search(self.corpus(court), query, **options)
 
+    def ranked_search(
+        self, query: str, index_folder: str | None = None, court: str | None = None, **options
+    ) -> DataFrame:
+        """One page by BM25: from the stored index if it is there and fresh, else by a scan."""
+        from lexloom.plans import research
+
+        if index_folder and any_file(self.spark, f"{index_folder}/stats"):
+            index = read_index(self.spark, index_folder)
+            files = [self.source(n).select("_metadata") for n in _LAYOUTS if self.has(n)]
+            if not index_is_stale(reduce(lambda a, b: a.union(b), files), index.stats).first().stale:
+                return research.indexed_search(self.corpus(court), index, query, **options)
+        return research.ranked_search(self.corpus(court), query, **options)
+
     def find_by_citation(self, citation: str, limit: int = 5) -> DataFrame:
         """Supreme Court judgments that carry a citation."""
         if not self.has("sc"):

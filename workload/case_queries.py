@@ -246,6 +246,28 @@ def text_only_search(spark, folder):
     return rows.select("id", "title", "relevance", F.array_join("matched_by", "+").alias("matched_by"), "search_mode")
 
 
+def own_documents_newest(spark, folder):
+    """Own documents newest first, with the number of their chunks."""
+    t = Records(spark, folder)
+    chunks = t["chunks"].where("id % 7 <> 0").unionByName(t["chunks"].where("id % 5 = 0"))
+    rows = documents.newest_documents(t["own_documents"], chunks, 2000)
+    return rows.select("id", "title", "doc_type", *_iso("created_at"), "chunk_count")
+
+
+def documents_by_id(spark, folder):
+    """The own documents that labels name."""
+    t = Records(spark, folder)
+    asked = t["labels"].select((F.col("doc_id") + 1).alias("id"))
+    return documents.by_key(t["own_documents"], asked, "id").select("id", "title", "doc_type")
+
+
+def matters_by_id(spark, folder):
+    """The matters that own documents belong to."""
+    t = Records(spark, folder)
+    asked = t["own_documents"].select(F.col("matter_id").alias("id"))
+    return documents.by_key(t["matters"], asked, "id").select("id", "title", "status")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -254,6 +276,7 @@ QUERIES = {
         hearing_orphans, invalid_matters, matter_rows, live_tokens, daily_spend, admitted_calls,
         content_first_copies, content_new, document_chunks, document_passages, document_previews,
         conversation_counts, text_matches, vector_matches, hybrid_search, text_only_search,
+        own_documents_newest, documents_by_id, matters_by_id,
     )
 }
 
@@ -307,6 +330,11 @@ FROM (SELECT doc_id, text, unnest(raws) AS raw, unnest(list_slice(gaps, 1, len(r
 }
 
 _SQL = {
+    "own_documents_newest": """
+SELECT id, title, doc_type, strftime(created_at, '%Y-%m-%d') AS created_at, CASE WHEN id % 7 <> 0 THEN 1 ELSE 0 END + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END::BIGINT AS chunk_count
+FROM {own_documents} ORDER BY {own_documents}.created_at DESC, id DESC LIMIT 500""",
+    "documents_by_id": "SELECT id, title, doc_type FROM {own_documents} WHERE id - 1 IN (SELECT doc_id FROM labels)",
+    "matters_by_id": "SELECT id, title, status FROM {matters} WHERE id IN (SELECT matter_id FROM {own_documents})",
     "matter_list": """
 SELECT id, title, matter_type, strftime(limitation_expiry, '%Y-%m-%d') AS limitation_expiry, claim_value FROM {matters} WHERE status = 'open'
 ORDER BY {matters}.limitation_expiry NULLS LAST, updated_at DESC, id LIMIT 40""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexloom.functions.dates import iso_date
@@ -12,6 +14,7 @@ from lexloom.operators.statutes import find_sections, resolve_acts
 from lexloom.plans import research
 from lexloom.rules.citation_forms import PARTY_STOP_WORDS
 from lexloom.rules.courts import HC_ENDPOINT, HIGH_COURTS, SC_ENDPOINT
+from lexloom.session import shared_folder
 from workload.tables import Tables, wide, with_tables
 
 
@@ -113,6 +116,27 @@ def ranked_search(spark, folder):
     return page.select(corpus.doc_id().alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def _stored_index(spark, folder):
+    """An index of the corpus, written to the shared folder and read back."""
+    keyed = _corpus(spark, folder).withColumn("id", corpus.doc_id())
+    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    ranking.write_index(ranking.build_index(keyed, "id", research.TEXT, buckets=8), path, shares=2)
+    return ranking.read_index(spark, path)
+
+
+def indexed_search(spark, folder):
+    """The page of ``ranked_search``, scored from the stored index."""
+    rows = _corpus(spark, folder)
+    page = research.indexed_search(rows, _stored_index(spark, folder), "bail LandBC priority", 50)
+    return page.select(corpus.doc_id().alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def index_staleness(spark, folder):
+    """Whether the tables are newer than the index made from them."""
+    source = spark.read.parquet(f"{folder.rstrip('/')}/orders.parquet")
+    return ranking.index_is_stale(source, _stored_index(spark, folder).stats)
+
+
 def research_memo(spark, folder):
     """Authorities of several searches, each once."""
     queries = ["bail building", "tax landab", "service notice", "bail"]
@@ -238,7 +262,7 @@ QUERIES = {
     for f in (
         corpus_union, corpus_hits, doc_id_parts, metadata_by_id, search_terms_page, search_filtered,
         search_wildcards, search_next_page, search_total, years_per_court, courts_present, bm25_scan,
-        bm25_postings, term_frequencies, ranked_search, research_memo, memo_status, related_proceedings,
+        bm25_postings, term_frequencies, ranked_search, indexed_search, index_staleness, research_memo, memo_status, related_proceedings,
         numbered_corpus, party_words, citation_extract, citation_single, citation_lookup, citation_verdicts,
         statute_verdicts, citation_sweep, verification_summary, verification_total, act_resolution,
         section_lookup,
@@ -425,6 +449,10 @@ ORDER BY decided DESC NULLS LAST, doc_id LIMIT 40""",
     "ranked_search": f"""
 SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM {{named}} LEFT JOIN {{corpus_scores}} USING (doc_id) WHERE {_has('bail', 'landbc', 'priority')}
 ORDER BY score DESC, decided DESC NULLS LAST, doc_id LIMIT 50""",
+    "indexed_search": f"""
+SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM {{named}} LEFT JOIN {{corpus_scores}} USING (doc_id) WHERE {_has('bail', 'landbc', 'priority')}
+ORDER BY score DESC, decided DESC NULLS LAST, doc_id LIMIT 50""",
+    "index_staleness": "SELECT FALSE AS stale",
     "research_memo": f"""
 SELECT query_no, doc_id, title, strftime(decided, '%Y-%m-%d') AS decided FROM (
   SELECT * FROM ({_MEMO_ALL}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY query_no) = 1)
