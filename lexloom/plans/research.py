@@ -11,10 +11,10 @@ from lexloom.errors import InvalidRequest
 from lexloom.functions.dates import iso_date
 from lexloom.operators import citations, verification
 from lexloom.operators.corpus import doc_id, hits
-from lexloom.operators.ordering import first_per_key, page_of
+from lexloom.operators.ordering import first_per_key, page_of, top_per_group
 from lexloom.operators.ranking import PostingsIndex, rank_index, rank_query
 from lexloom.operators.related import related_proceedings
-from lexloom.operators.search import matching, newest_first, search
+from lexloom.operators.search import has_term, matching, newest_first, search, split_terms
 
 TEXT = ["title", "description", "judge"]
 
@@ -60,16 +60,19 @@ def research_memo(corpus: DataFrame, queries: list[str], max_authorities: int =
     """
     if not queries:
         raise InvalidRequest("at least one query is needed")
-    found = []
-    for i, query in enumerate(queries):
-        page = search(corpus, query, per_query)
-        found.append(
-            page.select(
-                F.lit(i).alias("query_no"), doc_id().alias("doc_id"), "title",
-                iso_date(F.col("decision_date")).alias("decided"),
-            )
-        )
-    union = reduce(lambda a, b: a.unionByName(b), found)
+    # One scan: every row is tested for all queries, and each query keeps its newest rows.
+    tests = [
+        F.when(reduce(lambda x, y: x & y, [has_term(t) for t in split_terms(query)], F.lit(True)), F.lit(i))
+        for i, query in enumerate(queries)
+    ]
+    tested = corpus.select(
+        F.array_compact(F.array(*tests)).alias("hits"), doc_id().alias("doc_id"), "title",
+        iso_date(F.col("decision_date")).alias("decided"),
+    )
+    matched = tested.where(F.size("hits") > 0).select(F.explode_outer("hits").alias("query_no"), "doc_id", "title", "decided")
+    union = top_per_group(
+        matched, ["query_no"], [F.col("decided").desc_nulls_last(), F.col("doc_id")], max(0, per_query), "__rank"
+    ).drop("__rank")
     union = union.withColumn("age", -F.datediff("decided", F.lit("1600-01-01").cast("date")))
     first = first_per_key(
         union, ["doc_id"], ["query_no", "age", "doc_id"], ["query_no", "title", "decided", "age"]

@@ -294,6 +294,18 @@ def stream_documents(spark, folder):
     return spark.read.parquet(f"{run}/out").select("doc_id", "sha256")
 
 
+def stream_documents_batches(spark, folder):
+    """Contents stored by a stream of several batches, each of which skips what the earlier ones stored."""
+    import uuid
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    run = f"{shared_folder(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    docs.repartitionByRange(4, "doc_id").write.parquet(f"{run}/in")
+    stream = ingest.read_new_files(spark, f"{run}/in", docs.schema, files_per_batch=1)
+    ingest.ingest_documents(stream, f"{run}/out", f"{run}/checkpoint", "doc_id", "text").awaitTermination()
+    return spark.read.parquet(f"{run}/out").groupBy("sha256").agg(F.count("*").alias("stored"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -301,7 +313,7 @@ QUERIES = {
         dispute_forums, directory_use, court_codes, translated_notices, page_links, page_text,
         recent_judgments, latest_orders, volume_cases, law_report_cases, ledger_cases, reachable_pages,
         fetch_plan, sync_totals, listing_tokens, written_dates, grouped_amounts, section_keys,
-        stream_daily_totals, stream_documents,
+        stream_daily_totals, stream_documents, stream_documents_batches,
     )
 }
 
@@ -495,6 +507,7 @@ SELECT o_orderkey, CASE WHEN n IS NULL THEN amount WHEN length(d) <= 3 THEN s ||
 FROM (SELECT o_orderkey, amount, n, CASE WHEN round_even(n, 0) < 0 THEN '-' ELSE '' END AS s, CAST(abs(CAST(round_even(n, 0) AS BIGINT)) AS VARCHAR) AS d FROM (SELECT *, TRY_CAST(amount AS DOUBLE) AS n FROM {amounts}))""",
     "section_keys": "SELECT p_partkey, CAST(p_size AS VARCHAR) || CASE p_size % 4 WHEN 1 THEN 'a' WHEN 3 THEN 'c' ELSE '' END AS key FROM {part}",
     "stream_daily_totals": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM {events} GROUP BY 1",
+    "stream_documents_batches": "SELECT DISTINCT sha256(text) AS sha256, CAST(1 AS BIGINT) AS stored FROM {documents} WHERE text IS NOT NULL",
     "stream_documents": "SELECT doc_id, sha256(text) AS sha256 FROM {documents} QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
 }
 ORACLE = {name: with_tables(sql, EXTRA) for name, sql in _SQL.items()}
