@@ -11,9 +11,8 @@ from __future__ import annotations
 
 import base64
 import codecs
-import functools
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import slices
+from lexloom.llm.common import keep, slices
 
 _CHUNK = 4096
 
@@ -56,7 +55,7 @@ class _State:
 
     def __init__(self, pending: bytes, prefixes: tuple, open_: tuple[int, ...]):
         self.pending, self.prefixes, self.open = pending, prefixes, open_
-        self.steps: dict[int, tuple[_State, tuple[int, ...]]] = {}
+        self.steps: dict[int, tuple[_State, tuple[int, ...]]] | None = None
         self.end: tuple[int, ...] | None = None
 
 
@@ -75,7 +74,7 @@ class Transducer:
     piece leaves them, its rest is read prefix by prefix in the same way without making states.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 100_000):
         self.ranks, self.most = ranks, most
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -143,7 +142,10 @@ class Transducer:
                 *((p[0], p[1] - final) if p and p[1] >= final else None for p in prefixes[final + 1 :]),
             )
             pending, open_ = pending[final:], tuple([p - final for p in open_])
-        made = state.steps[byte] = (self._state(pending, prefixes, open_), emitted)
+        made = (self._state(pending, prefixes, open_), emitted)
+        if state.steps is None:
+            state.steps = {}
+        state.steps[byte] = made
         return made
 
     def __call__(self, piece: bytes) -> tuple[int, ...]:
@@ -153,7 +155,7 @@ class Transducer:
             return (whole,)
         state, out = self.start, ()
         for at, byte in enumerate(piece):
-            made = state.steps.get(byte)
+            made = state.steps.get(byte) if state.steps else None
             if made is None:
                 if len(self.states) >= self.most:
                     return out + self._rest(state, piece[at:])
@@ -167,19 +169,19 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """Tokens of the pieces met lately: two generations of at most ``most`` pieces each."""
+    """Packed tokens of the pieces met lately: two generations of at most ``most`` pieces each."""
 
-    def __init__(self, encode, most: int):
+    def __init__(self, encode, most: int, kind: str):
         super().__init__()
-        self.encode, self.most, self.older = encode, most, {}
+        self.encode, self.most, self.kind, self.older = encode, most, kind, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         tokens = self.older.get(piece)
         if tokens is None:
-            tokens = self.encode(piece.encode())
+            tokens = array(self.kind, self.encode(piece.encode())).tobytes()
         self[piece] = tokens
         return tokens
 
@@ -187,15 +189,16 @@ class _Pieces(dict):
 class BpeCodec:
     """Encodes texts and decodes ids with one rank file and one splitting pattern."""
 
-    def __init__(self, path: str, pattern: str, pieces: int = 400_000):
+    def __init__(self, path: str, pattern: str, pieces: int = 300_000):
         self.transducer = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.known = _Pieces(self.transducer, pieces)
+        self.kind = "H" if len(self.transducer.tokens) <= 1 << 16 else "I"
+        self.known = _Pieces(self.transducer, pieces, self.kind)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Token ids, each match of the pattern on its own."""
         known = self.known
-        return list(chain.from_iterable([known[piece] for piece in self.find(text)]))
+        return np.frombuffer(b"".join([known[piece] for piece in self.find(text)]), self.kind)
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as it becomes whole: an incremental decoder keeps unfinished characters.
@@ -212,12 +215,6 @@ class BpeCodec:
         yield machine.decode(b"".join(held), final=True)
 
 
-@functools.lru_cache(maxsize=1)
-def _codec(path: str, pattern: str) -> BpeCodec:
-    """One codec for all tasks that a Python worker runs."""
-    return BpeCodec(path, pattern)
-
-
 def encode_bpe(
     docs: DataFrame,
     path: str,
@@ -232,24 +229,25 @@ def encode_bpe(
     again, into a column of that name. Null and empty texts have no ids. Columns named as the
     new ones are replaced. Texts of any length are read once, and the tables kept by a task are bounded.
     """
-    keep = [c for c in docs.columns if c not in (text, out, decoded)]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"`{out}` array<int>"]
-    names = [*keep, out]
+    others = [c for c in docs.columns if c not in (text, out, decoded)]
+    rows = docs.select(*others, F.col(text).cast("string").alias("__text"))
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [f"`{out}` array<int>"]
+    names = [*others, out]
     if decoded:
         fields.append(f"`{decoded}` string")
         names.append(decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, pattern)
-        for some in slices(batches, "__text", 4_000_000):
+        key = ("bpe", path, pattern)
+        codec = keep(key, lambda: BpeCodec(path, pattern))
+        for some in slices(batches, "__text", 2_000_000, key):
             ids = [codec.encode(t or "") for t in some["__text"].to_pylist()]
             sizes = np.cumsum([0, *map(len, ids)])
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1]))
-            columns = [some[c] for c in keep]
+            flat = np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)
+            columns = [some[c] for c in others]
             columns.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)))
             if decoded:
-                columns.append(pa.array(["".join(codec.decode(x)) for x in ids], pa.string()))
+                columns.append(pa.array(["".join(codec.decode(x.tolist())) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, ", ".join(fields))
@@ -260,13 +258,13 @@ def decode_bpe(encoded: DataFrame, path: str, ids: str = "token_ids", out: str =
 
     All columns but an earlier ``out`` pass through.
     """
-    keep = [c for c in encoded.columns if c != out]
-    fields = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep]
+    others = [c for c in encoded.columns if c != out]
+    fields = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, "")
+        codec = keep(("bpe", path, ""), lambda: BpeCodec(path, ""))
         for batch in batches:
             texts = ["".join(codec.decode(x or [])) for x in batch[ids].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(texts, pa.string())], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(texts, pa.string())], [*others, out])
 
-    return encoded.select(*keep).mapInArrow(run, ", ".join([*fields, f"`{out}` string"]))
+    return encoded.select(*others).mapInArrow(run, ", ".join([*fields, f"`{out}` string"]))

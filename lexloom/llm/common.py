@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -20,6 +23,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
+T = TypeVar("T")
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -80,13 +85,44 @@ def put_file(path: Path, content: bytes) -> None:
     part.replace(path)
 
 
+#: What a worker keeps between its tasks: one object, and what it is.
+_kept: dict[tuple, object] = {}
+
+
+def keep(key: tuple, make: Callable[[], T]) -> T:
+    """The object ``key``, made once per Python worker. A worker keeps only the last key's."""
+    if key not in _kept:
+        _give_up()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _give_up() -> None:
+    if _kept:
+        _kept.clear()
+        # What was kept may refer to itself in circles.
+        gc.collect()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: idle workers and other tasks share one machine's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(
-    batches: Iterator[pa.RecordBatch], column: str, most: int = 6_000_000
+    batches: Iterator[pa.RecordBatch], column: str, most: int = 6_000_000, keeping: tuple | None = None
 ) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``most`` bytes at a time.
 
-    A single longer text is a slice of its own.
+    A single longer text is a slice of its own. What the worker kept for another
+    operator than ``keeping`` is given up first.
     """
+    if keeping not in _kept:
+        _give_up()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
@@ -97,6 +133,7 @@ def slices(
             held += size
         if batch.num_rows > start:
             yield batch.slice(start, batch.num_rows - start)
+    _give_back()
 
 
 def word_lists(texts: pa.Array, fold: bool = True) -> pa.LargeListArray:

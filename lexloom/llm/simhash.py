@@ -22,7 +22,7 @@ from lexloom.llm.common import key_hash, slices, word_lists
 from lexloom.llm.components import components
 from lexloom.session import durable
 
-_BLOCK = 400_000
+_BLOCK = 100_000
 SEED = 42
 
 
@@ -72,7 +72,7 @@ def fingerprints(texts: pa.Array, width: int) -> np.ndarray:
 
 def _fingerprinter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2_000_000):
             values = pa.array(fingerprints(part["text"], width).view(np.int64), pa.int64())
             rest = [c for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(part[c] for c in rest), values], [*rest, "fp"])
@@ -116,7 +116,7 @@ def links(table: DataFrame, distance: int, segments: int | None = None) -> DataF
 
 def _shingler(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2_000_000):
             counts, blocks = shingle_hashes(part["text"], width)
             hashes = np.concatenate([np.empty(0, np.uint64), *(h for _, h in blocks)]).view(np.int64)
             sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]

@@ -8,7 +8,6 @@ base, the ids and documents of all parts before it, is a prefix sum over one sma
 
 from __future__ import annotations
 
-import functools
 import os
 import uuid
 import zlib
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import shared_path, slices, word_lists
+from lexloom.llm.common import keep, shared_path, slices, word_lists
 from lexloom.session import durable
 
 _TOGETHER = 256
@@ -88,12 +87,6 @@ class WordEncoder:
         return flat[at], np.diff(upto[cuts])
 
 
-@functools.lru_cache(maxsize=1)
-def _encoder(path: str, end: int | None, kind: str) -> WordEncoder:
-    """One encoder for all tasks that a Python worker runs."""
-    return WordEncoder(path, end, kind)
-
-
 @dataclass(frozen=True)
 class TokenFiles:
     """A written set of parts: folder as mounted, type of an id, and one row per part."""
@@ -149,13 +142,14 @@ def _reader(folder: str, kind: str):
 
 def _writer(folder: str, tokenizer: str, end: int | None, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(tokenizer, end, kind), TaskContext.get().partitionId()
+        key, part = ("words", tokenizer, end, kind), TaskContext.get().partitionId()
+        encoder = keep(key, lambda: WordEncoder(tokenizer, end, kind))
         names = ("ids", "offsets", "docs", "present")
         Path(folder).mkdir(parents=True, exist_ok=True)
         mine = {n: Path(folder) / f".{n}-{part:06d}.{uuid.uuid4().hex}" for n in names}
         files, n_docs, n_ids = None, 0, 0
         try:
-            for some in slices(batches, "text", 12_000_000):
+            for some in slices(batches, "text", 12_000_000, key):
                 if files is None:
                     files = {n: path.open("wb") for n, path in mine.items()}
                     files["offsets"].write(np.zeros(1, "<u8").tobytes())
