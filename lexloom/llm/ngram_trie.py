@@ -154,7 +154,7 @@ class NgramModel:
             shard = _shard(self.folder, level, bucket)
             if not shard:
                 continue
-            unique, back = np.unique(contexts[at], return_inverse=True)
+            back, unique = pd.factorize(contexts[at])
             known = shard.contexts.find(unique)
             seen = np.flatnonzero(known >= 0)
             low, stop = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
