@@ -98,7 +98,8 @@ def drop_common_lines(
     rows = docs.select(
         F.col(doc_id).alias("__doc"),
         _identity(doc_id, text),
-        F.posexplode(F.split(whole, "\n", -1)).alias("pos", "line"),
+        # The outer form, as the other splits every text once more to see that it has lines.
+        F.posexplode_outer(F.split(whole, "\n", -1)).alias("pos", "line"),
     )
     keyed = rows.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= max(min_chars, 0))
     h1, h2 = key_hash(F.col("key"))
