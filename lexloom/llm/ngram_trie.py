@@ -34,7 +34,7 @@ from lexloom.session import durable
 
 #: The closing token; no word has a space.
 END = xxhash.xxh3_64_intdigest(b" end of text")
-_SLICE = 7_000_000
+_SLICE = 9_000_000
 #: Steps of a quantised binary logarithm.
 _STEPS = 2048
 
@@ -154,7 +154,7 @@ class NgramModel:
             shard = _shard(self.folder, level, bucket)
             if not shard:
                 continue
-            back, unique = pd.factorize(contexts[at])
+            unique, back = np.unique(contexts[at], return_inverse=True)
             known = shard.contexts.find(unique)
             seen = np.flatnonzero(known >= 0)
             low, stop = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
