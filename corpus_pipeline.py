@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.bpe import encode_bpe
 from lexloom.llm.common import scratch, table
 from lexloom.llm.line_runs import drop_common_lines
-from lexloom.llm.pfair import in_mixed_order
+from lexloom.llm.pfair import in_mixed_order, with_places
 from lexloom.llm.simhash import drop_near_copies
 from lexloom.llm.subword import drop_toxic
 
@@ -37,14 +37,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which their sources are due at square-root weights."""
+    """All documents, in the order in which their sources are due at square-root weights.
+
+    A table of several files is read in another order, so the last stage gives the places again.
+    """
     return in_mixed_order(docs.select(*COLUMNS))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, without the text."""
+    """Token ids of every document, without the text, and its ``slot`` and ``in_block`` in the mix."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = encode_bpe(docs.select(*COLUMNS), path, public_tokenizers.PATTERN)
+    coded = encode_bpe(with_places(docs.select(*COLUMNS)), path, public_tokenizers.PATTERN)
     return coded.withColumn("n_tokens", F.size("token_ids").cast("bigint"))
 
 
@@ -61,10 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``, each written to the shared folder and read again."""
+    """The stages one after another over ``documents``, each written to the shared folder and read again.
+
+    The result is in the order of the mix.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         path = scratch(spark, "pipeline")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return docs.orderBy("slot", "in_block", "doc_id")

@@ -137,10 +137,21 @@ def mix_sources(
     )
 
 
+def with_places(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``slot`` and ``in_block`` of the mix; earlier columns of these names are replaced."""
+    return _placed(docs, **options).select(
+        *(f"__doc.`{c}`" for c in docs.columns if c not in ("slot", "in_block")), "slot", "in_block"
+    )
+
+
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in the order of the mix, all columns and rows as they are."""
+    return _placed(docs, **options).orderBy("slot", "in_block", "h1", "h2").select("__doc.*")
+
+
+def _placed(docs: DataFrame, **options) -> DataFrame:
     placed = mix_sources(docs, **options).select("h1", "h2", "slot", "in_block")
     names = {name: options.get(name, name) for name in ("doc_id", "source", "text")}
     h1, h2 = key_hash(*(F.col(names[n]) for n in ("doc_id", "source", "text")))
     keyed = docs.select(F.struct("*").alias("__doc"), h1.alias("h1"), h2.alias("h2"))
-    return keyed.join(placed, ["h1", "h2"]).orderBy("slot", "in_block", "h1", "h2").select("__doc.*")
+    return keyed.join(placed, ["h1", "h2"])

@@ -156,3 +156,38 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in last} == set(after)
     assert all(len(r.token_ids) == r.n_tokens for r in last)
+
+
+def brute_mix(counts, block, parts_each=64):
+    """Source of every row of the mix, by earliest deadline first over square-root weights."""
+    names = sorted(counts)
+    period = 1 << (len(names) * parts_each - 1).bit_length()
+    w = {s: round(counts[s] ** 0.5 * 1_000_000) for s in names}
+    fair = {s: w[s] * (period - len(names)) for s in names}
+    total = sum(w.values())
+    parts = {s: 1 + fair[s] // total for s in names}
+    for s in sorted(names, key=lambda s: (-(fair[s] % total), s))[: period - sum(parts.values())]:
+        parts[s] += 1
+    done, left, out, slot = dict.fromkeys(names, 0), dict(counts), [], 0
+    while any(left.values()):
+        due = [(-(-(done[s] + 1) * period // parts[s]), s) for s in names if done[s] * period // parts[s] <= slot]
+        pick = min(due)[1]
+        done[pick] += 1
+        rows = min(block, left[pick])
+        left[pick] -= rows
+        out += [(slot, pick)] * rows
+        slot += 1
+    return out
+
+
+def test_pipeline_result_is_mixed(spark, tmp_path):
+    counts = {"a": 1500, "b": 900, "c": 400}
+    rng = random.Random(5)
+    rows = [(s, " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(12))) for s, n in counts.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, (s, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.where("doc_id % 5 = 0").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.where("doc_id % 5 > 0").coalesce(2).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [(r.slot, r.source) for r in got] == brute_mix(counts, 128)
+    assert all(a.in_block < b.in_block for a, b in zip(got, got[1:]) if a.slot == b.slot)
