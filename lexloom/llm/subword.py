@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import learns_from, slices, word_lists
+from lexloom.operators.ordering import top_per_group
+
+#: A labelled text over one part in this many of the sample's characters is learnt from after all shorter ones.
+LONG_PARTS = 50
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,29 +220,42 @@ def labelled_sample(
 ) -> tuple[pa.Array, np.ndarray]:
     """Texts and labels to learn from: a bounded number of rows and characters, by a hash of their id.
 
-    Rows with a null id or label, and those whose crc32 of the id leaves ``left_out``, do not take part.
+    Different texts of one id are rows of their own, copies are one row; second and later texts
+    of an id come after the first ones of all ids, texts longer than one part in ``LONG_PARTS`` of
+    ``most_chars`` after all others. A text that does not fit is passed over. Rows with a null id or label, and those
+    whose crc32 of the id leaves ``left_out``, do not take part.
     """
-    known = (
-        labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-        .where(learns_from(F.col("doc_id"), modulus, left_out))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").cast("int").alias("toxic"))
-        .withColumn("order", F.xxhash64("doc_id"))
-        .orderBy("order", "doc_id")
+    learns = F.col("doc_id").isNotNull() & learns_from(F.col("doc_id"), modulus, left_out)
+    known = labels.where(F.col("toxic").isin(0, 1) & learns).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.where(learns).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    hashed = texts.withColumn("h", F.xxhash64("text"))
+    # Copies go before the sizes are ranked: numbers only, and at most ``most_docs`` of an id.
+    sizes = hashed.select("doc_id", "h", F.length("text").cast("bigint").alias("n")).groupBy("doc_id", "h").agg(F.max("n").alias("n"))
+    long = F.col("n") > most_chars // LONG_PARTS
+    ranked = top_per_group(sizes.where(F.col("n") <= most_chars), ["doc_id"], [long, F.col("h")], most_docs, "nth")
+    # At most ``most_docs`` rows of numbers: small, whatever the tables are.
+    listed = (
+        ranked.join(known, "doc_id")
+        .orderBy(long, "nth", F.xxhash64("doc_id"), "doc_id")
         .limit(most_docs)
+        .select("doc_id", "h", "n", "toxic")
+        .toArrow()
     )
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # At most ``most_docs`` rows of three numbers: small, whatever the tables are.
-    sized = texts.join(F.broadcast(known), "doc_id")
-    lengths = sized.select("order", "doc_id", F.length("text").alias("n")).orderBy("order", "doc_id", "n").toPandas()
-    within = lengths[lengths.n.cumsum() <= most_chars]
-    if within.empty:
+    fits, left = [], most_chars
+    for n in listed["n"].to_pylist():
+        fits.append(n <= left)
+        left -= n if fits[-1] else 0
+    if not any(fits):
         return pa.array([], pa.string()), np.empty(0, np.int64)
-    last = within.iloc[-1]
-    upto, doc_id = int(last.order), int(last.doc_id)
-    before = (F.col("order") < upto) | ((F.col("order") == upto) & (F.col("doc_id") <= doc_id))
-    chosen = sized.where(before & (F.length("text") <= most_chars))
-    rows = chosen.orderBy("order", "doc_id", F.xxhash64("text")).select("text", "toxic").toArrow()
+    chosen = docs.sparkSession.createDataFrame(listed.filter(pa.array(fits)).select(["doc_id", "h", "toxic"]))
+    rows = (
+        hashed.join(F.broadcast(chosen), ["doc_id", "h"])
+        .groupBy("doc_id", "h", "toxic")
+        .agg(F.first("text").alias("text"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+        .select("text", "toxic")
+        .toArrow()
+    )
     return rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(np.int64)
 
 
@@ -255,8 +272,8 @@ def score_toxicity(
     """``docs`` with ``out``: the probability, 0 to 1, that a text is toxic.
 
     ``labels`` (doc_id, toxic) teaches, but for ids whose crc32 modulo ``modulus`` is ``left_out``; at most
-    ``most_docs`` labelled documents and ``most_chars`` characters are learnt from, chosen by a hash of the id, so that
-    numpy trains on a bounded sample. Every row of ``docs`` is scored over its whole text. A
+    ``most_docs`` labelled texts and ``most_chars`` characters are learnt from, chosen by a hash of the id, so that
+    numpy trains on a bounded sample; a text that does not fit is passed over. Every row of ``docs`` is scored over its whole text. A
     null or empty text scores as one without evidence. Without labels of both kinds every
     score is the share of label 1 (one half without labels). All columns pass through; an earlier ``out`` is replaced.
     """

@@ -9,11 +9,13 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from lexloom.llm.common import learns_from
 from lexloom.llm.elias_fano import EliasFano, encode, successor
 from lexloom.llm.ngram_trie import score_held_out, score_texts, train_model
 from lexloom.llm.robust import chi2_quantile, judge_quality, text_counts
-from lexloom.llm.subword import drop_toxic, passages, score_toxicity, subwords, train
+from lexloom.llm.subword import drop_toxic, labelled_sample, passages, score_toxicity, subwords, train
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DATA = pathlib.Path("/root/testdata/sf0.1")
@@ -199,3 +201,25 @@ def test_held_out_toxicity(spark):
     caught = held.toxic_score >= 0.7
     # About a fifth of the toxic labels of this small table are on texts without any such word.
     assert caught[held.toxic == 1].mean() > 0.55 and caught[held.toxic == 0].mean() < 0.02
+
+
+def test_sample_passes_over_long_texts_and_copies(spark):
+    ids = spark.range(300).select("id", F.xxhash64("id").alias("h"), learns_from(F.col("id"), 3, 1).alias("learns"))
+    order = [r.id for r in ids.where("learns").orderBy("h").collect()]
+    text = {i: f"plain words {i} " + ("horrible" if i % 3 == 0 else "lovely") for i in order}
+    text[order[0]] = "long text " * 3000
+    text[order[1]] = "rather long text " * 500
+    text[order[3]] = None
+    rows = [(i, t) for i, t in text.items()]
+    rows += [(order[2], text[order[2]])] * 40 + [(order[4], f"other {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(-500, 300)], "doc_id bigint, quality int, toxic int")
+    texts, known = labelled_sample(docs, labels, 4000, 12_000, 3, 1)
+    got = texts.to_pylist()
+    want = {t or "" for t in text.values()} | {f"other {k}" for k in range(40)}
+    assert sorted(got) == sorted(want - {text[order[0]]} - ({text[order[1]]} - set(got)))
+    assert sum(map(len, got)) <= 12_000 and set(known.tolist()) == {0, 1} and "" in got
+    few, _ = labelled_sample(docs, labels, 20, 12_000, 3, 1)
+    assert len(few) == 20 and len(set(few.to_pylist()) & {text[i] or "" for i in order}) >= 19
+    alone, _ = labelled_sample(docs.where(F.length("text") > 8000), labels, 20, 9000, 3, 1)
+    assert alone.to_pylist() == [text[order[1]]]
