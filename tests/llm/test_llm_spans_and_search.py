@@ -1,5 +1,6 @@
 """Repeated spans, source mixing, top products and the pipeline against plain Python."""
 
+import hashlib
 import itertools
 import pathlib
 import random
@@ -191,3 +192,20 @@ def test_pipeline_result_is_mixed(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert [(r.slot, r.source) for r in got] == brute_mix(counts, 128)
     assert all(a.in_block < b.in_block for a, b in zip(got, got[1:]) if a.slot == b.slot)
+
+
+def test_last_stage_decodes_what_it_encodes(spark):
+    texts = ["plain text", "é漢字 😀\n\ttabs", "", None, "a" * 5000]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in corpus_pipeline.byte_bpe(spark, docs, "").collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].decoded_sha256 == got[i].text_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_last_stage_shows_what_does_not_decode_to_its_text(spark, monkeypatch):
+    # On a split of the text that loses spaces the ids do not give the text again.
+    monkeypatch.setattr(corpus_pipeline.public_tokenizers, "PATTERN", "[^ ]+")
+    docs = spark.createDataFrame([(1, "two words", "en", "s", 9)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    row = corpus_pipeline.byte_bpe(spark, docs, "").first()
+    assert row.decoded_sha256 == hashlib.sha256(b"twowords").hexdigest() != row.text_sha256
