@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.bpe import encode_bpe
 from lexloom.llm.common import learns_from, table
+from lexloom.llm.frames import fill_in_middle, store_frames, with_digests
+from lexloom.llm.hard_negatives import hard_negatives
 from lexloom.llm.line_runs import drop_common_lines
 from lexloom.llm.ngram_trie import score_held_out
 from lexloom.llm.pfair import mix_sources
@@ -17,6 +19,7 @@ from lexloom.llm.simhash import near_copies
 from lexloom.llm.subword import score_toxicity
 from lexloom.llm.token_files import write_token_files
 from lexloom.llm.topk import top_products
+from lexloom.session import durable
 
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +99,18 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.documents()
 
 
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts cut in three at random units and put in another order, from stored frames."""
+    stored = durable(store_frames(table(spark, folder, "documents").select("doc_id", "text")))
+    return with_digests(fill_in_middle(stored))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of other labels that score half to nineteen twentieths of a positive."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -107,6 +122,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_top_products": op9_top_products,
     "op10_token_files": op10_token_files,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -135,4 +152,53 @@ scored AS (
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
 FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op12_fill_in_middle": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+),
+hashed AS (SELECT *, len(units) AS n, sha256('42:' || id) AS h FROM cut),
+drawn AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM hashed
+),
+placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+),
+parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts""",
+    "op13_hard_negatives": """
+WITH sound AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, len(embedding) AS dim,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS (SELECT r, vec_id, label, dim, unnest(v) AS x, unnest(range(len(v))) AS i FROM sound),
+scored AS (
+  SELECT a.r, a.vec_id AS anchor_id, c.r AS other, c.vec_id, a.label = c.label AS same, CAST(sum(a.x * c.x) AS BIGINT) AS score
+  FROM parts a JOIN parts c ON a.i = c.i AND a.dim = c.dim AND a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL
+),
+positive AS (
+  SELECT r, anchor_id, other AS p, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, other) <= 5
+),
+negative AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.p ORDER BY s.score DESC, s.vec_id, s.other) AS rank
+  FROM positive p JOIN scored s USING (r)
+  WHERE NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM negative WHERE rank <= 3""",
 }
