@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.bpe import encode_bpe
@@ -12,6 +12,7 @@ from lexloom.llm.frames import fill_in_middle, store_frames, with_digests
 from lexloom.llm.hard_negatives import hard_negatives
 from lexloom.llm.line_runs import drop_common_lines
 from lexloom.llm.ngram_trie import score_held_out
+from lexloom.llm.personal import KINDS, find_personal
 from lexloom.llm.pfair import mix_sources
 from lexloom.llm.repeats import remove_repeats
 from lexloom.llm.robust import judge_quality
@@ -99,6 +100,24 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.documents()
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses and numbers of persons by patterns, and those that a model of whole spans adds."""
+    found = find_personal(table(spark, folder, "documents"), columns=["doc_id"])
+    base = F.filter("spans", lambda s: s.base)
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    counts = (F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{k}") for k in KINDS)
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("bigint").alias("n_added"),
+    )
+
+
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     """Texts cut in three at random units and put in another order, from stored frames."""
     stored = durable(store_frames(table(spark, folder, "documents").select("doc_id", "text")))
@@ -122,6 +141,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_top_products": op9_top_products,
     "op10_token_files": op10_token_files,
+    "op11_personal_data": op11_personal_data,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_hard_negatives": op13_hard_negatives,
 }
