@@ -153,19 +153,20 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, out = self.start, ()
+        state, out = self.start, []
         for at, byte in enumerate(piece):
             made = state.steps.get(byte) if state.steps else None
             if made is None:
                 if len(self.states) >= self.most:
-                    return out + self._rest(state, piece[at:])
+                    out.extend(self._rest(state, piece[at:]))
+                    return tuple(out)
                 made = self._step(state, byte)
             state, emitted = made
-            if emitted:
-                out += emitted
+            out.extend(emitted)
         if state.end is None:
             state.end = _path(state.prefixes, len(state.pending))
-        return out + state.end
+        out.extend(state.end)
+        return tuple(out)
 
 
 class _Pieces(dict):
@@ -230,7 +231,10 @@ def encode_bpe(
     new ones are replaced. Texts of any length are read once, and the tables kept by a task are bounded.
     """
     others = [c for c in docs.columns if c not in (text, out, decoded)]
-    rows = docs.select(*others, F.col(text).cast("string").alias("__text"))
+    read = "__text"
+    while read in others:
+        read += "_"
+    rows = docs.select(*others, F.col(text).cast("string").alias(read))
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + [f"`{out}` array<int>"]
     names = [*others, out]
     if decoded:
@@ -240,8 +244,8 @@ def encode_bpe(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = ("bpe", path, pattern)
         codec = keep(key, lambda: BpeCodec(path, pattern))
-        for some in slices(batches, "__text", 2_000_000, key):
-            ids = [codec.encode(t or "") for t in some["__text"].to_pylist()]
+        for some in slices(batches, read, 2_000_000, key):
+            ids = [codec.encode(t or "") for t in some[read].to_pylist()]
             sizes = np.cumsum([0, *map(len, ids)])
             flat = np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)
             columns = [some[c] for c in others]

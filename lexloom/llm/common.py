@@ -102,10 +102,10 @@ def _give_up() -> None:
         _kept.clear()
         # What was kept may refer to itself in circles.
         gc.collect()
-        _give_back()
+        give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: idle workers and other tasks share one machine's."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -133,7 +133,7 @@ def slices(
             held += size
         if batch.num_rows > start:
             yield batch.slice(start, batch.num_rows - start)
-    _give_back()
+    give_back()
 
 
 def word_lists(texts: pa.Array, fold: bool = True) -> pa.LargeListArray:

@@ -152,6 +152,6 @@ def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
 def _placed(docs: DataFrame, **options) -> DataFrame:
     placed = mix_sources(docs, **options).select("h1", "h2", "slot", "in_block")
     names = {name: options.get(name, name) for name in ("doc_id", "source", "text")}
-    h1, h2 = key_hash(*(F.col(names[n]) for n in ("doc_id", "source", "text")))
+    h1, h2 = key_hash(*(F.col(names[n]) for n in ("doc_id", "source", "text") if names[n]))
     keyed = docs.select(F.struct("*").alias("__doc"), h1.alias("h1"), h2.alias("h2"))
     return keyed.join(placed, ["h1", "h2"])

@@ -108,10 +108,12 @@ def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
-    counts = (F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{k}") for k in KINDS)
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("bigint")
+
     return found.select(
         "doc_id",
-        *counts,
+        *(count(kind).alias(f"n_{kind}") for kind in KINDS),
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size(base)).cast("bigint").alias("n_added"),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import learns_from, slices, word_lists
+from lexloom.llm.common import give_back, learns_from, slices, word_lists
 from lexloom.operators.ordering import top_per_group
 
 #: A labelled text over one part in this many of the sample's characters is learnt from after all shorter ones.
@@ -217,13 +217,13 @@ def train(
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, most_docs: int, most_chars: int, modulus: int, left_out: int
-) -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels to learn from: a bounded number of rows and characters, by a hash of their id.
+) -> DataFrame:
+    """(text, toxic) to learn from, in order: a bounded number of rows and characters, by a hash of their id.
 
     Different texts of one id are rows of their own, copies are one row; second and later texts
     of an id come after the first ones of all ids, texts longer than one part in ``LONG_PARTS`` of
     ``most_chars`` after all others. A text that does not fit is passed over. Rows with a null id or label, and those
-    whose crc32 of the id leaves ``left_out``, do not take part.
+    whose crc32 of the id leaves ``left_out``, do not take part. All rows are in one task.
     """
     learns = F.col("doc_id").isNotNull() & learns_from(F.col("doc_id"), modulus, left_out)
     known = labels.where(F.col("toxic").isin(0, 1) & learns).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -245,18 +245,30 @@ def labelled_sample(
     for n in listed["n"].to_pylist():
         fits.append(n <= left)
         left -= n if fits[-1] else 0
-    if not any(fits):
-        return pa.array([], pa.string()), np.empty(0, np.int64)
-    chosen = docs.sparkSession.createDataFrame(listed.filter(pa.array(fits)).select(["doc_id", "h", "toxic"]))
-    rows = (
-        hashed.join(F.broadcast(chosen), ["doc_id", "h"])
-        .groupBy("doc_id", "h", "toxic")
-        .agg(F.first("text").alias("text"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "h")
-        .select("text", "toxic")
-        .toArrow()
+    chosen = docs.sparkSession.createDataFrame(
+        listed.filter(pa.array(fits, pa.bool_())).select(["doc_id", "h", "toxic"]).to_pylist(), "doc_id bigint, h bigint, toxic int"
     )
-    return rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(np.int64)
+    rows = hashed.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h", "toxic").agg(F.first("text").alias("text"))
+    return rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "h").select("text", "toxic")
+
+
+def learnt(sample: DataFrame, **training) -> SubwordModel:
+    """The model of a bounded sample (text, toxic), trained in one task; the driver sees its weights only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches))
+        model = train(whole["text"].combine_chunks(), whole["toxic"].to_numpy().astype(np.int64), **training)
+        yield pa.RecordBatch.from_pydict(
+            {"buckets": [model.buckets.tobytes()], "bias": [model.bias], "width": [model.width], "bits": [model.bits]}
+        )
+        del whole, model
+        give_back()
+
+    rows = sample.mapInArrow(run, "buckets binary, bias double, width bigint, bits bigint").collect()
+    if not rows:
+        return train(pa.array([], pa.string()), np.empty(0, np.int64), **training)
+    (row,) = rows
+    return SubwordModel(np.frombuffer(row.buckets, np.float64), row.bias, row.width, row.bits)
 
 
 def score_toxicity(
@@ -273,12 +285,12 @@ def score_toxicity(
 
     ``labels`` (doc_id, toxic) teaches, but for ids whose crc32 modulo ``modulus`` is ``left_out``; at most
     ``most_docs`` labelled texts and ``most_chars`` characters are learnt from, chosen by a hash of the id, so that
-    numpy trains on a bounded sample; a text that does not fit is passed over. Every row of ``docs`` is scored over its whole text. A
+    numpy trains, in one task, on a bounded sample; a text that does not fit is passed over. Every row of ``docs`` is scored over its whole text. A
     null or empty text scores as one without evidence. Without labels of both kinds every
     score is the share of label 1 (one half without labels). All columns pass through; an earlier ``out`` is replaced.
     """
-    texts, known = labelled_sample(docs, labels, most_docs, most_chars, modulus, left_out)
-    model = docs.sparkSession.sparkContext.broadcast(train(texts, known, **training))
+    sample = labelled_sample(docs, labels, most_docs, most_chars, modulus, left_out)
+    model = docs.sparkSession.sparkContext.broadcast(learnt(sample, **training))
     keep = [c for c in docs.columns if c != out]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 

@@ -102,7 +102,9 @@ class TokenFiles:
         The checksum is of the ids as four little-endian bytes each, whatever the files use.
         """
         read = _reader(self.folder, self.kind)
-        return self.parts.select("part", "base").repartition("part").mapInArrow(
+        # A number of its own, since the few rows would else be merged into one task.
+        n = max(1, self.parts.count())
+        return self.parts.select("part", "base").repartitionByRange(n, "part").mapInArrow(
             read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, part int"
         )
 

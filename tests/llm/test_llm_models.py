@@ -214,12 +214,15 @@ def test_sample_passes_over_long_texts_and_copies(spark):
     rows += [(order[2], text[order[2]])] * 40 + [(order[4], f"other {k}") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(-500, 300)], "doc_id bigint, quality int, toxic int")
-    texts, known = labelled_sample(docs, labels, 4000, 12_000, 3, 1)
-    got = texts.to_pylist()
+    def sample(some, most_docs, most_chars):
+        found = labelled_sample(some, labels, most_docs, most_chars, 3, 1)
+        assert found.rdd.getNumPartitions() == 1
+        return [tuple(r) for r in found.collect()]
+
+    got, known = zip(*sample(docs, 4000, 12_000))
     want = {t or "" for t in text.values()} | {f"other {k}" for k in range(40)}
     assert sorted(got) == sorted(want - {text[order[0]]} - ({text[order[1]]} - set(got)))
-    assert sum(map(len, got)) <= 12_000 and set(known.tolist()) == {0, 1} and "" in got
-    few, _ = labelled_sample(docs, labels, 20, 12_000, 3, 1)
-    assert len(few) == 20 and len(set(few.to_pylist()) & {text[i] or "" for i in order}) >= 19
-    alone, _ = labelled_sample(docs.where(F.length("text") > 8000), labels, 20, 9000, 3, 1)
-    assert alone.to_pylist() == [text[order[1]]]
+    assert sum(map(len, got)) <= 12_000 and set(known) == {0, 1} and "" in got
+    few = [t for t, _ in sample(docs, 20, 12_000)]
+    assert len(few) == 20 and len(set(few) & {text[i] or "" for i in order}) >= 19
+    assert [t for t, _ in sample(docs.where(F.length("text") > 8000), 20, 9000)] == [text[order[1]]]

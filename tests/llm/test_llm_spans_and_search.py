@@ -209,3 +209,8 @@ def test_last_stage_shows_what_does_not_decode_to_its_text(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "two words", "en", "s", 9)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     row = corpus_pipeline.byte_bpe(spark, docs, "").first()
     assert row.decoded_sha256 == hashlib.sha256(b"twowords").hexdigest() != row.text_sha256
+
+
+def test_mix_without_texts(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", f"t{i}") for i in range(50)], "doc_id bigint, source string, text string")
+    assert in_mixed_order(docs, text=None, block_docs=4).count() == 50

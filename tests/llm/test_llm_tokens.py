@@ -102,3 +102,28 @@ def test_files_in_order_of_ids(spark):
     for part in files.parts.collect():
         ids, offsets, docs, _ = part_arrays(files.folder, part.part, files.kind)
         assert (len(ids), len(docs), offsets[-1]) == (part.ids, part.docs, part.ids)
+
+
+def test_long_pieces_are_read_in_proportion(reference):
+    codec = BpeCodec(RANKS, P.PATTERN)
+    for text in ("a" * 400_000, "ab" * 100_000):
+        assert codec.encode(text).tolist() == list(codec.transducer(text.encode()))
+    assert codec.encode("a" * 3000).tolist() == reference.encode_ordinary("a" * 3000)
+    assert "".join(codec.decode(codec.encode("a" * 400_000).tolist())) == "a" * 400_000
+
+
+def test_clashing_column_of_texts(spark):
+    docs = spark.createDataFrame([(1, "one two", "kept")], "doc_id bigint, text string, __text string")
+    (row,) = encode_bpe(docs, RANKS, P.PATTERN).collect()
+    assert row["__text"] == "kept" and len(row.token_ids) == 2
+
+
+def test_parts_are_read_back_by_as_many_tasks(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('word ', id) as text").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = write_token_files(docs, WORDS, end=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    n = files.parts.count()
+    assert n == 8 and files.documents().rdd.getNumPartitions() == n
