@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest data folder."""
 
 import pathlib
+import subprocess
 import sys
 
 import duckdb
@@ -33,6 +34,23 @@ def test_every_query_has_its_sql():
     assert set(NAMES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("missing", ["lexloom.llm", "corpus_pipeline", "xxhash"])
+def test_other_queries_stand_without_the_detachable_folder(missing):
+    hide = f"""
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r} or name.startswith({missing!r} + "."):
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as entry
+core = {{n for g in entry.CORE for n in g.QUERIES}}
+assert core <= set(entry.queries()) and core <= set(entry.oracle_sql())
+assert "pipeline" not in entry.queries()
+"""
+    subprocess.run([sys.executable, "-c", hide], cwd=ROOT, check=True, timeout=300)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, database, name):
     df = entry.queries()[name](spark, FOLDER)
