@@ -37,3 +37,9 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
 def unit_dot(vector: Column, query: Sequence[float]) -> Column:
     """Cosine similarity when both sides have length one."""
     return _dot(vector, F.array(*[F.lit(float(x)) for x in query]))
+
+
+def stored_cosine(vector: Column, length: Column, query: Sequence[float]) -> Column:
+    """Cosine similarity to a fixed query vector, from the stored length of the vector."""
+    own = math.sqrt(sum(float(x) * float(x) for x in query))
+    return _dot(vector, F.array(*[F.lit(float(x)) for x in query])) / (length * F.lit(own))

@@ -81,7 +81,8 @@ class PostingsIndex:
     stats: DataFrame  # one row: n, mean_length, buckets
 
 
-def _bucket(term: Column, buckets: int | Column) -> Column:
+def bucket_of(term: Column, buckets: int | Column) -> Column:
+    """The bucket that holds a term."""
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
@@ -109,7 +110,7 @@ def build_index(
         ),
     )
     postings = placed.select("key", "length", F.inline(counted)).select(
-        "key", "length", "term", "tf", _bucket(F.col("term"), buckets).alias("bucket")
+        "key", "length", "term", "tf", bucket_of(F.col("term"), buckets).alias("bucket")
     )
     terms = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
     stats = lengths.agg(
@@ -156,7 +157,7 @@ def rank_index(index: PostingsIndex, query: str, score: str = "score") -> DataFr
     # The buckets are computed once so that they are literals the scan prunes by.
     held = index.stats.first()
     buckets = [
-        row.b for row in wanted.select(_bucket(F.col("term"), held.buckets).alias("b")).distinct().collect()
+        row.b for row in wanted.select(bucket_of(F.col("term"), held.buckets).alias("b")).distinct().collect()
     ]
     in_query = F.col("bucket").isin(buckets) & F.col("term").isin(terms)
     per_term = index.terms.where(in_query).select("term", "df")

@@ -28,14 +28,16 @@ def search_case_law(corpus: DataFrame, query: str, ranked: bool = False, limit:
     return hits(ranked_search(corpus, query, limit, page, **filters))
 
 
-def ranked_search(corpus: DataFrame, query: str, limit: int = 20, page: int = 0, **filters) -> DataFrame:
+def ranked_search(
+    corpus: DataFrame, query: str, limit: int = 20, page: int = 0, court_code: str | None = None, **filters
+) -> DataFrame:
     """Uniform rows by BM25 score, then date, then id.
 
-    Statistics cover the whole corpus; what matches is decided by the same
-    predicate as in the unranked search. A row that only matches inside a word has score zero.
+    Statistics cover the whole corpus, also where only the rows of one ``court_code`` are wanted; what matches is decided
+    by the same predicate as in the unranked search. A row that only matches inside a word has score zero.
     """
     scored = rank_query(corpus, query, TEXT, keep_unscored=True)
-    rows = matching(scored, query, **filters)
+    rows = matching(scored if court_code is None else scored.where(F.col("court_code") == court_code), query, **filters)
     return page_of(rows, [F.desc(F.round("score", 6)), *newest_first()], limit, page)
 
 

@@ -20,6 +20,14 @@ def any_file(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the folders that a pattern names, in order, on any Hadoop file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(path)
+    return sorted(one.getPath().toString() for one in found or [] if one.isDirectory())
+
+
 def read_binary(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Files with path, length and content."""
     return (

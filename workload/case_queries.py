@@ -222,20 +222,20 @@ def text_matches(spark, folder):
     return rows.select("id", F.round("score", 9).alias("score"))
 
 
-def _query_vector():
+def query_vector():
     return [((i * 37) % 19 - 9) / 10.0 for i in range(64)]
 
 
 def vector_matches(spark, folder):
     """Best vectors by cosine similarity."""
-    rows = documents.vector_leg(Records(spark, folder)["embeddings"], "vec_id", "embedding", _query_vector(), 60)
+    rows = documents.vector_leg(Records(spark, folder)["embeddings"], "vec_id", "embedding", query_vector(), 60)
     return rows.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 def hybrid_search(spark, folder):
     """Text and vector search fused."""
     t = Records(spark, folder)
-    rows = documents.search_documents(t["chunks"], t["own_documents"], TEXT_QUERY, _query_vector(), limit=25)
+    rows = documents.search_documents(t["chunks"], t["own_documents"], TEXT_QUERY, query_vector(), limit=25)
     return rows.select("id", "title", "relevance", F.array_join("matched_by", "+").alias("matched_by"), "search_mode")
 
 
@@ -282,7 +282,7 @@ QUERIES = {
 
 # --- the same answers in SQL ---------------------------------------------------------------
 
-_VECTOR = ", ".join(f"CAST({x} AS DOUBLE)" for x in _query_vector())
+_VECTOR = ", ".join(f"CAST({x} AS DOUBLE)" for x in query_vector())
 _TYPES = ", ".join(f"'{x}'" for x in MATTER_TYPES)
 _STATES = ", ".join(f"'{x}'" for x in MATTER_STATUSES)
 #: Letters outside ASCII count as word characters; both classes are one character wide.

@@ -400,14 +400,14 @@ SELECT {n} AS query_no, doc_id, title, decided FROM {{named}} WHERE {where}
 QUALIFY row_number() OVER (ORDER BY decided DESC NULLS LAST, doc_id) <= 10"""
 
 
-def _has(*terms):
+def has_terms(*terms):
     return " AND ".join(
         f"(contains(lower(title), '{t}') OR contains(lower(description), '{t}'))" for t in terms
     )
 
 
 _MEMO_ALL = " UNION ALL ".join(
-    _MEMO.format(n=i, where=_has(*q.split())).replace("{{", "{").replace("}}", "}")
+    _MEMO.format(n=i, where=has_terms(*q.split())).replace("{{", "{").replace("}}", "}")
     for i, q in enumerate(["bail building", "tax landab", "service notice", "bail"])
 )
 _SUMMARY = """count(*) AS total, count(*) FILTER (verdict = 'VERIFIED') AS verified, count(*) FILTER (verdict = 'NOT_FOUND') AS not_found,
@@ -430,27 +430,27 @@ SELECT doc_id, CASE src WHEN 'hist' THEN 'hist' WHEN 'recent' THEN 'rc' ELSE CAS
   court_code, coalesce(bench, '') AS bench, year, CASE WHEN src = 'od' AND court_code = 'SC' THEN locator ELSE name END AS locator FROM {named}""",
     "metadata_by_id": "SELECT doc_id, title, decision_date, src FROM {named}",
     "search_terms_page": f"""
-SELECT doc_id, title, decision_date FROM {{named}} WHERE {_has('bail', 'state')}
+SELECT doc_id, title, decision_date FROM {{named}} WHERE {has_terms('bail', 'state')}
 ORDER BY decided DESC NULLS LAST, doc_id LIMIT 25 OFFSET 50""",
     "search_filtered": f"""
-SELECT doc_id, judge, decision_date FROM {{named}} WHERE court_code = 'SC' AND {_has('state')} AND contains(lower(judge), 'rao')
+SELECT doc_id, judge, decision_date FROM {{named}} WHERE court_code = 'SC' AND {has_terms('state')} AND contains(lower(judge), 'rao')
   AND decided BETWEEN DATE '1996-03-01' AND DATE '2016-06-30'""",
     "search_wildcards": "SELECT doc_id FROM {named} WHERE lower(title) LIKE '%b_il%priority%' OR lower(description) LIKE '%b_il%priority%'",
     "search_next_page": f"""
-SELECT doc_id, decision_date FROM {{named}} WHERE {_has('land')}
+SELECT doc_id, decision_date FROM {{named}} WHERE {has_terms('land')}
   AND (decided IS NULL OR decided < DATE '1999-06-30' OR (decided = DATE '1999-06-30' AND doc_id > 'sc:'))
 ORDER BY decided DESC NULLS LAST, doc_id LIMIT 40""",
-    "search_total": f"SELECT count(*) AS total_found FROM {{named}} WHERE {_has('land', 'bail')}",
+    "search_total": f"SELECT count(*) AS total_found FROM {{named}} WHERE {has_terms('land', 'bail')}",
     "years_per_court": "SELECT court_code, string_agg(DISTINCT year, ',' ORDER BY year) AS years FROM {corpus} GROUP BY court_code",
     "courts_present": "SELECT DISTINCT court_code FROM {corpus}",
     "bm25_scan": "SELECT doc_id, score FROM {bm25} ORDER BY score DESC, doc_id LIMIT 100",
     "bm25_postings": "SELECT doc_id, score FROM {bm25}",
     "term_frequencies": "SELECT term, df FROM {doc_df}",
     "ranked_search": f"""
-SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM {{named}} LEFT JOIN {{corpus_scores}} USING (doc_id) WHERE {_has('bail', 'landbc', 'priority')}
+SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM {{named}} LEFT JOIN {{corpus_scores}} USING (doc_id) WHERE {has_terms('bail', 'landbc', 'priority')}
 ORDER BY score DESC, decided DESC NULLS LAST, doc_id LIMIT 50""",
     "indexed_search": f"""
-SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM {{named}} LEFT JOIN {{corpus_scores}} USING (doc_id) WHERE {_has('bail', 'landbc', 'priority')}
+SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM {{named}} LEFT JOIN {{corpus_scores}} USING (doc_id) WHERE {has_terms('bail', 'landbc', 'priority')}
 ORDER BY score DESC, decided DESC NULLS LAST, doc_id LIMIT 50""",
     "index_staleness": "SELECT FALSE AS stale",
     "research_memo": f"""
@@ -459,7 +459,7 @@ SELECT query_no, doc_id, title, strftime(decided, '%Y-%m-%d') AS decided FROM (
 ORDER BY query_no, decided DESC NULLS LAST, doc_id LIMIT 25""",
     "memo_status": " UNION ALL ".join(
         f"SELECT {i} AS query_no, '{q}' AS query, count(*) AS matches, CASE WHEN count(*) > 0 THEN 'success' ELSE 'not_found' END AS status "
-        f"FROM {{named}} WHERE {_has(*q.split())}"
+        f"FROM {{named}} WHERE {has_terms(*q.split())}"
         for i, q in enumerate(["bail building", "tax landab", "no such words"])
     ),
     # Every set of terms against every judgment, by plain containment.
