@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexloom.operators.documents import new_documents
 from lexloom.sources.files import any_file
+from lexloom.streaming.hashes import HashStore
 
 
 def read_new_files(
@@ -24,22 +24,23 @@ def read_new_files(
 
 
 def ingest_documents(
-    stream: DataFrame, out: str, checkpoint: str, key: str, content: str
+    stream: DataFrame, out: str, checkpoint: str, key: str, content: str, buckets: int = 16
 ) -> StreamingQuery:
     """Append documents whose content is not stored yet, until the source is drained.
 
     Each batch is written to a folder of its own number, so a batch that is
-    repeated after a failure replaces itself.
+    repeated after a failure replaces itself. Its hashes are added to ``out``-hashes only then; a repeated batch
+    sees those of earlier batches, not its own.
     """
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = f"{out}/batch=*"
-        if any_file(spark, earlier):
-            stored = spark.read.parquet(out).where(F.col("batch") < number)
-            fresh = new_documents(batch, stored, key, content)
-        else:
-            fresh = new_documents(batch, spark.createDataFrame([], "sha256 string"), key, content)
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with HashStore(spark, f"{out.rstrip('/')}-hashes", buckets) as store:
+            if not any_file(spark, f"{out}-hashes/prefix=*") and any_file(spark, f"{out}/batch=*"):
+                # Documents stored before there were hashes.
+                store.add(spark.read.parquet(out).where(F.col("batch") < number).select("sha256"), number - 1)
+            path = f"{out}/batch={number}"
+            store.new_documents(batch, number, key, content).write.mode("overwrite").parquet(path)
+            store.add(spark.read.parquet(path).select("sha256"), number)
 
     return (
         stream.writeStream.foreachBatch(merge)

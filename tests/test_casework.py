@@ -54,6 +54,32 @@ def test_admitted_calls_at_many_prices(spark, budget):
     assert got == greedy(calls, round(budget * 100))
 
 
+def test_admitted_calls_take_as_many_jobs_at_any_prices(spark):
+    def jobs(n):
+        df = spark.createDataFrame(
+            [(i, date(2024, 1, 1 + i % 2), i, 1 + (i * 7919) % n) for i in range(3 * n)], "id int, day date, ts int, cost_paise int"
+        )
+        spark.sparkContext.setJobGroup(f"prices {n}", "")
+        rows = ledger.admit_calls(df, 40.0).collect()
+        done = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"prices {n}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        want = greedy([(r.id, r.day, r.ts, r.cost_paise) for r in rows], 4000)
+        assert {r.id: r.admitted for r in rows} == want
+        return done
+
+    assert abs(jobs(1000) - jobs(5)) <= 2
+
+
+def test_calls_without_a_price_and_a_bad_price(spark):
+    schema = "id int, day date, ts int, cost_paise int, last int"
+    rows = [(1, date(2024, 1, 1), 1, None, 9), (2, date(2024, 1, 1), 2, 0, 9), (3, date(2024, 1, 1), 3, 5, 9), (4, None, 4, 5, 9)]
+    got = {r.id: (r.admitted, r.last) for r in ledger.admit_calls(spark.createDataFrame(rows, schema), 1.0).collect()}
+    assert got == {1: (False, 9), 2: (True, 9), 3: (True, 9), 4: (False, 9)}
+    assert ledger.admit_calls(spark.createDataFrame([], schema), 1.0).collect() == []
+    with pytest.raises(Exception, match="negative price"):
+        ledger.admit_calls(spark.createDataFrame([(1, date(2024, 1, 1), 1, -5, 0)], schema), 1.0).collect()
+
+
 def matter(i, status="open", expiry=None, title="t"):
     return (i, title, "civil_suit", status, None, None, None, expiry, None)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 from lexloom.operators import documents, ledger, matters
 from lexloom.rules import drafts
 from lexloom.rules.matters import MATTER_STATUSES, MATTER_TYPES
+from lexloom.session import shared_folder
 from lexloom.sources.rows import serialised
+from lexloom.streaming.budget import run_admitted
+from lexloom.streaming.ingest import read_new_files
 from workload.tables import Tables, wide, with_tables
 
 AS_ON = date(1998, 6, 15)
@@ -38,6 +42,10 @@ FROM {documents} d LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id""",
 }
 
 
+RECORDS["metered_calls"] = """
+SELECT event_id AS id, ts, CAST(ts AS DATE) AS day, CAST(1 + (event_id * 7919) % 3001 AS INT) AS cost_paise FROM {events}"""
+
+
 class Records(Tables):
     """Tables with the records of this group."""
 
@@ -172,6 +180,24 @@ def admitted_calls(spark, folder):
     return rows.select("id", *_iso("day"), "cost_paise", "admitted")
 
 
+def admitted_calls_many_prices(spark, folder):
+    """Calls at some thousand prices, admitted under a daily cap."""
+    rows = ledger.admit_calls(Records(spark, folder)["metered_calls"], 200.0)
+    return rows.select("id", *_iso("day"), "cost_paise", "admitted")
+
+
+def stream_admitted_calls(spark, folder):
+    """The answer of ``admitted_calls``, by a stream whose batches have six hours of every day each."""
+    run = f"{shared_folder(spark).rstrip('/')}/budget-{uuid.uuid4().hex}"
+    calls = Records(spark, folder)["paid_calls"].select("id", F.col("ts").cast("timestamp").alias("ts"), "cost_paise")
+    for hour in (0, 6, 12, 18):
+        some = calls.where(F.hour("ts").between(hour, hour + 5))
+        some.coalesce(1).write.mode("append").parquet(f"{run}/in")
+    stream = read_new_files(spark, f"{run}/in", calls.schema, files_per_batch=1)
+    run_admitted(stream, 7.0, f"{run}/out", f"{run}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{run}/out").select("id", *_iso("day"), "cost_paise", "admitted")
+
+
 # --- documents -----------------------------------------------------------------------------
 
 
@@ -274,6 +300,7 @@ QUERIES = {
         matter_list, limitation_alerts, matter_urgency, matters_by_status, hearing_diary, imminent_hearings,
         matter_children, matter_totals, matter_timeline, matter_updates, hearings_appended,
         hearing_orphans, invalid_matters, matter_rows, live_tokens, daily_spend, admitted_calls,
+        admitted_calls_many_prices, stream_admitted_calls,
         content_first_copies, content_new, document_chunks, document_passages, document_previews,
         conversation_counts, text_matches, vector_matches, hybrid_search, text_only_search,
         own_documents_newest, documents_by_id, matters_by_id,
@@ -302,6 +329,7 @@ FROM (SELECT *, coalesce(next_date, hearing_date) AS listed_date FROM {{hearings
 WHERE listed_date BETWEEN DATE '{AS_ON}' AND DATE '{AS_ON}' + 45 AND m.status NOT IN ('disposed', 'closed')""",
     # Calls one after another, day by day.
     "numbered_calls": "SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts, id) AS n FROM {paid_calls}",
+    "numbered_meter": "SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts, id) AS n FROM {metered_calls}",
     "docs": "SELECT id, title, doc_type FROM {own_documents}",
     "chunk_words": """
 SELECT id, len(t) AS l, len(list_filter(t, lambda w: w = 'the')) AS n0, len(list_filter(t, lambda w: w = 'of')) AS n1
@@ -412,14 +440,21 @@ def _recursive(records: str, name: str, body: str, query: str) -> str:
     return f"WITH RECURSIVE {ctes},\n{name} AS ({body})\n{query}"
 
 
-ORACLE["admitted_calls"] = _recursive(
-    "numbered_calls", "walk",
-    """
-SELECT day, n, id, cost_paise, cost_paise <= 700 AS admitted, CASE WHEN cost_paise <= 700 THEN cost_paise ELSE 0 END AS spent FROM numbered_calls WHERE n = 1
-UNION ALL SELECT c.day, c.n, c.id, c.cost_paise, w.spent + c.cost_paise <= 700, w.spent + CASE WHEN w.spent + c.cost_paise <= 700 THEN c.cost_paise ELSE 0 END
-FROM walk w JOIN numbered_calls c ON c.day = w.day AND c.n = w.n + 1""",
-    "SELECT id, strftime(w.day, '%Y-%m-%d') AS day, cost_paise, admitted FROM walk w",
-)
+
+def _one_by_one(calls, cap):
+    """Calls admitted one after another under a cap in paise."""
+    return _recursive(
+        calls, "walk",
+        f"""
+SELECT day, n, id, cost_paise, cost_paise <= {cap} AS admitted, CASE WHEN cost_paise <= {cap} THEN cost_paise ELSE 0 END AS spent FROM {calls} WHERE n = 1
+UNION ALL SELECT c.day, c.n, c.id, c.cost_paise, w.spent + c.cost_paise <= {cap}, w.spent + CASE WHEN w.spent + c.cost_paise <= {cap} THEN c.cost_paise ELSE 0 END
+FROM walk w JOIN {calls} c ON c.day = w.day AND c.n = w.n + 1""",
+        "SELECT id, strftime(w.day, '%Y-%m-%d') AS day, cost_paise, admitted FROM walk w",
+    )
+
+
+ORACLE["admitted_calls"] = ORACLE["stream_admitted_calls"] = _one_by_one("numbered_calls", 700)
+ORACLE["admitted_calls_many_prices"] = _one_by_one("numbered_meter", 20000)
 _MAX, _MIN = drafts.MAX_CHUNK_CHARS, drafts.MIN_CHUNK_CHARS
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 # buf is the buffer of short units, cur that of paragraphs of a long unit; out is what a step finishes.
