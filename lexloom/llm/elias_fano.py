@@ -78,6 +78,22 @@ class EliasFano:
         out[high > all_zeros] = self.n
         return np.minimum(out, self.n)
 
+    def _run(self, start: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many elements from place ``start`` on have high part ``high``: one bits in a row, at most 63 of them."""
+        bit = start + high
+        word, off = bit >> 6, (bit & 63).astype(np.uint64)
+        inside = word < len(self.upper)
+        here = np.where(inside, self.upper[np.minimum(word, len(self.upper) - 1)], np.uint64(0)) >> off
+        after = np.where(word + 1 < len(self.upper), self.upper[np.minimum(word + 1, len(self.upper) - 1)], np.uint64(0))
+        with np.errstate(over="ignore"):
+            # A shift by 64 is left out: then the window is the word itself.
+            window = here | np.where(off > 0, after << (np.uint64(64) - np.maximum(off, np.uint64(1))), np.uint64(0))
+            lowest_zero = ~window & (window + np.uint64(1))
+        out = np.full(len(bit), 64, np.int64)
+        some = lowest_zero > 0
+        out[some] = np.log2(lowest_zero[some].astype(np.float64)).astype(np.int64)
+        return out
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key among the elements, or -1: a successor search that must hit."""
         if not self.n or not len(keys):
@@ -85,35 +101,37 @@ class EliasFano:
         keys = keys.astype(np.uint64)
         shifted = keys >> np.uint64(8 * self.width)
         high = np.minimum(shifted, np.uint64(1 << 62)).astype(np.int64)
-        low, stop = self._below(high), self._below(high + 1)
-        end = stop.copy()
+        low = self._below(high)
+        known = np.minimum(high, len(self.upper) * 64)
+        run = self._run(low, known)
+        long = np.flatnonzero(run >= 63)
+        end = low + run
+        if len(long):
+            end[long] = self._below(high[long] + 1)
+        end = np.minimum(end, self.n)
+        if not self.width:
+            return np.where(low < end, low, -1)
         want = keys & np.uint64((1 << (8 * self.width)) - 1)
-        if self.width:
-            while True:
-                open_ = np.flatnonzero(low < stop)
-                if not len(open_):
-                    break
-                middle = (low[open_] + stop[open_]) // 2
-                under = self._lows(middle) < want[open_]
-                low[open_] = np.where(under, middle + 1, low[open_])
-                stop[open_] = np.where(under, stop[open_], middle)
-        hit = low < end
-        if self.width:
-            hit[hit] = self._lows(low[hit]) == want[hit]
-        return np.where(hit, low, -1)
+        return search(self._lows, low, end, want)
+
+
+def search(value_at, low: np.ndarray, stop: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The place of ``want`` within each range [low, stop), ascending under ``value_at``, or -1. Ranges that are settled drop out."""
+    place = np.full(len(low), -1, np.int64)
+    at = np.flatnonzero(low < stop)
+    low, high, want = low[at], stop[at], want[at]
+    while len(at):
+        middle = (low + high) >> 1
+        found = value_at(middle)
+        hit = found == want
+        place[at[hit]] = middle[hit]
+        under = found < want
+        low, high = np.where(under, middle + 1, low), np.where(under, high, middle)
+        open_ = np.flatnonzero((low < high) & ~hit)
+        at, low, high, want = at[open_], low[open_], high[open_], want[open_]
+    return place
 
 
 def successor(values: np.ndarray, low: np.ndarray, stop: np.ndarray, want: np.ndarray) -> np.ndarray:
     """The place of ``want`` within each ascending range [low, stop) of ``values``, or -1."""
-    low, right = low.copy(), stop.copy()
-    while True:
-        open_ = np.flatnonzero(low < right)
-        if not len(open_):
-            break
-        middle = (low[open_] + right[open_]) // 2
-        under = values[middle] < want[open_]
-        low[open_] = np.where(under, middle + 1, low[open_])
-        right[open_] = np.where(under, right[open_], middle)
-    hit = low < stop
-    hit[hit] = values[low[hit]] == want[hit]
-    return np.where(hit, low, -1)
+    return search(lambda at: values[at], low, stop, want)

@@ -1,7 +1,7 @@
 """An n-gram model as an Elias-Fano trie in memory-mapped levels.
 
-Level 1 holds words, level n holds under each context of n - 1 words the words seen after it. A level is cut into
-shards by a hash of the context, a context that owns a large share of the text by context and word. A shard has
+Level 1 holds words, level n holds under each context of n - 1 words the words seen after it, all as 64-bit hashes. A level is
+cut into shards by a hash of the context, a context that owns a large share of the text by context and word. A shard has
 its contexts and the pointers to their words in Elias-Fano form, the words of a context in ascending order, and
 quantised numbers: of a word its smoothed probability, of a context the weight left for the
 level below. A word is sought among its context's words only.
@@ -162,7 +162,7 @@ class NgramModel:
             stop[seen] = shard.pointers.access(known[seen] + 1).astype(np.int64)
             left = np.ones(len(unique))
             left[seen] = _share(shard.weights[known[seen]])
-            place = successor(shard.words, low[back], stop[back], (words[at] >> np.uint64(32)).astype(np.uint32))
+            place = successor(shard.words, low[back], stop[back], words[at])
             hit = np.flatnonzero(place >= 0)
             count[at[hit]] = shard.counts[place[hit]]
             share[at[hit]] = _share(shard.shares[place[hit]])
@@ -249,26 +249,24 @@ def _count(model: NgramModel, level: int):
                 yield bucket, _pack(keys[at], count[at].astype(np.uint32))
             return
         at = text.grams(level)
-        if len(at):
-            both = _kept(model, level - 1, text)
-            at = at[both[at] & both[at + 1]]
+        if not len(at):
+            return
+        below = _kept(model, level - 1, text)
+        at = at[(below[at] > 0) & (below[at + 1] > 0)]
         if not len(at):
             return
         contexts, words = text.contexts(level - 1, at), text.hashes[text.tokens[at + level - 1]]
         first, _, count = _unique_pairs(contexts, words)
         contexts, words = contexts[first], words[first]
         unique, place, back = np.unique(contexts, return_index=True, return_inverse=True)
-        if level == 2:
-            sums = text.known(model)[text.tokens[at[first][place]]]
-        else:
-            where = at[first][place]
-            sums, _, _ = model.lookup(level - 1, text.contexts(level - 2, where), text.hashes[text.tokens[where + level - 2]])
+        # A context's own count is that of the shorter n-gram in its place.
+        sums = below[at[first][place]]
         for bucket, some in _by_bucket(model.buckets(level, contexts, words), model.shards):
             own, inside = np.unique(back[some], return_inverse=True)
             order = np.lexsort((words[some], inside))
             yield bucket, _pack(
                 unique[own], sums[own].astype(np.uint64), np.bincount(inside, minlength=len(own)).astype(np.uint32),
-                (words[some][order] >> np.uint64(32)).astype(np.uint32), count[some][order].astype(np.uint32),
+                words[some][order], count[some][order].astype(np.uint32),
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,22 +280,28 @@ def _count(model: NgramModel, level: int):
 
 
 def _kept(model: NgramModel, size: int, text: _Text) -> np.ndarray:
-    """For each place whether the ``size``-gram from there is in the model."""
-    known = np.zeros(len(text.tokens) + 1, bool)
+    """For each place the count of the ``size``-gram from there, 0 if it is not in the model."""
+    counts = np.zeros(len(text.tokens) + 1, np.int64)
     if size == 1:
-        known[:-1] = (text.known(model) >= model.least)[text.tokens]
-        return known
+        seen = text.known(model)
+        counts[:-1] = np.where(seen >= model.least, seen, 0)[text.tokens]
+        return counts
     below, at = _kept(model, size - 1, text), text.grams(size)
-    at = at[below[at] & below[at + 1]]
+    at = at[(below[at] > 0) & (below[at + 1] > 0)]
     if len(at):
         contexts, words = text.contexts(size - 1, at), text.hashes[text.tokens[at + size - 1]]
         first, back, _ = _unique_pairs(contexts, words)
         count, _, _ = model.lookup(size, contexts[first], words[first])
-        known[at] = (count > 0)[back]
-    return known
+        counts[at] = count[back]
+    return counts
+
+
+_BUILT = "bucket int, entries bigint, total bigint, context bigint"
 
 
-_BUILT = "bucket int, entries bigint, total bigint, context bigint, mass double"
+def _left(total: np.ndarray, words: np.ndarray, count: np.ndarray, discount: float) -> np.ndarray:
+    """What a context of ``count`` occurrences leaves to the level below, with ``words`` kept words of ``total`` occurrences."""
+    return np.maximum(1 - (total - discount * words) / count, 1e-9)
 
 
 def _build(model: NgramModel, level: int, discount: float):
@@ -308,7 +312,7 @@ def _build(model: NgramModel, level: int, discount: float):
         parts = [_unpack(blob.as_py()) for blob in rows["sent"]]
         path = Path(model.folder) / f"level-{level}-{bucket:05d}.bin"
         columns = [np.concatenate(c) for c in zip(*parts)]
-        said = {"bucket": [bucket], "entries": [0], "total": [0], "context": [None], "mass": [0.0]}
+        said = {"bucket": [bucket], "entries": [0], "total": [0], "context": [None]}
         if level == 1:
             keys, back = np.unique(columns[0], return_inverse=True)
             counts = np.bincount(back, columns[1].astype(np.float64)).astype(np.uint64)
@@ -327,32 +331,30 @@ def _build(model: NgramModel, level: int, discount: float):
             if len(contexts):
                 own, begin = np.unique(contexts, return_index=True)
                 shares = (counts - discount) / sums
-                mass = np.add.reduceat(shares, begin)
+                words_of, total_of = np.diff(np.append(begin, len(contexts))), np.add.reduceat(counts, begin)
                 write_shard(
                     path,
                     {
                         **{f"contexts.{k}": v for k, v in encode(own).items()},
                         **{f"pointers.{k}": v for k, v in encode(np.append(begin, len(contexts))).items()},
-                        "words": words.astype("<u4"),
+                        "words": words.astype("<u8"),
                         "counts": counts.astype("<u4"),
                         "shares": _quantised(shares),
-                        "weights": _quantised(1 - mass),
+                        "weights": _quantised(_left(total_of, words_of, sums[begin], discount)),
                     },
                 )
                 said["entries"], said["total"] = [len(contexts)], [int(counts.sum())]
                 large = np.flatnonzero(model._spot(level, own) >= 0)
                 said["bucket"] += [bucket] * len(large)
-                said["entries"] += [0] * len(large)
-                said["total"] += [0] * len(large)
+                said["entries"] += words_of[large].tolist()
+                said["total"] += total_of[large].tolist()
                 said["context"] += own[large].view(np.int64).tolist()
-                said["mass"] += mass[large].tolist()
         return pa.table(
             {
                 "bucket": pa.array(said["bucket"], pa.int32()),
                 "entries": pa.array(said["entries"], pa.int64()),
                 "total": pa.array(said["total"], pa.int64()),
                 "context": pa.array(said["context"], pa.int64()),
-                "mass": pa.array(said["mass"], pa.float64()),
             }
         )
 
@@ -369,7 +371,11 @@ def _large(model: NgramModel, level: int, bar: int):
                 if not shard:
                     continue
                 at = np.flatnonzero(shard.counts >= bar)
-                keys = shard.keys.access(at)
+                if level == 1:
+                    keys = shard.keys.access(at)
+                else:
+                    begin = shard.pointers.access(np.arange(shard.pointers.n)).astype(np.int64)
+                    keys = _mixed(shard.contexts.access(np.searchsorted(begin, at, "right") - 1), shard.words[at])
                 yield pa.RecordBatch.from_pydict(
                     {"context": pa.array(keys.view(np.int64)), "n": pa.array(shard.counts[at].astype(np.int64))}
                 )
@@ -377,41 +383,49 @@ def _large(model: NgramModel, level: int, bar: int):
     return run
 
 
+def _hot(spark, model: NgramModel, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, weights yet unknown) of the contexts of ``level`` that own more than a quarter of an even shard.
+
+    There are fewer than four per shard, since their counts add up to the tokens.
+    """
+    bar = max(1000, model.tokens // (4 * model.shards))
+    buckets = spark.range(model.shards).select(F.col("id").cast("int").alias("bucket"))
+    found = buckets.mapInArrow(_large(model, level - 1, bar), "context bigint, n bigint").toPandas()
+    keys = found.context.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found.n.to_numpy(np.int64)[order], np.ones(len(keys))
+
+
 def train_model(
-    docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.75, text: str = "text"
+    docs: DataFrame, order: int = 3, least: int = 2, discount: float = 0.75, text: str = "text", shard_bytes: int = 16_000_000
 ) -> NgramModel:
     """Count and write the levels over all of ``docs``, a level a pass.
 
-    A context of level 2 is large if it owns more than a quarter of an even shard; its words are spread over all shards.
-    There are at most four such contexts per shard. Contexts of more words stay in one shard each.
-    A null or empty text is an END. Without rows the model knows nothing.
+    There is a shard for every ``shard_bytes`` of text, so that a shard stays as large as it is, whatever the collection. A context
+    is large if it owns more than a quarter of an even shard; its words are spread over all shards.
+    Scores do not depend on the number of shards. A null or empty text is an END. Without rows the model knows nothing.
     """
     spark = docs.sparkSession
     _, folder = shared_path(spark, "ngram-levels")
-    model = NgramModel(folder, int(spark.conf.get("spark.sql.shuffle.partitions")), least)
     rows = docs.select(F.col(text).cast("string").alias("text"))
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = NgramModel(folder, max(1, -(-held // shard_bytes)), least)
     for level in range(1, order + 1):
         counted = rows.mapInArrow(_count(model, level), "bucket int, sent binary")
         built = durable(counted.groupBy("bucket").applyInArrow(_build(model, level, discount), _BUILT))
-        totals = built.agg(F.sum("entries").alias("entries"), F.sum("total").alias("total")).first()
         if level == 1:
-            model = replace(model, tokens=totals.total or 0, words=totals.entries or 0)
-            bar = max(1000, model.tokens // (4 * model.shards))
-            buckets = spark.range(model.shards).select(F.col("id").cast("int").alias("bucket"))
-            # Fewer than four per shard, since their counts add up to the tokens.
-            found = buckets.mapInArrow(_large(model, 1, bar), "context bigint, n bigint").toPandas()
-            keys = np.sort(found.context.to_numpy(np.int64).view(np.uint64))
-            counts = dict(zip(found.context.to_numpy(np.int64).view(np.uint64).tolist(), found.n.tolist()))
-            held = np.array([counts[k] for k in keys.tolist()], np.int64)
-            model = replace(model, hot=((keys, held, np.ones(len(keys))),))
+            totals = built.agg(F.sum("entries").alias("entries"), F.sum("total").alias("total")).first()
+            model = replace(model, tokens=totals.total or 0, words=totals.entries or 0, order=1)
         else:
-            if level == 2:
-                mass = built.where("context is not null").groupBy("context").agg(F.sum("mass").alias("mass")).toPandas()
-                of = dict(zip(mass.context.to_numpy(np.int64).view(np.uint64).tolist(), mass.mass.tolist()))
-                keys, held, _ = model.hot[0]
-                weights = np.array([max(1 - of.get(k, 0.0), 1e-9) for k in keys.tolist()])
-                model = replace(model, hot=((keys, held, weights),))
-            model = replace(model, order=level)
+            keys, counts, _ = model.hot[level - 2]
+            # Large contexts have their words in many shards: whole numbers are added up.
+            parts = built.where("context is not null").groupBy("context").agg(F.sum("entries").alias("words"), F.sum("total").alias("total"))
+            of = {r.context: (r.total, r.words) for r in parts.collect()}
+            total, words = np.array([of.get(k, (0, 0)) for k in keys.view(np.int64).tolist()], np.int64).reshape(-1, 2).T
+            weights = _share(_quantised(_left(total, words, counts, discount)))
+            model = replace(model, order=level, hot=(*model.hot[: level - 2], (keys, counts, weights)))
+        if level < order:
+            model = replace(model, hot=(*model.hot, _hot(spark, model, level + 1)))
     return model
 
 
@@ -426,7 +440,7 @@ def _scorer(model: NgramModel, names: list[str], kept: list[str]):
             base = np.where(scored, np.log10(share)[text.tokens], 0.0)
             full = share[text.tokens]
             # A context that the level below lacks is none here.
-            inner = _kept(model, 1, text)
+            inner = _kept(model, 1, text) > 0
             for level in range(2, model.order + 1):
                 at = text.grams(level)
                 at = at[inner[at]]

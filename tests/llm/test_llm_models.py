@@ -41,7 +41,7 @@ def test_elias_fano(top):
 
 def test_successor_stays_in_its_range():
     values = np.array([1, 5, 9, 2, 5, 7], np.uint32)
-    found = successor(values, np.array([0, 3, 0, 3, 2]), np.array([3, 6, 3, 6, 2]), np.array([5, 5, 2, 9, 9], np.uint32))
+    found = successor(values, np.array([0, 3, 0, 3, 2]), np.array([3, 6, 3, 6, 2]), np.array([5, 5, 2, 9, 9], np.uint64))
     assert found.tolist() == [1, 4, -1, -1, -1]
 
 
@@ -89,6 +89,23 @@ def test_scores_against_brute_force(spark, order):
         assert g.base_score == pytest.approx(w[4], abs=1e-6) and g.score == pytest.approx(w[5], abs=2e-3 * g.n_tokens)
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_scores_do_not_depend_on_the_number_of_shards(spark, least):
+    rows = [(i, "x " * 700 + f"y{i % 5} x x z{i} the cat z{i}") for i in range(20)] + [(40 + i, "the cat sat") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    learns = learns_from(F.col("doc_id"), 7, 2)
+    found = {}
+    for shard_bytes in (1 << 30, 900):
+        model = train_model(df.where(learns), least=least, shard_bytes=shard_bytes)
+        assert (model.shards == 1) == (shard_bytes > 1000)
+        # The pair of one word repeated is a large context of the third level.
+        assert len(model.hot) == 2 and len(model.hot[1][0]) >= 1
+        found[shard_bytes] = {r.doc_id: r.score for r in score_texts(df, model).collect()}
+    assert found[1 << 30] == found[900]
+    for doc_id, n, _, _, _, score in brute_scores(rows, 3, least):
+        assert found[900][doc_id] == pytest.approx(score, abs=2e-3 * n)
+
+
 def test_large_contexts_are_spread(spark):
     rows = [(i, " ".join(f"hot w{(i * 7 + k) % 90}" for k in range(40))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
