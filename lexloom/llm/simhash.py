@@ -114,69 +114,24 @@ def links(table: DataFrame, distance: int, segments: int | None = None) -> DataF
     return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _shingler(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2_000_000):
-            counts, blocks = shingle_hashes(part["text"], width)
-            hashes = np.concatenate([np.empty(0, np.uint64), *(h for _, h in blocks)]).view(np.int64)
-            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays(
-                [part["fp"], pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"]
-            )
-
-    return run
-
-
-def similar_links(
-    pairs: DataFrame, texts: DataFrame, width: int, similarity: float
-) -> DataFrame:
-    """The (u, v) of ``pairs`` whose texts, found in ``texts`` (fp, text), share enough shingles.
-
-    Similarity is shared over all different ``width``-word shingles. Only the texts that occur in
-    a pair are cut into shingles.
-    """
-    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    sets = durable(texts.join(asked, "fp", "left_semi").mapInArrow(_shingler(width), "fp bigint, shingles array<bigint>"))
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
-
-
 def near_copies(
     docs: DataFrame,
     width: int = 3,
     distance: int = 3,
-    similarity: float | None = None,
-    similar_width: int = 5,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """(doc_id, h1, h2, fp, component_id) for every row of ``docs``.
 
     Fingerprints over ``width``-word shingles link at ``distance`` differing bits or fewer;
-    ``component_id`` is the smallest id that links reach, the row's own included. With
-    ``similarity`` a link must also be borne out by the texts: that share of their
-    ``similar_width``-word shingles in common, for the first text of either fingerprint. Copies
+    ``component_id`` is the smallest id that links reach, the row's own included. Copies
     have one fingerprint, so pairs are sought between different fingerprints only. Null
-    and empty texts have fingerprint 0 and link like any other. Null ids are no
+    and empty texts have fingerprint 0 and link like any other. Links by the texts themselves: ``near_texts``. Null ids are no
     component ids unless nothing else is reached. An empty table gives an empty result.
     """
     marked = durable(with_fingerprint(docs, width, doc_id, text))
-    # For each fingerprint its least id, and its first row as the one whose text stands for it.
-    table = durable(
-        marked.groupBy("fp").agg(
-            F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "h1", "h2")).alias("stands")
-        )
-    )
+    table = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     pairs = links(table.select("fp"), distance)
-    if similarity is not None:
-        pairs = durable(pairs)
-        ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-        stands = table.join(ends, "fp", "left_semi").select("fp", "stands.h1", "stands.h2")
-        h1, h2 = key_hash(F.col(doc_id), F.col(text))
-        texts = docs.select(F.col(text).cast("string").alias("text"), h1.alias("h1"), h2.alias("h2"))
-        chosen = texts.join(stands, ["h1", "h2"]).select("fp", "text").dropDuplicates(["fp"])
-        pairs = similar_links(pairs, chosen, similar_width, similarity)
     roots = components(pairs)
     rooted = table.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")

@@ -1,13 +1,17 @@
 """Line dedup, near copies and components against plain Python."""
 
+import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lexloom.llm import near_texts
 from lexloom.llm.components import components
 from lexloom.llm.line_runs import LineRuns, drop_common_lines
+from lexloom.llm.near_texts import drop_similar, similar_groups
 from lexloom.llm.simhash import drop_near_copies, links, near_copies
 
 SCHEMA = "doc_id bigint, text string, source string, n_lines string"
@@ -122,15 +126,67 @@ def test_every_link_is_found(spark, distance, segments):
 def test_one_of_each_group_stays(spark):
     base = " ".join(f"word{i}" for i in range(300))
     rows = rows_of([base + " end", base, base, "quite another text of its own", None, ""]) + [(None, base, None, "x")]
-    kept = drop_near_copies(spark.createDataFrame(rows, SCHEMA), width=3, distance=7, similarity=0.8)
+    kept = drop_similar(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == SCHEMA.replace("bigint", "").replace("string", "").replace(" ", "").split(",")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4]
+    assert drop_similar(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def changed(rng, words_, edits):
+    out = list(words_)
+    for _ in range(edits):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def five_shingles(text):
+    w = words(text)
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similarity(a, b):
+    a, b = five_shingles(a), five_shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_planted_near_copies_are_found(spark):
+    rng = random.Random(21)
+    texts, pairs = [], []
+    for i in range(150):
+        own = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(own))
+        other = changed(rng, own, rng.randint(1, max(1, len(own) // 40)))
+        if similarity(texts[-1], other) >= 0.8:
+            pairs.append((len(texts) - 1, len(texts)))
+        texts.append(other)
+    groups = {r.doc_id: r.root for r in similar_groups(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    found = sum(groups[a] == groups[b] for a, b in pairs)
+    assert len(pairs) > 80 and found >= 0.95 * len(pairs), (found, len(pairs))
+    # Nothing else is joined.
+    assert all(similarity(texts[a], texts[b]) >= 0.8 for a in range(0, 300, 2) for b in [a + 1] if groups[a] == groups[b])
+    assert len(set(groups.values())) == 300 - found - sum(groups[a] == groups[a + 1] for a in range(0, 300, 2) if (a, a + 1) not in pairs)
 
 
 def test_dissimilar_texts_do_not_link(spark):
-    rows = rows_of(["a b c d e f g h", "a b c d e f g i", "z y x w v u t s"])
-    kept = drop_near_copies(spark.createDataFrame(rows, SCHEMA), width=1, distance=40, similarity=0.8)
-    assert kept.count() == 3
+    texts = ["a b c d e f g h", "a b c d e f g i", "z y x w v u t s", "A B C D E F G H", " \t", None]
+    groups = {r.doc_id: r.root for r in similar_groups(spark.createDataFrame(rows_of(texts), SCHEMA), width=1).collect()}
+    assert groups[0] == groups[3] and groups[4] == groups[5] and len(set(groups.values())) == 4
+
+
+def test_a_large_group_is_not_listed_in_pairs(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(220)]
+    texts = [changed(rng, base, 1) for _ in range(400)] + [changed(rng, [f"v{i}" for i in range(200)], 1) for _ in range(40)]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    nodes = spark.createDataFrame(
+        [(i, [int(x) for x in row]) for i, row in enumerate(near_texts.fingerprints(pa.array(texts), 3, 3).view("<i8"))], "node bigint, prints array<bigint>"
+    )
+    stars = near_texts.star_pairs(nodes, 3)
+    assert stars.count() <= 9 * len(texts)
+    groups = {r.doc_id: r.root for r in similar_groups(docs).collect()}
+    assert len({groups[i] for i in range(400)}) == 1 and len(set(groups.values())) == 2
+    rooted = nodes.withColumn("root", F.when(F.col("node") < 400, 0).otherwise(400))
+    assert near_texts.cross_pairs(rooted.select("node", "root", "prints"), 3).count() == 0
 
 
 def test_near_copies_of_an_empty_table(spark):
