@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.bpe import encode_bpe
 from lexloom.llm.common import scratch, table
 from lexloom.llm.line_runs import drop_common_lines
+from lexloom.llm.near_texts import drop_similar
 from lexloom.llm.pfair import in_mixed_order, with_places
-from lexloom.llm.simhash import drop_near_copies
 from lexloom.llm.subword import drop_toxic
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,10 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies.
 
-    Candidates are fingerprints of three-word shingles at seven bits or fewer; a link needs four fifths
+    Candidates meet in segments of three fingerprints of three-word shingles; a link needs four fifths
     of the five-word shingles in common.
     """
-    return drop_near_copies(docs.select(*COLUMNS), width=3, distance=7, similarity=0.8, similar_width=5)
+    return drop_similar(docs.select(*COLUMNS), similarity=0.8, similar_width=5, width=3)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
