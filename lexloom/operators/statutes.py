@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.errors import InvalidRequest
@@ -175,6 +175,23 @@ def coverage(acts: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
+def acts_by_title(acts: DataFrame, sections: DataFrame) -> DataFrame:
+    """Acts in the order of their titles, with the number of sections held of each."""
+    counts = sections.groupBy("slug").agg(F.count("*").alias("section_count"))
+    return acts.join(counts, "slug", "left").withColumn("section_count", F.coalesce("section_count", F.lit(0))).orderBy("title", "slug")
+
+
+def coverage_titles(acts: DataFrame) -> DataFrame:
+    """(held, place, title): titles of the complete Acts and of the partial ones, each list in order from 0.
+
+    The two lists of a coverage report, as rows; an Act that does not say is partial.
+    """
+    held = F.when(F.col("coverage") == "full", "complete").otherwise("partial")
+    order = Window.partitionBy("held").orderBy("title", "slug")
+    listed = acts.select(held.alias("held"), "title", "slug")
+    return listed.withColumn("place", F.row_number().over(order) - 1).select("held", "place", "title")
+
+
 # --- old and new criminal codes ------------------------------------------------
 
 

@@ -158,27 +158,76 @@ def law_report_cases(pages: DataFrame, key: str, html: str, label: str) -> DataF
     )
 
 
+def _chains(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(url, head, steps): pages with one way in and one way out, and the nearest other page before them.
+
+    Found by pointer doubling: each round looks twice as far back, so a chain of n pages takes the logarithm of n rounds. Pages
+    of a closed ring have no such page before them, and none leads to them; they are left out.
+    """
+    only_out = edges.groupBy("src").agg(F.count("*").alias("n"), F.first("dst").alias("dst")).where("n = 1").select(F.col("src").alias("url"))
+    only_in = edges.groupBy("dst").agg(F.count("*").alias("n"), F.first("src").alias("head")).where("n = 1").select(F.col("dst").alias("url"), "head")
+    inner = durable(only_in.join(only_out, "url", "left_semi").join(start.select("url"), "url", "left_anti"))
+    back = inner.withColumn("steps", F.lit(1).cast("bigint")).withColumn("open", F.lit(True))
+    known = inner.select(F.col("url").alias("head"))
+    # Which heads are within chains themselves, once; later rounds carry it along.
+    back = back.drop("open").join(known.withColumn("open", F.lit(True)), "head", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    back = durable(back.select("url", "head", "steps", "open"))
+    left = back.where("open").count()
+    while left:
+        further = back.select(F.col("url").alias("head"), F.col("head").alias("then"), F.col("steps").alias("more"), F.col("open").alias("again"))
+        moved = back.where("open").join(further, "head").select(
+            "url", F.col("then").alias("head"), (F.col("steps") + F.col("more")).alias("steps"), F.col("again").alias("open")
+        )
+        back = durable(back.where("not open").unionByName(moved))
+        still = back.where("open").agg(F.count("*").alias("n"), F.max("steps").alias("most")).first()
+        # A ring is all that stays open once the look back is as long as there are pages.
+        if still.n and still.most > 2 * left:
+            return back.where("not open").drop("open")
+        left = still.n if still.n == 0 else max(left, still.n)
+    return back.drop("open")
+
+
 def reachable_pages(start: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Pages reachable from ``start.url`` along ``edges`` (src, dst), with their depth.
+    """Pages reachable from ``start.url`` along ``edges`` (src, dst), with their depth, the least number of links.
 
-    One join per level, until a level brings no new page; each level's frontier leaves
-    out pages already seen. Every level is a table of its own in the shared folder, so the plan does
-    not grow and nothing is written twice. If pages lie beyond ``max_depth`` the crawl fails
+    Chains of pages with one way in and out are contracted to one link with their length first (``_chains``); then one join per
+    round goes on from the pages whose depth has improved, until none does, and the pages of chains get
+    their depth from the page before the chain. Every round's pages are a table of their own in the shared folder, so the
+    plan does not grow and nothing is written twice. If pages lie beyond ``max_depth`` the crawl fails
     rather than end early.
     """
-    levels = [durable(start.select("url").distinct().withColumn("depth", F.lit(0)))]
+    links = durable(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
+    seeds = start.select("url").distinct()
+    chains = durable(_chains(links, seeds))
+    inside = chains.select("url")
+    # What leaves a chain, or never was in one.
+    ends = links.join(chains, F.col("src") == F.col("url")).select(
+        F.col("head").alias("src"), "dst", (F.col("steps") + 1).alias("steps")
+    )
+    plain = links.withColumn("steps", F.lit(1).cast("bigint")).join(inside, F.col("src") == F.col("url"), "left_anti")
+    whole = durable(
+        plain.unionByName(ends).join(inside, F.col("dst") == F.col("url"), "left_anti")
+        .groupBy("src", "dst").agg(F.min("steps").alias("steps"))
+    )
+    rounds = [durable(seeds.withColumn("depth", F.lit(0).cast("bigint")))]
     while True:
-        depth = len(levels)
-        seen = functools.reduce(DataFrame.unionByName, levels)
-        frontier = (
-            levels[-1]
-            .join(edges, F.col("url") == F.col("src"))
-            .select(F.col("dst").alias("url")).distinct()
-            .join(seen.select("url"), "url", "left_anti")
+        seen = functools.reduce(DataFrame.unionByName, rounds).groupBy("url").agg(F.min("depth").alias("known"))
+        reached = (
+            rounds[-1].join(whole, F.col("url") == F.col("src"))
+            .groupBy("dst").agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
+            .withColumnRenamed("dst", "url")
+        )
+        fresh = durable(
+            reached.join(seen, "url", "left").where(F.col("known").isNull() | (F.col("depth") < F.col("known"))).select("url", "depth")
         )
-        fresh = durable(frontier.withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
-            return seen
-        if max_depth is not None and depth > max_depth:
+            break
+        rounds.append(fresh)
+    found = seen.withColumnRenamed("known", "depth")
+    within = chains.join(found.withColumnRenamed("url", "head"), "head").select("url", (F.col("depth") + F.col("steps")).alias("depth"))
+    pages = found.unionByName(within).select("url", F.col("depth").cast("int").alias("depth"))
+    if max_depth is not None:
+        pages = durable(pages)
+        if not pages.where(F.col("depth") > max_depth).isEmpty():
             raise InvalidRequest(f"pages lie beyond depth {max_depth}")
-        levels.append(fresh)
+    return pages

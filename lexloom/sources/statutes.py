@@ -12,13 +12,16 @@ from lexloom.sources import schemas
 from lexloom.sources.files import any_file
 
 
-def read_acts(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw Acts with their file name; unreadable or malformed files are left out."""
+def read_acts(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Raw Acts with their file name; unreadable or malformed files are left out.
+
+    A file holds one Act, or with ``lines`` one in each line.
+    """
     if not any_file(spark, f"{folder}/*.json"):
         raise SourceUnavailable(f"no Act files in {folder}")
     raw = (
         spark.read.schema(schemas.ACT)
-        .option("multiLine", "true")
+        .option("multiLine", "false" if lines else "true")
         .option("mode", "PERMISSIVE")
         .option("pathGlobFilter", "*.json")
         .json(folder)
@@ -89,25 +92,55 @@ def alias_table(raw: DataFrame, order: Column | None = None) -> DataFrame:
     )
 
 
+def upstream_rows(entries: DataFrame, number: Column, carry: list[str]) -> DataFrame:
+    """Sections in one form from upstream entries, with the columns ``carry``; entries without a number are dropped."""
+    return entries.where(number.isNotNull()).select(
+        *carry,
+        F.trim(number).alias("number"),
+        F.trim(F.coalesce("section_title", F.lit(""))).alias("heading"),
+        F.trim(F.coalesce("section_desc", F.lit(""))).alias("text"),
+        F.coalesce(F.nullif("chapter_title", F.lit("")), F.nullif("chapter", F.lit(""))).alias("chapter"),
+    )
+
+
 def upstream_sections(entries: DataFrame, slug: str) -> DataFrame:
     """Sections of an upstream file, whose keys vary in case.
 
     ``entries`` is read with ``spark.sql.caseSensitive`` on. Entries without a
     number are dropped; a file without any section is an error.
     """
-    number = F.coalesce("section", "Section")
-    rows = entries.where(number.isNotNull()).select(
-        F.lit(slug).alias("slug"),
-        F.trim(number).alias("number"),
-        F.trim(F.coalesce("section_title", F.lit(""))).alias("heading"),
-        F.trim(F.coalesce("section_desc", F.lit(""))).alias("text"),
-        F.coalesce(F.nullif("chapter_title", F.lit("")), F.nullif("chapter", F.lit(""))).alias("chapter"),
-    )
+    rows = upstream_rows(entries.withColumn("slug", F.lit(slug)), F.coalesce("section", "Section"), ["slug"])
     if rows.isEmpty():
         raise SourceUnavailable(f"no sections in the upstream file of {slug}")
     return rows
 
 
+def normalised_act(sections: DataFrame, acts: DataFrame) -> DataFrame:
+    """Acts as they are stored: one row per Act of ``acts`` with its upstream sections nested, in their ``ordinal``.
+
+    ``sections`` is what :func:`upstream_sections` gives, with an ordinal; ``acts`` has slug and title and may have
+    short_title, year, act_number, aliases, source, india_code_url and note. Upstream Acts are complete. An Act
+    without sections is left out: its file has changed its form.
+    """
+    nested = sections.groupBy("slug").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("ordinal", "number", "heading", "text", "chapter"))),
+            lambda s: F.struct(
+                s["number"].alias("number"), s["heading"].alias("heading"), s["text"].alias("text"), s["chapter"].alias("chapter"),
+                F.lit(None).cast("string").alias("text_kind"), F.lit(None).cast("string").alias("url"),
+            ),
+        ).alias("sections")
+    )
+    kinds = dict(zip(("short_title", "year", "act_number", "source", "india_code_url", "note"), ("string", "int", *["string"] * 4)))
+    given = {c: F.col(c) if c in acts.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()}
+    aliases = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in acts.columns else F.array().cast("array<string>")
+    return acts.join(nested, "slug").select(
+        "slug", "title", given["short_title"], given["year"], given["act_number"], aliases.alias("aliases"),
+        F.lit("full").alias("coverage"), F.lit(None).cast("string").alias("text_kind"),
+        given["source"], F.coalesce(given["india_code_url"], F.lit("")).alias("india_code_url"), given["note"], "sections",
+    )
+
+
 def write_acts(acts: DataFrame, folder: str) -> None:
-    """Write Acts as JSON."""
+    """Write Acts as JSON, one line each; :func:`read_acts` with ``lines`` reads them."""
     acts.write.mode("overwrite").json(folder)

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 from datetime import date
 
@@ -267,6 +268,44 @@ def test_reachable_pages(spark):
     assert {(r.url, r.depth) for r in html_index.reachable_pages(start, edges).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def levels(start, edges):
+    seen, frontier, depth = {}, {start}, 0
+    while frontier:
+        seen.update(dict.fromkeys(frontier, depth))
+        frontier = {b for a, b in edges if a in frontier} - set(seen)
+        depth += 1
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_depths_with_chains_rings_and_short_cuts(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(25), rng.randrange(25)) for _ in range(rng.choice([20, 40]))]
+    nodes = 100
+    for a, b in list(edges[:12]):
+        steps = [a, *range(nodes, nodes + rng.randrange(1, 9)), b]
+        nodes += 10
+        edges += zip(steps, steps[1:])
+    edges += [(500, 501), (501, 502), (502, 500), (600, 601), (3, 3), edges[0]]
+    start = edges[0][0]
+    rows = [(f"p{a}", f"p{b}") for a, b in edges] + [(None, "p1"), ("p1", None)]
+    df = spark.createDataFrame(rows, "src string, dst string")
+    found = html_index.reachable_pages(spark.createDataFrame([(f"p{start}",)], "url string"), df).collect()
+    assert {r.url: r.depth for r in found} == {f"p{k}": v for k, v in levels(start, edges).items()}
+    assert len(found) == len({r.url for r in found})
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    edges = spark.range(1000).selectExpr("concat('p', id) as src", "concat('p', id + 1) as dst")
+    start = spark.createDataFrame([("p0",)], "url string")
+    spark.sparkContext.setJobGroup("chain", "")
+    found = html_index.reachable_pages(start, edges)
+    assert {(r.url, r.depth) for r in found.collect()} == {(f"p{i}", i) for i in range(1001)}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 120, jobs
+
+
 def test_a_crawl_is_never_cut_silently(spark):
     edges = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(6)], "src string, dst string")
     start = spark.createDataFrame([("p0",)], "url string")

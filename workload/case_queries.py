@@ -11,7 +11,10 @@ from lexloom.operators import documents, ledger, matters
 from lexloom.rules import drafts
 from lexloom.rules.matters import MATTER_STATUSES, MATTER_TYPES
 from lexloom.session import shared_folder
-from lexloom.sources.rows import serialised
+from lexloom.plans.documents import ingest_files
+from lexloom.sources.files import read_binary
+from lexloom.sources.journal import RowJournal
+from lexloom.sources.rows import TABLES, serialised
 from lexloom.streaming.budget import run_admitted
 from lexloom.streaming.ingest import read_new_files
 from workload.tables import Tables, wide, with_tables
@@ -138,6 +141,22 @@ def hearings_appended(spark, folder):
     return rows.select("id", "o_orderkey", "matter_id", "purpose")
 
 
+def hearings_journalled(spark, folder):
+    """New hearings appended by two writers whose batches overlap in time, with the ids they got."""
+    t = Records(spark, folder)
+    rows = t["new_hearings"].join(t["matters"].select(F.col("id").alias("matter_id")), "matter_id", "left_semi")
+    journal = RowJournal(
+        spark, f"{shared_folder(spark).rstrip('/')}/hearings-{uuid.uuid4().hex}", "id bigint, o_orderkey bigint, matter_id bigint, purpose string"
+    )
+    first = journal.stage(rows.where("o_orderkey % 3 = 0"), ["o_orderkey"])
+    second = journal.stage(rows.where("o_orderkey % 3 = 1"), ["o_orderkey"])
+    # The third writer fails before its commit; the second commits first.
+    journal.stage(rows.where("o_orderkey % 3 = 2"), ["o_orderkey"])
+    journal.commit(*second)
+    journal.commit(*first)
+    return journal.read()
+
+
 def hearing_orphans(spark, folder):
     """Hearings whose matter does not exist."""
     t = Records(spark, folder)
@@ -221,6 +240,21 @@ def document_chunks(spark, folder):
     return rows.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.length("content").alias("chars"), "heading_path")
 
 
+def ingested_chunks(spark, folder):
+    """Contracts written as text files, ingested once per content, and chunked."""
+    folder_ = f"{shared_folder(spark).rstrip('/')}/texts-{uuid.uuid4().hex}"
+    texts = Records(spark, folder)["contracts"].where("text is not null").select("text", "doc_id")
+    texts.repartition("doc_id").write.partitionBy("doc_id").text(folder_)
+    stored, chunks = ingest_files(
+        wide(read_binary(spark, folder_, "*.txt")), spark.createDataFrame([], TABLES["documents"]),
+        spark.createDataFrame([], TABLES["document_chunks"]), "2024-01-01",
+    )
+    named = stored.select(F.col("id").alias("document_id"), F.regexp_extract("source_path", "doc_id=(\\d+)", 1).cast("bigint").alias("doc_id"))
+    return chunks.join(named, "document_id").select(
+        "doc_id", "chunk_index", F.md5("content").alias("digest"), F.length("content").alias("chars"), "heading_path"
+    )
+
+
 def document_passages(spark, folder):
     """Passages around query terms."""
     return documents.passages(wide(Records(spark, folder)["contracts"]), "doc_id", "text", "license que Agreement shall")
@@ -299,7 +333,7 @@ QUERIES = {
     for f in (
         matter_list, limitation_alerts, matter_urgency, matters_by_status, hearing_diary, imminent_hearings,
         matter_children, matter_totals, matter_timeline, matter_updates, hearings_appended,
-        hearing_orphans, invalid_matters, matter_rows, live_tokens, daily_spend, admitted_calls,
+        hearing_orphans, hearings_journalled, ingested_chunks, invalid_matters, matter_rows, live_tokens, daily_spend, admitted_calls,
         admitted_calls_many_prices, stream_admitted_calls,
         content_first_copies, content_new, document_chunks, document_passages, document_previews,
         conversation_counts, text_matches, vector_matches, hybrid_search, text_only_search,
@@ -396,6 +430,9 @@ SELECT m.id, m.title, coalesce(p.status, m.status) AS status, coalesce(p.court,
   CASE WHEN p.id IS NOT NULL THEN '2000-01-01' ELSE strftime(m.updated_at, '%Y-%m-%d') END AS updated_at FROM {matters} m LEFT JOIN {patches} p ON p.id = m.id""",
     "hearings_appended": """
 SELECT (SELECT max(id) FROM {hearings}) + row_number() OVER (ORDER BY o_orderkey) AS id, o_orderkey, matter_id, purpose FROM {new_hearings} WHERE matter_id IN (SELECT id FROM {matters})""",
+    "hearings_journalled": """
+SELECT row_number() OVER (ORDER BY o_orderkey % 3 DESC, o_orderkey) AS id, o_orderkey, matter_id, purpose
+FROM {new_hearings} WHERE matter_id IN (SELECT id FROM {matters}) AND o_orderkey % 3 < 2""",
     "hearing_orphans": "SELECT id, matter_id FROM {hearings} WHERE matter_id NOT IN (SELECT id FROM {matters})",
     "invalid_matters": f"""
 SELECT * FROM (SELECT reference, array_to_string(list_filter([CASE WHEN trim(title) = '' THEN 'title is blank' END, CASE WHEN matter_type NOT IN ({_TYPES}) THEN 'unknown matter type' END,
@@ -479,3 +516,12 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step, i) - 1
 FROM (SELECT doc_id, step, unnest(out) AS c, generate_subscripts(out, 1) AS i FROM walk
   UNION ALL SELECT doc_id, step, buf, 99 FROM walk WHERE buf <> '' QUALIFY step = max(step) OVER (PARTITION BY doc_id))""",
 )
+
+#: One file of each content is ingested, the first by its path.
+ORACLE["ingested_chunks"] = with_tables(
+    f"""
+SELECT c.* FROM ({ORACLE["document_chunks"]}) c JOIN (
+  SELECT doc_id FROM {{contracts}} WHERE regexp_matches(text, '\\S') QUALIFY row_number() OVER (PARTITION BY text ORDER BY 'doc_id=' || CAST(doc_id AS VARCHAR) || '/') = 1) f
+ON f.doc_id = c.doc_id""".replace("{" + "}", ""),
+    EXTRA,
+)

@@ -18,6 +18,15 @@ from lexloom.session import shared_folder
 from workload.tables import Tables, wide, with_tables
 
 
+class Filed(Tables):
+    """Tables with whole documents that cite."""
+
+    texts = {
+        "filed_texts": """
+SELECT d.doc_id, coalesce(d.text, '') || chr(10) || chr(10) || b.text AS text FROM {documents} d JOIN {brief_texts} b ON b.brief_id = d.doc_id"""
+    }
+
+
 def _corpus(spark, folder, scope=corpus.ALL_COURTS):
     return corpus.uniform_view(Tables(spark, folder).corpus_sources(), scope)
 
@@ -213,10 +222,10 @@ def statute_verdicts(spark, folder):
     return rows.select("statute", "section", "slug", "verdict", "match")
 
 
-def _sweep(t):
+def _sweep(t, budget=1, texts="brief_texts", key="brief_id"):
     return research.verify_texts(
-        t["brief_texts"], "brief_id", "text", corpus.uniform_view(t.corpus_sources()),
-        t["acts"], t["sections"], t["aliases"], budget=1,
+        wide(t[texts]), key, "text", corpus.uniform_view(t.corpus_sources()),
+        t["acts"], t["sections"], t["aliases"], budget=budget,
     )
 
 
@@ -225,6 +234,17 @@ def citation_sweep(spark, folder):
     return _sweep(Tables(spark, folder)).select("brief_id", "kind", "position", "normalized", "verdict", "confidence")
 
 
+def citation_sweep_whole(spark, folder):
+    """Verdict on every citation of every brief; the budget covers all of them."""
+    return _sweep(Tables(spark, folder), 20).select("brief_id", "kind", "position", "normalized", "verdict", "confidence")
+
+
+def document_sweep(spark, folder):
+    """Verdict on every citation of whole documents, each with a citing passage after its own text."""
+    rows = _sweep(Filed(spark, folder), 20, "filed_texts", "doc_id")
+    return rows.select("doc_id", "kind", "position", "normalized", "verdict", "confidence")
+
+
 def verification_summary(spark, folder):
     """Verdicts summed up per kind of citation and brief form."""
     rows = _sweep(Tables(spark, folder)).withColumn("form", F.col("brief_id") % 4)
@@ -264,7 +284,7 @@ QUERIES = {
         search_wildcards, search_next_page, search_total, years_per_court, courts_present, bm25_scan,
         bm25_postings, term_frequencies, ranked_search, indexed_search, index_staleness, research_memo, memo_status, related_proceedings,
         numbered_corpus, party_words, citation_extract, citation_single, citation_lookup, citation_verdicts,
-        statute_verdicts, citation_sweep, verification_summary, verification_total, act_resolution,
+        statute_verdicts, citation_sweep, citation_sweep_whole, document_sweep, verification_summary, verification_total, act_resolution,
         section_lookup,
     )
 }
@@ -392,6 +412,14 @@ SELECT f.brief_id, f.kind, f.position, f.normalized,
 FROM (SELECT *, count(*) FILTER (kind = 'case') OVER (PARTITION BY brief_id ORDER BY position) AS case_no FROM {found}) f
 LEFT JOIN {case_verdicts} v ON f.kind = 'case' AND v.citation_key = f.citation_key AND v.normalized = f.normalized AND v.case_name IS NOT DISTINCT FROM f.case_name
 LEFT JOIN {statute_results} s ON f.kind <> 'case' AND s.statute = f.statute AND s.section = f.section""",
+    # The same with every case citation checked.
+    "swept_whole": """
+SELECT f.brief_id, f.kind, f.position, f.normalized, CASE WHEN f.kind <> 'case' THEN s.verdict ELSE v.verdict END AS verdict
+FROM {found} f
+LEFT JOIN {case_verdicts} v ON f.kind = 'case' AND v.citation_key = f.citation_key AND v.normalized = f.normalized AND v.case_name IS NOT DISTINCT FROM f.case_name
+LEFT JOIN {statute_results} s ON f.kind <> 'case' AND s.statute = f.statute AND s.section = f.section""",
+    "scored_whole": """
+SELECT *, CASE verdict WHEN 'VERIFIED' THEN 1.0 WHEN 'NOT_FOUND' THEN 0.2 WHEN 'AMBIGUOUS' THEN 0.5 ELSE 0.0 END AS confidence FROM {swept_whole}""",
     "scored": """
 SELECT *, CASE verdict WHEN 'VERIFIED' THEN 1.0 WHEN 'NOT_FOUND' THEN 0.2 WHEN 'AMBIGUOUS' THEN 0.5 ELSE 0.0 END AS confidence FROM {swept}""",
 }
@@ -482,6 +510,10 @@ QUALIFY row_number() OVER (PARTITION BY brief_id ORDER BY length(raw) DESC, posi
     "citation_verdicts": "SELECT * FROM {case_verdicts}",
     "statute_verdicts": "SELECT * FROM {statute_results}",
     "citation_sweep": "SELECT brief_id, kind, position, normalized, verdict, CAST(confidence AS DOUBLE) AS confidence FROM {scored}",
+    "citation_sweep_whole": "SELECT brief_id, kind, position, normalized, verdict, CAST(confidence AS DOUBLE) AS confidence FROM {scored_whole}",
+    "document_sweep": """
+SELECT d.doc_id, kind, CAST(position + length(coalesce(d.text, '')) + 2 AS INT) AS position, normalized, verdict, CAST(confidence AS DOUBLE) AS confidence
+FROM {scored_whole} w JOIN {documents} d ON d.doc_id = w.brief_id""",
     "verification_summary": f"SELECT kind, brief_id % 4 AS form, {_SUMMARY} FROM {{scored}} GROUP BY ALL",
     "verification_total": f"SELECT 'all' AS part, {_SUMMARY} FROM {{scored}} UNION ALL SELECT 'empty', {_SUMMARY} FROM {{scored}} WHERE kind = 'none'",
     "act_resolution": "SELECT r.* FROM {resolved} r WHERE name IN (SELECT act || ', 1881' FROM {briefs})",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -10,9 +11,12 @@ from lexloom.operators import calendar, limitation, statutes
 from lexloom.rules import concordance
 from lexloom.rules.calendar import FIXED_NATIONAL_HOLIDAYS
 from lexloom.rules.limitation import LIMITATION_RULES
-from lexloom.sources.calendars import published_holidays
-from lexloom.sources.statutes import acts_table, alias_table, sections_table, well_formed
+from lexloom.session import shared_folder
 from lexloom.sources import schemas
+from lexloom.sources.calendars import published_holidays
+from lexloom.sources.statutes import (
+    acts_table, alias_table, normalised_act, read_acts, sections_table, upstream_rows, well_formed, write_acts,
+)
 from workload.tables import Tables, wide, with_tables
 
 AS_ON = date(1999, 6, 15)
@@ -216,6 +220,34 @@ def act_coverage(spark, folder):
     return statutes.coverage(t["acts"], t["sections"])
 
 
+def act_titles(spark, folder):
+    """Titles of the complete and of the partial Acts, each list in order."""
+    return statutes.coverage_titles(Records(spark, folder)["acts"])
+
+
+def acts_by_title(spark, folder):
+    """Acts with the number of sections held of each."""
+    t = Records(spark, folder)
+    rows = statutes.acts_by_title(t["acts"], t["sections"])
+    return rows.select("slug", "title", "coverage", "section_count")
+
+
+def acts_written(spark, folder):
+    """Sections of Acts that were put together from upstream entries, written as JSON and read again."""
+    t = Records(spark, folder)
+    entries = t["sections"].select(
+        "slug", F.col("number").cast("int").alias("ordinal"),
+        F.when(F.col("number") % 2 == 0, F.concat(F.lit(" "), "number")).alias("section"), F.when(F.col("number") % 2 == 1, F.col("number")).alias("Section_"),
+        F.col("heading").alias("section_title"), F.col("text").alias("section_desc"),
+        F.when(F.col("number") % 3 == 0, "").otherwise(F.concat(F.lit("C"), "number")).alias("chapter_title"), F.lit("I").alias("chapter"),
+    )
+    rows = upstream_rows(entries, F.coalesce("section", "Section_"), ["slug", "ordinal"])
+    path = f"{shared_folder(spark).rstrip('/')}/acts-{uuid.uuid4().hex}"
+    write_acts(normalised_act(rows, t["acts"].select("slug", "title")), path)
+    read = sections_table(read_acts(spark, path, lines=True))
+    return read.select("slug", "act_title", "number", "heading", "text", "chapter", "text_kind")
+
+
 def section_search(spark, folder):
     """Best sections for a query."""
     t = Records(spark, folder)
@@ -272,7 +304,8 @@ QUERIES = {
     for f in (
         limitation_positions, limitation_by_rule, rules_in_use, cheque_timelines, next_open_days,
         working_days_added, working_days_between, court_deadlines, closures_by_year, calendar_cover,
-        holiday_documents, act_documents, act_sections, act_names, act_coverage, section_search,
+        holiday_documents, act_documents, act_sections, act_names, act_coverage, act_titles, acts_by_title,
+        acts_written, section_search,
         section_cards, concordance_map, concordance_totals, governing_regime, rule_suggestions,
         subject_suggestions,
     )
@@ -398,6 +431,13 @@ SELECT alias, arg_max(slug, (p_partkey, i)) AS slug, min(p_partkey) AS place, CA
     "act_coverage": """
 SELECT (SELECT count(*) FROM {acts}) AS act_count, (SELECT count(*) FROM {sections}) AS section_count,
   (SELECT count(*) FROM {acts} WHERE coverage = 'full') AS complete_acts, (SELECT count(*) FROM {acts} WHERE coverage <> 'full') AS partial_acts""",
+    "act_titles": """
+SELECT held, row_number() OVER (PARTITION BY held ORDER BY title, slug) - 1 AS place, title
+FROM (SELECT *, CASE WHEN coverage = 'full' THEN 'complete' ELSE 'partial' END AS held FROM {acts})""",
+    "acts_by_title": "SELECT slug, title, coverage, (SELECT count(*) FROM {sections} s WHERE s.slug = a.slug) AS section_count FROM {acts} a",
+    "acts_written": """
+SELECT slug, act_title, number, trim(heading) AS heading, trim(text) AS text, CASE WHEN CAST(number AS INT) % 3 = 0 THEN 'I' ELSE 'C' || number END AS chapter,
+  'authentic' AS text_kind FROM {sections}""",
     "section_search": """
 SELECT slug, number, heading, CAST(score AS INT) AS score FROM (SELECT *, """
     + " + ".join(
