@@ -23,7 +23,7 @@ class Filed(Tables):
 
     texts = {
         "filed_texts": """
-SELECT d.doc_id, coalesce(d.text, '') || chr(10) || chr(10) || b.text AS text FROM {documents} d JOIN {brief_texts} b ON b.brief_id = d.doc_id"""
+SELECT d.doc_id, coalesce(d.text, '') || chr(10) || '* * *' || chr(10) || b.text AS text FROM {documents} d JOIN {brief_texts} b ON b.brief_id = d.doc_id"""
     }
 
 
@@ -512,7 +512,7 @@ QUALIFY row_number() OVER (PARTITION BY brief_id ORDER BY length(raw) DESC, posi
     "citation_sweep": "SELECT brief_id, kind, position, normalized, verdict, CAST(confidence AS DOUBLE) AS confidence FROM {scored}",
     "citation_sweep_whole": "SELECT brief_id, kind, position, normalized, verdict, CAST(confidence AS DOUBLE) AS confidence FROM {scored_whole}",
     "document_sweep": """
-SELECT d.doc_id, kind, CAST(position + length(coalesce(d.text, '')) + 2 AS INT) AS position, normalized, verdict, CAST(confidence AS DOUBLE) AS confidence
+SELECT d.doc_id, kind, CAST(position + length(coalesce(d.text, '')) + 7 AS INT) AS position, normalized, verdict, CAST(confidence AS DOUBLE) AS confidence
 FROM {scored_whole} w JOIN {documents} d ON d.doc_id = w.brief_id""",
     "verification_summary": f"SELECT kind, brief_id % 4 AS form, {_SUMMARY} FROM {{scored}} GROUP BY ALL",
     "verification_total": f"SELECT 'all' AS part, {_SUMMARY} FROM {{scored}} UNION ALL SELECT 'empty', {_SUMMARY} FROM {{scored}} WHERE kind = 'none'",
