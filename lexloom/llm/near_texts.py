@@ -77,9 +77,10 @@ def _segments(prints: Column, turns: int) -> list[Column]:
 
 
 def _spots(nodes: DataFrame, turns: int, ball: bool) -> DataFrame:
-    """(node, near, seg, key): a row for each segment of a text, with ``ball`` also for the values of one bit more.
+    """(node, near, spot): a row for each segment of a text, with ``ball`` also for the values of one bit more.
 
-    Of two segments one bit apart, the one without the bit finds the other.
+    A spot is the number of the segment and its value. Of two segments one bit apart, the one without the bit
+    finds the other.
     """
     found = []
     for seg, part in enumerate(_segments(F.col("prints"), turns)):
@@ -89,8 +90,7 @@ def _spots(nodes: DataFrame, turns: int, ball: bool) -> DataFrame:
             keys = F.concat(keys, F.transform(F.filter(bits, _without(part)), _with(part)))
         found.append(F.transform(keys, _numbered(seg)))
     columns = [c for c in nodes.columns if c != "prints"]
-    listed = nodes.select(*columns, F.col("prints")[0].alias("near"), F.explode(F.flatten(F.array(*found))).alias("s"))
-    return listed.select(*columns, "near", "s.seg", "s.key")
+    return nodes.select(*columns, F.col("prints")[0].alias("near"), F.explode(F.flatten(F.array(*found))).alias("spot"))
 
 
 def _without(part: Column):
@@ -102,7 +102,7 @@ def _with(part: Column):
 
 
 def _numbered(seg: int):
-    return lambda key: F.struct(F.lit(seg).alias("seg"), key.alias("key"))
+    return lambda key: key + F.lit(seg << SEGMENT_BITS)
 
 
 def _close() -> Column:
@@ -116,8 +116,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def star_pairs(nodes: DataFrame, turns: int) -> DataFrame:
     """(u, v): every text with the least text of each of its segment values."""
     spots = _spots(nodes, turns, ball=False)
-    least = spots.groupBy("seg", "key").agg(F.min(F.struct("node", "near")).alias("l"))
-    met = spots.join(least, ["seg", "key"]).select(
+    least = spots.groupBy("spot").agg(F.min(F.struct("node", "near")).alias("l"))
+    met = spots.join(least, "spot").select(
         F.col("node").alias("u"), F.col("near").alias("u_near"), F.col("l.node").alias("v"), F.col("l.near").alias("v_near")
     )
     return _ordered(met.where((F.col("u") != F.col("v")) & _close()))
@@ -126,16 +126,16 @@ def star_pairs(nodes: DataFrame, turns: int) -> DataFrame:
 def cross_pairs(rooted: DataFrame, turns: int) -> DataFrame:
     """(u, v): texts of different groups (``root``) within one bit of each other in a segment."""
     held = durable(_spots(rooted, turns, ball=False))
-    main = durable(held.groupBy("seg", "key").agg(F.min_by("root", "node").alias("main")))
+    main = durable(held.groupBy("spot").agg(F.min_by("root", "node").alias("main")))
     # Probes of values that no text has go here.
-    asked = _spots(rooted, turns, ball=True).join(main, ["seg", "key"])
-    asked = durable(asked.toDF("seg", "key", "u", "u_root", "u_near", "main"))
-    there = held.join(main, ["seg", "key"]).select(
-        "seg", "key", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("near").alias("v_near"), "main"
+    asked = _spots(rooted, turns, ball=True).join(main, "spot")
+    asked = durable(asked.toDF("spot", "u", "u_root", "u_near", "main"))
+    there = held.join(main, "spot").select(
+        "spot", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("near").alias("v_near"), "main"
     )
     apart = (F.col("u_root") != F.col("v_root")) & _close()
-    strange = asked.where("u_root <> main").drop("main").join(there.drop("main"), ["seg", "key"]).where(apart)
-    usual = asked.where("u_root = main").drop("main").join(there.where("v_root <> main").drop("main"), ["seg", "key"]).where(apart)
+    strange = asked.where("u_root <> main").drop("main").join(there.drop("main"), "spot").where(apart)
+    usual = asked.where("u_root = main").drop("main").join(there.where("v_root <> main").drop("main"), "spot").where(apart)
     return _ordered(strange.select("u", "v").union(usual.select("u", "v")))
 
 
@@ -150,6 +150,22 @@ def _shingler(width: int):
     return run
 
 
+#: Bits of the filter that lets texts pass before they are moved: at most 131,072 words of 64 bits.
+_FILTER_BITS = 23
+
+
+def _may_occur(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``texts`` whose ``node`` is among ``nodes``, and a few others: by a bitmap of fixed size, so that the rest stays where it is."""
+    spot = F.col("node").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+    word, bit = F.shiftright(spot, 6), spot.bitwiseAND(F.lit(63)).cast("int")
+    bits = nodes.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b")).groupBy("__word").agg(
+        F.bit_or("b").alias("__bits")
+    )
+    # One row for each of the bitmap's words at most.
+    passed = texts.withColumn("__word", word).join(F.broadcast(bits), "__word").where(F.getbit("__bits", bit) == 1)
+    return passed.select(*texts.columns)
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The (u, v) of ``pairs`` whose texts (node, text) share enough of their different ``width``-word shingles.
 
@@ -157,9 +173,11 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: fl
     """
     pairs = durable(pairs)
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    asked = durable(asked)
+    near = _may_occur(texts, asked)
     # One row of each text: numbers are compared, texts follow.
-    first = texts.join(asked, "node", "left_semi").groupBy("node").agg(F.min("place").alias("place"))
-    chosen = texts.join(first, ["node", "place"]).dropDuplicates(["node"]).select("node", "text")
+    first = near.join(asked, "node", "left_semi").groupBy("node").agg(F.min("place").alias("place"))
+    chosen = near.join(durable(first), ["node", "place"]).dropDuplicates(["node"]).select("node", "text")
     sets = durable(chosen.mapInArrow(_shingler(width), "node bigint, shingles array<bigint>"))
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     shared = F.size(F.array_intersect("a", "b"))
