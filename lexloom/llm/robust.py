@@ -1,9 +1,11 @@
 """Text quality by counts, fixed rules and robust multivariate outliers.
 
-Counts of a text become a vector of transformed statistics. For every language and source a
-minimum covariance determinant estimate is sought by concentration steps: take the share of rows
-closest to the estimate, estimate mean and covariance from them, repeat. A row is an outlier
-if its Mahalanobis distance from the final estimate is beyond a quantile. Built-in functions only.
+Counts of a text become a vector of transformed statistics. For every language and source the
+minimum covariance determinant is sought from three starts: medians and quartiles, all rows, and the half of the rows
+nearest to the medians in every statistic. A concentration step takes the share of rows closest to the estimate and
+estimates mean and covariance from them; steps go on until no determinant falls any more, and of each group the start
+with the least determinant counts. A row is an outlier if its Mahalanobis distance from that estimate is beyond a
+quantile. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from lexloom.session import durable
 SYMBOLS = "[#*$%&|<>]"
 #: Whole parts of one unit of a transformed statistic, so that sums are exact in any order.
 UNIT = 1024
-FEATURES = ["f0", "f1", "f2", "f3", "f4"]
+FEATURES = ["__f0", "__f1", "__f2", "__f3", "__f4"]
 #: Standard deviations that no estimate goes below, so that a constant statistic rejects nothing by chance.
 FLOORS = (0.5, 0.4, 0.5, 0.5, 0.12)
 
@@ -115,105 +117,142 @@ def _group_key(*columns: str) -> Column:
 
 
 def _grouped(rows: DataFrame, least: int) -> DataFrame:
-    """Adds ``g``: language and source; the language for small groups together; all for small rests."""
+    """Adds ``__g``: language and source; the language for small groups together; all for small rests.
+
+    Rows that fail the fixed rule have a group too, but only the others count.
+    """
     named = rows.withColumn("__ls", _group_key("lang", "source")).withColumn("__l", _group_key("lang"))
-    own = named.groupBy("__ls", "__l").agg(F.count(F.lit(1)).alias("n"))
-    rest = own.where(F.col("n") < least).groupBy("__l").agg(F.sum("n").alias("m"))
+    own = named.groupBy("__ls", "__l").agg(F.count_if(~F.col("base_failed")).alias("__n"))
+    rest = own.where(F.col("__n") < least).groupBy("__l").agg(F.sum("__n").alias("__m"))
     mapped = own.join(rest, "__l", "left").select(
         "__ls",
-        F.when(F.col("n") >= least, F.concat(F.lit("s"), "__ls"))
-        .when(F.col("m") >= least, F.concat(F.lit("l"), "__l"))
+        F.when(F.col("__n") >= least, F.concat(F.lit("s"), "__ls"))
+        .when(F.col("__m") >= least, F.concat(F.lit("l"), "__l"))
         .otherwise(F.lit("all"))
-        .alias("g"),
+        .alias("__g"),
     )
     return named.join(mapped, "__ls").drop("__ls", "__l")
 
 
+#: Keys of an estimate: the group, and the start that it comes from.
+_KEYS = ["__g", "__start"]
+
+
 def _triangle(estimate: DataFrame) -> DataFrame:
-    """Adds the lower triangle t_i_j of each group's covariance with its floors: T T' = C."""
+    """The lower triangle t_i_j of each covariance, T T' = C, and ``__det``, the logarithm of its determinant."""
     size = len(FEATURES)
     out = estimate
     for j in range(size):
-        inner = sum((F.col(f"t_{j}_{k}") ** 2 for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"t_{j}_{j}", F.sqrt(F.greatest(F.col(f"c_{j}_{j}") - inner, F.lit(FLOORS[j] ** 2 * 1e-3))))
+        inner = sum((F.col(f"__t_{j}_{k}") ** 2 for k in range(j)), F.lit(0.0))
+        out = out.withColumn(f"__t_{j}_{j}", F.sqrt(F.greatest(F.col(f"__c_{j}_{j}") - inner, F.lit(FLOORS[j] ** 2 * 1e-3))))
         for i in range(j + 1, size):
-            inner = sum((F.col(f"t_{i}_{k}") * F.col(f"t_{j}_{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"t_{i}_{j}", (F.col(f"c_{j}_{i}") - inner) / F.col(f"t_{j}_{j}"))
-    keep = ["g", *(f"m_{i}" for i in range(size)), *(f"t_{i}_{j}" for i in range(size) for j in range(i + 1))]
-    return out.select(*keep)
+            inner = sum((F.col(f"__t_{i}_{k}") * F.col(f"__t_{j}_{k}") for k in range(j)), F.lit(0.0))
+            out = out.withColumn(f"__t_{i}_{j}", (F.col(f"__c_{j}_{i}") - inner) / F.col(f"__t_{j}_{j}"))
+    keep = [f"__m_{i}" for i in range(size)] + [f"__t_{i}_{j}" for i in range(size) for j in range(i + 1)]
+    det = sum((F.log(F.col(f"__t_{i}_{i}")) for i in range(size)), F.lit(0.0)) * 2
+    return out.select(*_KEYS, *keep, det.alias("__det"))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Mean and covariance of each group ``g``, from exact sums of whole parts, floors added."""
+    """Mean and covariance of each group and start, from exact sums of whole parts, floors added."""
     size = len(FEATURES)
     sums = [F.count(F.lit(1)).alias("n")]
     sums += [F.sum(FEATURES[i]).alias(f"s_{i}") for i in range(size)]
     sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q_{i}_{j}") for i in range(size) for j in range(i, size)]
-    total = rows.groupBy("g").agg(*sums)
+    total = rows.groupBy(*_KEYS).agg(*sums)
     mean = {i: F.col(f"s_{i}") / F.col("n") / UNIT for i in range(size)}
-    columns = [mean[i].alias(f"m_{i}") for i in range(size)]
+    columns = [mean[i].alias(f"__m_{i}") for i in range(size)]
     for i in range(size):
         for j in range(i, size):
             cov = F.col(f"q_{i}_{j}") / F.col("n") / UNIT / UNIT - mean[i] * mean[j]
-            columns.append((cov + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}"))
-    return _triangle(total.select("g", *columns))
+            columns.append((cov + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"__c_{i}_{j}"))
+    return _triangle(total.select(*_KEYS, *columns))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """First estimate of each group: medians, and spreads from the median deviation, apart by coordinate."""
+def _middles(rows: DataFrame) -> DataFrame:
+    """Medians of each group and start, and spreads from the quartiles, apart by statistic."""
     size = len(FEATURES)
-    quarters = rows.groupBy("g").agg(
+    quarters = rows.groupBy(*_KEYS).agg(
         *(F.percentile_approx(f, [0.25, 0.5, 0.75], 10_000).alias(f"p_{i}") for i, f in enumerate(FEATURES))
     )
     columns = []
     for i in range(size):
         p = F.col(f"p_{i}")
-        columns.append((p[1] / UNIT).alias(f"m_{i}"))
+        columns.append((p[1] / UNIT).alias(f"__m_{i}"))
         spread = (p[2] - p[0]) / UNIT / 1.349
         for j in range(i, size):
-            columns.append((spread**2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}"))
-    return _triangle(quarters.select("g", *columns))
+            columns.append((spread**2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"__c_{i}_{j}"))
+    return _triangle(quarters.select(*_KEYS, *columns))
 
 
-def _with_distance(rows: DataFrame, estimate: DataFrame, out: str) -> DataFrame:
-    """Adds the squared Mahalanobis distance: forward substitution through the triangle."""
-    joined, size = rows.join(estimate, "g"), len(FEATURES)
+def _with_distance(rows: DataFrame, estimate: DataFrame, out: str, keys: list[str], widest: bool = False) -> DataFrame:
+    """Adds the squared Mahalanobis distance: forward substitution through the triangle; ``widest``: the largest part alone."""
+    joined, size = rows.join(estimate, keys), len(FEATURES)
     for i in range(size):
-        gap = F.col(FEATURES[i]) / UNIT - F.col(f"m_{i}")
-        inner = sum((F.col(f"t_{i}_{k}") * F.col(f"y_{k}") for k in range(i)), F.lit(0.0))
-        joined = joined.withColumn(f"y_{i}", (gap - inner) / F.col(f"t_{i}_{i}"))
-    return joined.select(*(c for c in rows.columns), sum(F.col(f"y_{i}") ** 2 for i in range(size)).alias(out))
+        gap = F.col(FEATURES[i]) / UNIT - F.col(f"__m_{i}")
+        inner = sum((F.col(f"__t_{i}_{k}") * F.col(f"__y_{k}") for k in range(i)), F.lit(0.0))
+        joined = joined.withColumn(f"__y_{i}", (gap - inner) / F.col(f"__t_{i}_{i}"))
+    parts = [F.col(f"__y_{i}") ** 2 for i in range(size)]
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), (F.greatest(*parts) if widest else sum(parts)).alias(out))
 
 
-def _closest(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
+def _closest(rows: DataFrame, estimate: DataFrame, share: float, widest: bool = False) -> DataFrame:
     """The share of each group's rows closest to its estimate, by narrow bins of the distance."""
-    binned = _with_distance(rows, estimate, "d").withColumn("bin", F.floor(F.log(F.col("d") + 1e-6) * 64))
-    counts = binned.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("g").orderBy("bin"))
+    binned = _with_distance(rows, estimate, "d", _KEYS, widest).withColumn("bin", F.floor(F.log(F.col("d") + 1e-6) * 64))
+    counts = binned.groupBy(*_KEYS, "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*_KEYS).orderBy("bin"))
     cut = (
-        counts.select("g", "bin", "n", upto.alias("upto"), F.sum("n").over(Window.partitionBy("g")).alias("all"))
+        counts.select(*_KEYS, "bin", "n", upto.alias("upto"), F.sum("n").over(Window.partitionBy(*_KEYS)).alias("all"))
         .where(F.col("upto") - F.col("n") < F.col("all") * share)
-        .groupBy("g")
+        .groupBy(*_KEYS)
         .agg(F.max("bin").alias("most"))
     )
-    return binned.join(cut, "g").where(F.col("bin") <= F.col("most"))
+    return binned.join(cut, _KEYS).where(F.col("bin") <= F.col("most"))
+
+
+def least_determinants(rows: DataFrame, share: float, most_steps: int) -> DataFrame:
+    """For each ``__g`` of ``rows`` the estimate with the least determinant over all starts.
+
+    Steps end when the determinant of no group and start falls by a thousandth, or after ``most_steps``; of a start
+    the least one counts.
+    """
+    slim = durable(rows.select("__g", F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("__start"), *FEATURES))
+    first = slim.where("__start = 0")
+    middles = durable(_middles(first))
+    near = _closest(slim.where("__start = 2"), middles.withColumn("__start", F.lit(2)), 0.5, widest=True)
+    # The medians are not those of a set of rows, so any determinant is better.
+    starts = middles.withColumn("__det", F.lit(float("inf")))
+    best = durable(starts.unionByName(_moments(slim.where("__start = 1"))).unionByName(_moments(near)))
+    for _ in range(most_steps):
+        moved = durable(_moments(_closest(slim, best, share)))
+        new, old = F.struct(*moved.columns), F.struct(*best.columns)
+        both = moved.select(*_KEYS, new.alias("new")).join(best.select(*_KEYS, old.alias("old")), _KEYS)
+        lower = F.col("new.__det") < F.col("old.__det") - 1e-3
+        both = durable(both.select(lower.alias("lower"), F.when(lower, F.col("new")).otherwise(F.col("old")).alias("e")))
+        best = both.select("e.*")
+        if both.where("lower").isEmpty():
+            break
+    fields = [c for c in best.columns if c != "__g"]
+    chosen = best.groupBy("__g").agg(F.min_by(F.struct(*fields), F.struct("__det", "__start")).alias("e"))
+    return durable(chosen.select("__g", "e.*"))
 
 
 def judge_quality(
     docs: DataFrame,
     share: float = 0.75,
-    steps: int = 3,
+    most_steps: int = 20,
     quantile: float = 1 - 1e-7,
-    least: int = 60,
+    least: int = 30,
     text: str = "text",
 ) -> DataFrame:
     """``docs`` without ``text``, with the counts, ``base_failed``, ``distance`` (squared) and ``kept``.
 
     Rows that fail the fixed rule are not kept, have no distance, and estimate nothing. The others are
     kept up to the ``quantile`` of the chi-squared distribution. A language and source with fewer than
-    ``least`` rows is judged with the other such sources of the language, or of all
-    languages. Null languages and sources are values of their own; a null or
-    empty text fails the fixed rule. Columns of the same names are replaced. An empty table gives an empty result.
+    ``least`` such rows, six for each statistic, gives no covariance of its own: it is judged with the other such
+    sources of the language, or if these are too few with those of all languages. Null languages and sources are values of their own; a null or
+    empty text fails the fixed rule. Repeated rows count each. Columns of the same names are replaced, names that
+    begin with two underscores are this function's own. An empty table gives an empty result.
     """
     new = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"}
     base = docs.select(*(c for c in docs.columns if c not in new))
@@ -231,17 +270,14 @@ def judge_quality(
             counted.withColumns({f: F.round(v * UNIT).cast("bigint") for f, v in zip(FEATURES, values)}), least
         )
     )
-    sound = rows.where(~F.col("base_failed"))
-    estimate = durable(_start(sound))
-    for _ in range(steps):
-        estimate = durable(_moments(_closest(sound, estimate, share)))
+    estimate = least_determinants(rows.where(~F.col("base_failed")), share, most_steps)
     size = len(FEATURES)
     # Covariances of the closest rows are too small by this factor, were all rows normal.
     shrunk = _gamma_share(size / 2 + 1, chi2_quantile(share, size) / 2) / share
-    fallback = rows.join(estimate.select("g"), "g", "left_anti").withColumn("distance", F.lit(None).cast("double"))
-    measured = _with_distance(rows, estimate, "distance").withColumn("distance", F.col("distance") * shrunk)
+    fallback = rows.join(estimate.select("__g"), "__g", "left_anti").withColumn("distance", F.lit(None).cast("double"))
+    measured = _with_distance(rows, estimate, "distance", ["__g"]).withColumn("distance", F.col("distance") * shrunk)
     judged = measured.unionByName(fallback).withColumn(
         "distance", F.when(~F.col("base_failed"), F.col("distance"))
     )
     verdict = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(quantile, size))
-    return judged.withColumn("kept", verdict).drop("g", *FEATURES)
+    return judged.withColumn("kept", verdict).drop("__g", *FEATURES)

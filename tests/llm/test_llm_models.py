@@ -170,6 +170,73 @@ def test_outliers_go_and_plain_texts_stay(spark):
     assert judge_quality(df.limit(0)).collect() == []
 
 
+def numpy_estimate(x, share):
+    """Least determinant over the same starts, with the closest rows taken by the same bins of the distance."""
+    unit, floors = 1024, np.array([0.5, 0.4, 0.5, 0.5, 0.12])
+
+    def moments(rows):
+        mean = rows.mean(axis=0)
+        return mean, (rows.T @ rows) / len(rows) - np.outer(mean, mean) + np.diag(floors**2)
+
+    def closest(mean, cov, part, widest=False):
+        y = np.linalg.solve(np.linalg.cholesky(cov), (x - mean).T) ** 2
+        bins = np.floor(np.log((y.max(axis=0) if widest else y.sum(axis=0)) + 1e-6) * 64)
+        order = np.sort(bins)
+        below = np.searchsorted(order, order, "left")
+        return x[bins <= order[below < len(x) * part].max()]
+
+    q = np.quantile(x * unit, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf") / unit
+    middle = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2 + floors**2)
+    found = []
+    for mean, cov in (middle, moments(x), moments(closest(*middle, 0.5, widest=True))):
+        best = np.inf if mean is middle[0] else np.linalg.slogdet(cov)[1]
+        for _ in range(20):
+            new = moments(closest(mean, cov, share))
+            det = np.linalg.slogdet(new[1])[1]
+            if det >= best - 1e-3:
+                break
+            (mean, cov), best = new, det
+        found.append((best, mean, cov))
+    return min(found, key=lambda e: e[0])
+
+
+def test_estimates_and_verdicts_against_numpy(spark):
+    rng = np.random.default_rng(11)
+    rows, groups = [], {}
+    for i in range(420):
+        source = ["a", "b", "c"][i % 3] if i < 400 else "few"
+        n = int(rng.lognormal(5, 0.5)) + 60
+        long = 3 if source == "a" else 6
+        text = " ".join("w" * int(k) + str(j) for j, k in enumerate(rng.integers(2, 2 + 2 * long, n)))
+        if i % 25 == 0:
+            text = text.replace(" ", " ### ")
+        if i % 40 == 1:
+            text = "\n".join(["same line again"] * 60) + "\n" + text
+        rows.append((i, text, "en", source, 5, 6, 7))
+    rows.append(rows[5])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, g int, f0 int, m_0 int")
+    got = judge_quality(df).collect()
+    assert len(got) == len(rows) and {"g", "f0", "m_0"} <= set(got[0].asDict())
+    cut, shrunk = chi2_quantile(1 - 1e-7, 5), None
+    for r in got:
+        assert (r.g, r.f0, r.m_0) == (5, 6, 7)
+        per = max(r.n_words, 1)
+        values = [math.log(1 + r.n_words), r.word_chars / per, math.log(1 + 1000 * r.n_symbols / max(r.word_chars, 1)), math.log(1 + r.n_dup_lines), math.sqrt(r.n_repeat_words / per)]
+        if not r.base_failed:
+            groups.setdefault(r.source, []).append((np.round(np.array(values) * 1024) / 1024, r))
+    assert 15 < len(groups["few"]) < 30
+    for source, held in groups.items():
+        # The only group that is too small is judged by itself, as the rest of its language.
+        x = np.array([v for v, _ in held])
+        _, mean, cov = numpy_estimate(x, 0.75)
+        d = (np.linalg.solve(np.linalg.cholesky(cov), (x - mean).T) ** 2).sum(axis=0)
+        scale = np.array([r.distance for _, r in held]) / d
+        shrunk = shrunk or float(np.median(scale))
+        assert np.allclose(scale, shrunk, rtol=1e-6), source
+        assert [r.kept for _, r in held] == (d * shrunk <= cut).tolist()
+    assert 0.4 < shrunk < 1 and any(not r.kept for _, r in groups["a"])
+
+
 def test_subwords_are_shared_by_misspellings():
     grams, ends = subwords(["idiot", "idiiot", "é", "zebra"], 17)
     bags = [set(x.tolist()) for x in np.split(grams, ends[:-1])]
