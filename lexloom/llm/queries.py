@@ -162,15 +162,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (FROM common)) AS n_
 FROM keyed GROUP BY doc_id""",
     "op9_top_products": """
 WITH sound AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
-parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM sound),
+parts AS (SELECT r, vec_id, len(v) AS dim, unnest(v) AS x, unnest(range(len(v))) AS i FROM sound),
+asked AS (SELECT min(r) AS r FROM sound WHERE vec_id % 50 = 0 GROUP BY vec_id, v),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+  SELECT q.vec_id AS query_id, c.r, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.r IN (SELECT r FROM asked) GROUP BY q.vec_id, q.r, c.r, c.vec_id
 )
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
 FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",

@@ -27,10 +27,9 @@ _BUCKET = 512
 
 
 def whole_vectors(vectors: DataFrame, scale: float, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v, dim, norm): floor(scale * x) of each component, without unusable rows.
+    """(vec_id, v, dim, norm, copies): floor(scale * x) of each component, without unusable rows; equal rows are counted.
 
-    Rows with a null id, a null vector, or a null or non-finite component take no part, and equal
-    rows count once.
+    Rows with a null id, a null vector, or a null or non-finite component take no part.
     """
     raw = F.col(embedding).cast("array<double>")
     sound = F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -38,9 +37,9 @@ def whole_vectors(vectors: DataFrame, scale: float, vec_id: str, embedding: str)
     whole = kept.select(
         F.col(vec_id).cast("bigint").alias("vec_id"),
         F.transform(raw, lambda x: F.floor(x * F.lit(scale)).cast("bigint")).alias("v"),
-    ).distinct()
+    ).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
     square: Column = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return whole.select("vec_id", "v", F.size("v").alias("dim"), F.sqrt(square).alias("norm"))
+    return whole.select("vec_id", "v", F.size("v").alias("dim"), F.sqrt(square).alias("norm"), "copies")
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -112,15 +111,15 @@ def _starter(seeds: list[tuple[int, np.ndarray, np.ndarray]], k: int):
 
 def _visit(k: int):
     def run(key: tuple[pa.Scalar, ...], queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "vec_id": [], "score": [], "copies": []}
         if len(queries) and len(rows):
             dim = key[0].as_py()
             order = np.argsort(-rows["norm"].to_numpy(), kind="stable")
-            norms, ids = rows["norm"].to_numpy()[order], rows["vec_id"].to_numpy()[order]
+            norms, ids, copies = (rows[c].to_numpy()[order] for c in ("norm", "vec_id", "copies"))
             held = _matrix(rows["v"], dim)[order]
             asked, lengths = _matrix(queries["v"], dim), queries["norm"].to_numpy()
             for query, length, own, beat in zip(asked, lengths, queries["vec_id"].to_pylist(), queries["beat"].to_pylist()):
-                top_ids, top_scores = np.empty(0, np.int64), np.empty(0, np.int64)
+                top_ids, top_scores, top_copies = (np.empty(0, np.int64) for _ in range(3))
                 for at in range(0, len(ids), _BUCKET):
                     here = slice(at, at + _BUCKET)
                     left = _survivors(query, length, beat, held[here], norms[here]) + at
@@ -128,14 +127,16 @@ def _visit(k: int):
                     if not len(left):
                         continue
                     top_ids = np.concatenate([top_ids, ids[left]])
+                    top_copies = np.concatenate([top_copies, copies[left]])
                     top_scores = np.concatenate([top_scores, products(query[None, :], held[left])[0].astype(np.int64)])
                     best = _best(top_scores, top_ids, k)
-                    top_ids, top_scores = top_ids[best], top_scores[best]
+                    top_ids, top_scores, top_copies = top_ids[best], top_scores[best], top_copies[best]
                     if len(top_ids) == k:
                         beat = max(beat, float(top_scores[-1]))
                 out["query_id"] += [own] * len(top_ids)
                 out["vec_id"] += top_ids.tolist()
                 out["score"] += top_scores.tolist()
+                out["copies"] += top_copies.tolist()
         return pa.table({name: pa.array(v, pa.int64()) for name, v in out.items()})
 
     return run
@@ -155,8 +156,8 @@ def top_products(
     """(query_id, rank, vec_id, score): the ``k`` best rows of every query, ties to the smaller id.
 
     ``queries`` is a condition on ``vec_id``. The score is the inner product of floor(``scale`` * x). A query's
-    candidates are all rows of other ids with as many components; fewer than ``k`` are
-    all returned. Unusable rows (see ``whole_vectors``) take no part; a table without
+    candidates are all rows of other ids with as many components, repeated rows each; fewer than ``k`` are
+    all returned. A query that is given several times is answered once; different vectors under one id share one list. Unusable rows (see ``whole_vectors``) take no part; a table without
     usable rows gives an empty result. A score that a long cannot hold raises.
 
     Queries and vectors meet in groups of at most about ``query_rows`` and ``group_rows`` rows,
@@ -171,13 +172,13 @@ def top_products(
         for dim in sorted(set(seen["dim"].to_pylist()))
         for part in [seen.filter(pc.equal(seen["dim"], dim))]
     ]
-    schema = "vec_id bigint, v array<bigint>, dim int, norm double"
+    schema = "vec_id bigint, v array<bigint>, dim int, norm double, copies bigint"
     asked = durable(whole.where(queries).mapInArrow(_starter(starts, k), f"{schema}, beat double"))
     # Groups of like lengths: five hundredths of the logarithm apart.
     ranged = whole.withColumn("range", F.floor(F.log(F.col("norm") + 1e-9) * 20))
     sizes = ranged.groupBy("dim", "range").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
     placed = ranged.join(sizes, ["dim", "range"]).select(
-        "dim", "range", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v", "norm"
+        "dim", "range", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v", "norm", "copies"
     )
     shares = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("shares"))
     groups = durable(placed.groupBy("dim", "range", "part").agg(F.max("norm").alias("longest")))
@@ -190,10 +191,14 @@ def top_products(
         "vec_id", "v", "norm", "beat",
     )
     right = placed.join(shares, "dim").select(
-        "dim", "range", "part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "v", "norm"
+        "dim", "range", "part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "v", "norm", "copies"
     )
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
-        _visit(k), "query_id bigint, vec_id bigint, score bigint"
+        _visit(k), "query_id bigint, vec_id bigint, score bigint, copies bigint"
     )
-    ranked = top_per_group(found, ["query_id"], [F.desc("score"), F.col("vec_id")], k, "rank")
+    order = [F.desc("score"), F.col("vec_id")]
+    # The best different rows first: among them are the best rows, copies counted.
+    best = top_per_group(found, ["query_id"], order, k, "place")
+    each = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    ranked = top_per_group(each, ["query_id"], order, k, "rank")
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

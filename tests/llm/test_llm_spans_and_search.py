@@ -111,12 +111,12 @@ def test_mix_of_an_empty_table(spark):
 
 
 def brute_products(rows, every, k):
-    kept = {}
+    kept = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            kept[i, tuple(int(np.floor(256 * float(x))) for x in v)] = None
+            kept.append((i, tuple(int(np.floor(256 * float(x))) for x in v)))
     out = []
-    for q, qv in kept:
+    for q, qv in dict.fromkeys(kept):
         if q % every == 0:
             scored = [(-sum(a * b for a, b in zip(qv, cv)), c) for c, cv in kept if c != q and len(cv) == len(qv)]
             out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(sorted(scored)[:k])]
@@ -130,6 +130,7 @@ def test_products_against_brute_force(spark, spread):
     rows += [(400 + i, rows[3][1]) for i in range(30)] + [(10, rows[10][1])]
     rows += [(500, None), (510, [1.0, None]), (520, [float("nan")] * 6), (530, [float("inf")] * 6), (None, [1.0] * 6)]
     rows += [(540, [0.0] * 6), (550, [1.0, 2.0]), (551, [2.0, 1.0]), (560, []), (570, [1e7] * 6)]
+    rows += [(571, [3.0] * 6)] * 3 + [(7, rows[7][1])] * 2
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, rank int")
     for limits in ({}, {"seeds": 8, "group_rows": 50, "query_rows": 7}):
         got = top_products(df, F.col("vec_id") % 10 == 0, k=5, **limits).collect()
