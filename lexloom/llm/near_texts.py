@@ -150,20 +150,27 @@ def _shingler(width: int):
     return run
 
 
-#: Bits of the filter that lets texts pass before they are moved: at most 131,072 words of 64 bits.
+#: Bits of a filter that decides which texts are moved: at most 131,072 words of 64 bits.
 _FILTER_BITS = 23
 
 
-def _may_occur(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``texts`` whose ``node`` is among ``nodes``, and a few others: by a bitmap of fixed size, so that the rest stays where it is."""
-    spot = F.col("node").bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
-    word, bit = F.shiftright(spot, 6), spot.bitwiseAND(F.lit(63)).cast("int")
-    bits = nodes.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b")).groupBy("__word").agg(
+def _marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``__may``: false if ``key`` is surely not among ``keys`` (one column of longs), by a bitmap of fixed size.
+
+    What is surely not there stays where it is; only the rest is moved for an exact join.
+    """
+    def spot(name: str) -> tuple[Column, Column]:
+        low = F.col(name).bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+        return F.shiftright(low, 6), low.bitwiseAND(F.lit(63)).cast("int")
+
+    word, bit = spot(keys.columns[0])
+    bits = keys.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b")).groupBy("__word").agg(
         F.bit_or("b").alias("__bits")
     )
+    word, bit = spot(key)
     # One row for each of the bitmap's words at most.
-    passed = texts.withColumn("__word", word).join(F.broadcast(bits), "__word").where(F.getbit("__bits", bit) == 1)
-    return passed.select(*texts.columns)
+    joined = rows.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    return joined.select(*rows.columns, (F.coalesce(F.getbit("__bits", bit), F.lit(0)) == 1).alias("__may"))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -174,7 +181,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: fl
     pairs = durable(pairs)
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     asked = durable(asked)
-    near = _may_occur(texts, asked)
+    near = _marked(texts, "node", asked).where("__may").drop("__may")
     # One row of each text: numbers are compared, texts follow.
     first = near.join(asked, "node", "left_semi").groupBy("node").agg(F.min("place").alias("place"))
     chosen = near.join(durable(first), ["node", "place"]).dropDuplicates(["node"]).select("node", "text")
@@ -225,9 +232,13 @@ def drop_similar(docs: DataFrame, **options) -> DataFrame:
     or go together. If the smallest id has several texts in a group, the least hash of
     them stays; a null id stays only where there is no other. All columns pass through.
     """
-    marked = similar_groups(docs, **options)
+    marked = durable(similar_groups(docs, **options))
     best = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")).alias("b"))
-    stay = best.select("b.h1", "b.h2")
+    stay = durable(best.select("b.h1", "b.h2"))
+    gone = durable(marked.select("h1", "h2").distinct().join(stay, ["h1", "h2"], "left_anti"))
     h1, h2 = key_hash(F.col(options.get("doc_id", "doc_id")), F.col(options.get("text", "text")))
     keyed = docs.select(F.struct("*").alias("__doc"), h1.alias("h1"), h2.alias("h2"))
-    return keyed.join(stay, ["h1", "h2"], "left_semi").select("__doc.*")
+    known = _marked(keyed, "h1", gone.select("h1"))
+    # Most rows stay, and stay where they are.
+    doubtful = known.where("__may").join(gone, ["h1", "h2"], "left_anti")
+    return known.where(~F.col("__may")).select("__doc.*").unionByName(doubtful.select("__doc.*"))
