@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexloom.sources.files import any_file
+from lexloom.sources.files import any_file, folders
 from lexloom.streaming.hashes import HashStore
 
 
@@ -23,6 +23,12 @@ def read_new_files(
     )
 
 
+def read_table_files(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """Stream of a table's files: those of the folder ``name``, or the one file of that name."""
+    held = folders(spark, f"{folder}/{name}")
+    return read_new_files(spark, held[0], schema) if held else read_new_files(spark, folder, schema, name)
+
+
 def ingest_documents(
     stream: DataFrame, out: str, checkpoint: str, key: str, content: str, buckets: int = 16
 ) -> StreamingQuery:

@@ -136,3 +136,15 @@ def test_budget_holds_no_more_than_can_be_admitted():
     out = pd.concat(made.handleInputRows(None, iter(parts), None))
     assert len(out) == 5000 and dict(zip(out.id, out.admitted)) == greedy(calls, 100)
     assert list(made.handleInputRows(None, iter([parts[0].iloc[:1]]), None))[0].admitted.tolist() == [False]
+
+
+def test_a_table_is_streamed_as_a_folder_and_as_one_file(spark, tmp_path):
+    from workload.review_queries import stream_documents
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id bigint, text string")
+    rows.repartition(2).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "single").mkdir()
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "single" / "documents.parquet")
+    for folder in ("parts", "single"):
+        assert sorted(r.doc_id for r in stream_documents(spark, str(tmp_path / folder)).collect()) == [1, 3]

@@ -275,7 +275,7 @@ def stream_daily_totals(spark, folder):
     import uuid
 
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    stream = ingest.read_new_files(spark, folder, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = ingest.read_table_files(spark, folder, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     run = f"{shared_folder(spark).rstrip('/')}/daily-{uuid.uuid4().hex}"
     priced = stream.withColumn("paise", F.round(F.col("value") * 100).cast("bigint"))
     ingest.run_daily_totals(priced, "ts", "paise", f"{run}/out", f"{run}/checkpoint").awaitTermination()
@@ -288,7 +288,7 @@ def stream_documents(spark, folder):
     import uuid
 
     schema = spark.read.parquet(f"{folder}/documents.parquet").schema
-    stream = ingest.read_new_files(spark, folder, schema, "documents.parquet")
+    stream = ingest.read_table_files(spark, folder, "documents.parquet", schema)
     run = f"{shared_folder(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
     ingest.ingest_documents(stream, f"{run}/out", f"{run}/checkpoint", "doc_id", "text").awaitTermination()
     return spark.read.parquet(f"{run}/out").select("doc_id", "sha256")
