@@ -259,6 +259,33 @@ def test_ingest_files(spark, tmp_path):
         documents.with_embeddings(chunks, "content", None)
 
 
+def test_packed_files_are_read_as_single_ones(spark, tmp_path):
+    from lexloom.sources.files import document_text, read_binary, read_packed, write_packed
+
+    folder, packs = tmp_path / "in", tmp_path / "packs"
+    folder.mkdir()
+    for i in range(50):
+        (folder / f"{i}.txt").write_text(f"note {i} \u00e9\n")
+    write_packed(read_binary(spark, str(folder)).coalesce(2), str(packs))
+    assert len(list(packs.glob("*.parquet"))) == 2
+    columns = ["path", "length", "content"]
+    single, packed = read_binary(spark, str(folder)).select(*columns), read_packed(spark, str(packs)).select(*columns)
+    assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, single.collect()))
+    assert sorted(map(tuple, document_text(packed).collect())) == sorted(map(tuple, document_text(single).collect()))
+
+
+def test_ingested_chunks_makes_no_file_per_document(spark, tmp_path, monkeypatch):
+    from workload import case_queries
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = [(i, f"text {i % 90}", "en", "s", 9) for i in range(300)]
+    spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(case_queries, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    got = case_queries.ingested_chunks(spark, str(tmp_path)).collect()
+    assert len({r.doc_id for r in got}) == 90
+    assert len(list((tmp_path / "shared").rglob("*.parquet"))) < 100
+
+
 def test_long_document_is_chunked_in_linear_time(spark):
     text = "\n".join(f"{i % 90}. Clause {i} " + "words of the clause " * 12 for i in range(4000))
     df = spark.createDataFrame([(1, text)], "id int, text string")
