@@ -10,6 +10,9 @@ A group of copies may hold a third of all texts, so pairs are not listed within
 per segment value, the least; those links give provisional groups. Then pairs are sought between different groups
 only, where one of them is not the group of the segment value's least text.
 
+Before texts are moved, a candidate must pass what their tallies allow: the number of different shingles in each of a fixed number of
+hash classes bounds how many two texts can share, so no link is lost and nearly all chance meetings end there.
+
 A null or empty text has no shingles, and is a copy of others without shingles. Texts of any length are read whole. Rows with one text
 are one node. Other columns pass through. An empty table gives an empty result.
 """
@@ -58,13 +61,33 @@ def fingerprints(texts: pa.Array, width: int, turns: int) -> np.ndarray:
     return np.packbits(ones, axis=2, bitorder="little").view("<u8")[:, :, 0].T
 
 
-def _marker(width: int, turns: int):
+#: Classes of a tally. Unrelated texts of n shingles differ by some 1.1 * sqrt(n * classes), linked ones by n / 4 at most.
+_CLASSES = 64
+
+
+def _shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    counts, blocks = shingle_hashes(texts, width)
+    hashes = np.concatenate([np.empty(0, np.uint64), *(h for _, h in blocks)])
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+
+
+def tallies(texts: pa.Array, width: int) -> np.ndarray:
+    """Different ``width``-word shingles of every text in each class of their hashes, as rows."""
+    found = [np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=_CLASSES) for x in _shingle_sets(texts, width)]
+    return np.array(found, np.int32).reshape(-1, _CLASSES)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
+
+
+def _marker(width: int, turns: int, similar_width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches, "text", 2_000_000):
             prints = fingerprints(some["text"], width, turns).view(np.int64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, prints.size + 1, turns), pa.int32()), pa.array(prints.ravel()))
             rest = [c for c in some.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(some[c] for c in rest), flat], [*rest, "prints"])
+            made = [_lists(prints), _lists(tallies(some["text"], similar_width))]
+            yield pa.RecordBatch.from_arrays([*(some[c] for c in rest), *made], [*rest, "prints", "tally"])
 
     return run
 
@@ -127,8 +150,9 @@ def cross_pairs(rooted: DataFrame, turns: int) -> DataFrame:
     """(u, v): texts of different groups (``root``) within one bit of each other in a segment."""
     held = durable(_spots(rooted, turns, ball=False))
     main = durable(held.groupBy("spot").agg(F.min_by("root", "node").alias("main")))
-    # Probes of values that no text has go here.
-    asked = _spots(rooted, turns, ball=True).join(main, "spot")
+    # Probes of values that no text has end here, before they are moved.
+    probes = _marked(_spots(rooted, turns, ball=True), "spot", main.select("spot"), _SPOT_BITS)
+    asked = probes.where("__may").drop("__may").join(main, "spot")
     asked = durable(asked.toDF("spot", "u", "u_root", "u_near", "main"))
     there = held.join(main, "spot").select(
         "spot", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("near").alias("v_near"), "main"
@@ -142,9 +166,7 @@ def cross_pairs(rooted: DataFrame, turns: int) -> DataFrame:
 def _shingler(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2_000_000):
-            counts, blocks = shingle_hashes(part["text"], width)
-            hashes = np.concatenate([np.empty(0, np.uint64), *(h for _, h in blocks)]).view(np.int64)
-            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+            sets = [x.view(np.int64) for x in _shingle_sets(part["text"], width)]
             yield pa.RecordBatch.from_arrays([part["node"], pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return run
@@ -152,15 +174,17 @@ def _shingler(width: int):
 
 #: Bits of a filter that decides which texts are moved: at most 131,072 words of 64 bits.
 _FILTER_BITS = 23
+#: The same for the values of nine segments: at most 294,912 words.
+_SPOT_BITS = 25
 
 
-def _marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def _marked(rows: DataFrame, key: str, keys: DataFrame, size: int = _FILTER_BITS) -> DataFrame:
     """``rows`` with ``__may``: false if ``key`` is surely not among ``keys`` (one column of longs), by a bitmap of fixed size.
 
     What is surely not there stays where it is; only the rest is moved for an exact join.
     """
     def spot(name: str) -> tuple[Column, Column]:
-        low = F.col(name).bitwiseAND(F.lit((1 << _FILTER_BITS) - 1))
+        low = F.col(name).bitwiseAND(F.lit((1 << size) - 1))
         return F.shiftright(low, 6), low.bitwiseAND(F.lit(63)).cast("int")
 
     word, bit = spot(keys.columns[0])
@@ -173,6 +197,18 @@ def _marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return joined.select(*rows.columns, (F.coalesce(F.getbit("__bits", bit), F.lit(0)) == 1).alias("__may"))
 
 
+def possible_pairs(pairs: DataFrame, tallied: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) of ``pairs`` that may share enough shingles by their tallies (node, tally); drops none that do."""
+    sized = tallied.select("node", F.aggregate("tally", F.lit(0), lambda total, n: total + n).alias("size"), "tally")
+    met = pairs.join(sized.toDF("u", "u_size", "u_tally"), "u").join(sized.toDF("v", "v_size", "v_tally"), "v")
+    shared = F.aggregate(F.zip_with("u_tally", "v_tally", lambda a, b: F.least(a, b)), F.lit(0), lambda total, n: total + n)
+    both = F.col("u_size") + F.col("v_size")
+    # Sizes alone settle most, so the tallies are compared for the others only.
+    alike = F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size")
+    enough = F.when(alike, shared * (1 + similarity) >= similarity * both - 1e-6).otherwise(False)
+    return met.where(enough).select("u", "v")
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The (u, v) of ``pairs`` whose texts (node, text) share enough of their different ``width``-word shingles.
 
@@ -215,14 +251,20 @@ def similar_groups(
     h1, h2 = key_hash(F.col(doc_id), F.col(text))
     rows = docs.select(F.col(doc_id).alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.xxhash64(whole).alias("node"), whole.alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    marked = durable(rows.mapInArrow(_marker(width, turns), f"doc_id {kind}, h1 bigint, h2 bigint, node bigint, prints array<bigint>"))
-    nodes = durable(marked.groupBy("node").agg(F.first("prints").alias("prints")))
+    made = f"doc_id {kind}, h1 bigint, h2 bigint, node bigint, prints array<bigint>, tally array<int>"
+    marked = durable(rows.mapInArrow(_marker(width, turns, similar_width), made))
+    held = durable(marked.groupBy("node").agg(F.first("prints").alias("prints"), F.first("tally").alias("tally")))
+    nodes, tallied = held.select("node", "prints"), held.select("node", "tally")
     texts = rows.select("node", F.col("h1").alias("place"), "text")
-    near = durable(similar_pairs(star_pairs(nodes, turns), texts, similar_width, similarity))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return similar_pairs(possible_pairs(pairs, tallied, similarity), texts, similar_width, similarity)
+
+    near = durable(linked(star_pairs(nodes, turns)))
     rooted = durable(_rooted(nodes, near))
-    across = similar_pairs(cross_pairs(rooted.select("node", "root", "prints"), turns), texts, similar_width, similarity)
+    across = linked(cross_pairs(rooted.select("node", "root", "prints"), turns))
     final = _rooted(nodes.select("node"), near.union(across))
-    return marked.drop("prints").join(final, "node").select("doc_id", "h1", "h2", "node", "root")
+    return marked.drop("prints", "tally").join(final, "node").select("doc_id", "h1", "h2", "node", "root")
 
 
 def drop_similar(docs: DataFrame, **options) -> DataFrame:

@@ -189,6 +189,23 @@ def test_a_large_group_is_not_listed_in_pairs(spark):
     assert near_texts.cross_pairs(rooted.select("node", "root", "prints"), 3).count() == 0
 
 
+def test_tallies_end_chance_meetings_and_lose_no_link(spark):
+    rng = random.Random(8)
+    texts = ["", " ", "one", "two words", "a b c d e f", "a b c d e g"]
+    for _ in range(60):
+        own = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(6, 500))]
+        texts += [" ".join(own), changed(rng, own, rng.randint(0, max(1, len(own) // 30)))]
+    tallied = [(i, [int(n) for n in row]) for i, row in enumerate(near_texts.tallies(pa.array(texts), 5))]
+    assert [sum(t) for _, t in tallied] == [len(five_shingles(t)) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    left = near_texts.possible_pairs(
+        spark.createDataFrame(pairs, "u bigint, v bigint"), spark.createDataFrame(tallied, "node bigint, tally array<int>"), 0.8
+    )
+    kept = {(r.u, r.v) for r in left.collect()}
+    links = {(i, j) for i, j in pairs if similarity(texts[i], texts[j]) >= 0.8}
+    assert len(links) > 20 and links <= kept and len(kept) < len(pairs) / 20
+
+
 def test_near_copies_of_an_empty_table(spark):
     assert near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
 
