@@ -99,3 +99,33 @@ def test_control_characters_in_the_text(spark):
         (text.index("(2014)"), "(2014) 9 SCC 129", "Ram Lal v. Shyam Das"),
         (text.index("Order"), "Order 1 Rule 2, Code of Civil Procedure, 1908", None),
     ]
+
+
+def test_only_place_of_a_match_is_no_part_of_something_else(spark):
+    import re
+
+    from lexloom.functions import regex
+
+    pattern = r"\b2\d{3}INSC\d+\b"
+    texts = [
+        "", "none here", "in 2001INSC5.", "x2001INSC5 then 2001INSC5", "2001INSC5, x2001INSC5", "é😀 2001INSC5", "2001INSC5 2001INSC5", "2001INSC55 2001INSC5", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.m and [(x.pos, x.raw) for x in r.m] for r in regex.with_located(df, "text", pattern, "m").collect()}
+    assert [got[i] or [] for i in range(len(texts))] == [[(m.start(), m.group()) for m in re.finditer(pattern, t or "")] for t in texts]
+    only = df.selectExpr("id", "array('2001INSC5') AS raws", "text").selectExpr("id", f"{regex._only_place('text', 'raws')} AS at")
+    assert {r.id: r.at for r in only.collect() if r.id in (2, 3, 4, 5)} == {2: 3, 3: None, 4: None, 5: 3}
+
+
+def test_names_start_as_without_the_lookbehind(spark):
+    from lexloom.rules.citation_forms import CASE_NAME
+
+    plain = r"(?i)((?:[A-Z][\w&.'\-]*\s+){0,6}[A-Z][\w&.'\-]*)\s+(?:v\.?|vs\.?|versus)\s+((?:[A-Z][\w&.'\-]*\s+){0,6}[A-Z][\w&.'\-]*)"
+    assert CASE_NAME != plain
+    texts = [
+        "In Ram v. Shyam and 3Com Ltd vs. x-Y v. Z", "(Ram versus M/s. A&B", "éRam v v v. v", "'Tis 9a v. b9 v. c. D", "a b c d e f g h i v. j k l m n o p q r v. s",
+        "Ram v. Shyam v. Mohan v. X", "ſa v. Kb", "v. v. v.", "Ram  v.\tShyam", "_a v. b", "",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    marks = [F.regexp_replace("t", "(?Uid)" + p[4:], "<$1|$2>") for p in (plain, CASE_NAME)]
+    assert df.where(marks[0] != marks[1]).count() == 0
