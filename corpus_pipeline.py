@@ -47,11 +47,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, without the text, and its ``slot`` and ``in_block`` in the mix.
 
+    Executors still hold what the stages before left, so the tables of pieces and states are small here.
     The ids are decoded again: ``decoded_sha256`` is of what they decode to, ``text_sha256`` of the text.
     """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     hashed = with_places(docs.select(*COLUMNS)).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    coded = encode_bpe(hashed, path, public_tokenizers.PATTERN, decoded="decoded")
+    coded = encode_bpe(hashed, path, public_tokenizers.PATTERN, decoded="decoded", pieces=100_000, states=30_000)
     return coded.withColumns(
         {"n_tokens": F.size("token_ids").cast("bigint"), "decoded_sha256": F.sha2("decoded", 256)}
     ).drop("decoded")

@@ -81,19 +81,21 @@ class Transducer:
             self.tokens[rank] = token
         self.heads = {token[:i] for token in ranks for i in range(1, len(token) + 1)}
         self.bytes = [bytes([i]) for i in range(256)]
-        self.agrees: dict[tuple[int, int], bool] = {}
+        self.agrees: dict[int, bool] = {}
         self.states: dict[tuple[int, bytes], _State] = {}
         self.start = self._state(b"", ((-1, -1),), (0,))
 
     def _follows(self, last: int, token: int) -> bool:
         """Whether ``token`` after ``last`` (-1: the beginning) is what merging gives."""
-        known = self.agrees.get((last, token))
+        # One number per pair: tuples of two would be four times as large.
+        pair = (last + 1) * len(self.tokens) + token
+        known = self.agrees.get(pair)
         if known is None:
             if len(self.agrees) > 4 * self.most:
                 self.agrees.clear()
             before = self.tokens[last] if last >= 0 else b""
             wanted = [last, token] if last >= 0 else [token]
-            known = self.agrees[last, token] = merge(before + self.tokens[token], self.ranks) == wanted
+            known = self.agrees[pair] = merge(before + self.tokens[token], self.ranks) == wanted
         return known
 
     def _state(self, pending: bytes, prefixes: tuple, open_: tuple[int, ...]) -> _State:
@@ -190,8 +192,8 @@ class _Pieces(dict):
 class BpeCodec:
     """Encodes texts and decodes ids with one rank file and one splitting pattern."""
 
-    def __init__(self, path: str, pattern: str, pieces: int = 300_000):
-        self.transducer = Transducer(read_ranks(path))
+    def __init__(self, path: str, pattern: str, pieces: int = 300_000, states: int = 100_000):
+        self.transducer = Transducer(read_ranks(path), states)
         self.find = regex.compile(pattern).findall
         self.kind = "H" if len(self.transducer.tokens) <= 1 << 16 else "I"
         self.known = _Pieces(self.transducer, pieces, self.kind)
@@ -223,12 +225,15 @@ def encode_bpe(
     out: str = "token_ids",
     decoded: str | None = None,
     text: str = "text",
+    pieces: int = 300_000,
+    states: int = 100_000,
 ) -> DataFrame:
     """``docs`` with ``out``: the token ids of ``text``; all other columns pass through, ``text`` goes.
 
     ``path`` is a rank file that every machine has. With ``decoded`` the ids are also decoded
     again, into a column of that name. Null and empty texts have no ids. Columns named as the
-    new ones are replaced. Texts of any length are read once, and the tables kept by a task are bounded.
+    new ones are replaced. Texts of any length are read once, and the tables kept by a task are bounded:
+    ``pieces`` and ``states`` bound its memory against time and change no id.
     """
     others = [c for c in docs.columns if c not in (text, out, decoded)]
     read = "__text"
@@ -242,8 +247,8 @@ def encode_bpe(
         names.append(decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ("bpe", path, pattern)
-        codec = keep(key, lambda: BpeCodec(path, pattern))
+        key = ("bpe", path, pattern, pieces, states)
+        codec = keep(key, lambda: BpeCodec(path, pattern, pieces, states))
         for some in slices(batches, read, 2_000_000, key):
             ids = [codec.encode(t or "") for t in some[read].to_pylist()]
             sizes = np.cumsum([0, *map(len, ids)])

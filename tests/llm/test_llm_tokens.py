@@ -127,3 +127,14 @@ def test_parts_are_read_back_by_as_many_tasks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     n = files.parts.count()
     assert n == 8 and files.documents().rdd.getNumPartitions() == n
+
+
+def test_small_tables_give_the_same_ids(spark):
+    docs = spark.createDataFrame([(i, f"{t or ''} nonesuch{i} aux lee") for i, t in enumerate(TEXTS * 20)], "doc_id bigint, text string")
+    want = {r.doc_id: r.token_ids for r in encode_bpe(docs, RANKS, P.PATTERN).collect()}
+    got = {r.doc_id: r.token_ids for r in encode_bpe(docs, RANKS, P.PATTERN, pieces=5, states=50).collect()}
+    assert got == want
+    codec = BpeCodec(RANKS, P.PATTERN, 5, 50)
+    for row in docs.collect():
+        codec.encode(row.text)
+    assert len(codec.known) <= 5 and len(codec.known.older) <= 5 and len(codec.transducer.states) <= 50
