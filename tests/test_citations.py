@@ -129,3 +129,53 @@ def test_names_start_as_without_the_lookbehind(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     marks = [F.regexp_replace("t", "(?Uid)" + p[4:], "<$1|$2>") for p in (plain, CASE_NAME)]
     assert df.where(marks[0] != marks[1]).count() == 0
+
+
+def test_extraction_is_made_of_methods_that_the_jvm_compiles(spark):
+    import re
+
+    texts = spark.createDataFrame([(1, "see (2014) 9 SCC 129")], "id int, text string").repartition(2)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the code is made at once
+    try:
+        shown = citations.extract(texts, "id", "text")._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown)]
+    assert sizes and max(sizes) < 8000, sizes
+
+
+def test_patterns_match_as_without_the_look_ahead(spark):
+    import re
+
+    from lexloom.rules import citation_forms as forms
+
+    text = (
+        "AIR 1973 SC 1461, xAIR 1973 SC 1, 1973 AIR SC 2; é2021 SCC OnLine Bom 123 2021 SCC OnLine Bom 123; 2024:BHC-AS:12345:2 12024:AB:1; 1997 (3) ALL MR 200 "
+        "2024insc735 _2024INSC7 2024 INſC 7; Sections Sec. 4(2) of the Limitation Act, 1963 s. 420 IPC ss. 5 X Article 21 art. 14(1) Part 5 Art 6; Order VII Rule 11 CPC Border 1 Rule 2 (2014) 9 SCC 129"
+    )
+    df = spark.createDataFrame([(text,)], "t string")
+    patterns = [p for _, p in citations._CASE_FAMILIES + citations._STATUTE_FAMILIES]
+    plain = [re.sub(r"\(\?=\[?\w+\]?\)", "", p) for p in patterns]
+    assert sum(a != b for a, b in zip(patterns, plain)) == 8 and forms.BRACKETED_YEAR in plain
+    all_of = lambda p: F.regexp_extract_all("t", F.lit(citations._pattern(p)), F.lit(0))
+    row = df.select(*[all_of(p) for p in patterns + plain]).first()
+    assert list(row[:9]) == list(row[9:]) and all(row)
+
+
+def test_orders_lose_the_blanks_after_them(spark):
+    rows = found(spark, "Order 1 Rule 2  \n and Order II, Rule 3 of the ")
+    assert [r["raw"] for r in rows] == ["Order 1 Rule 2", "Order II, Rule 3 of the"]
+
+
+def test_positions_beyond_ascii_and_with_repeats(spark):
+    text = "2014INSC5 é😀 2015INSC6 x2016INSC7 2016INSC7"
+    for t in (text, text.replace("é😀", "ee")):
+        assert [r["position"] for r in found(spark, t)] == [t.index("2014"), t.index("2015"), t.rindex("2016")]
+
+
+def test_fewer_fields_are_the_same_citations(spark):
+    df = spark.createDataFrame([(1, "In Ram v. Shyam, (2014) 9 SCC 129 and 2023 INSC 4, 2023INSC4"), (1, "s. 420 IPC (2014) 9 SCC 129"), (None, "Article 21")], "id int, text string")
+    few = ["kind", "family", "position", "citation_key", "case_name"]
+    rows = lambda d: sorted(map(tuple, d.select("id", *few).collect()), key=str)
+    assert rows(citations.extract(df, "id", "text", fields=few)) == rows(citations.extract(df, "id", "text"))
