@@ -1,7 +1,7 @@
 """English text search: stop words left out, word forms brought together by their stems.
 
-Stems are worked out once per different word of the collection, in a vocabulary table. Postings of words are joined
-to it and added up by stem, so no text is ever stemmed; a query's words go through the same rules.
+Stems are worked out once per different word of a document, within its row, and counted there, so that no posting of a word
+is moved; a query's words go through the same rules. The vocabulary of a collection is a table of its own.
 """
 
 from __future__ import annotations
@@ -9,16 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.ranking import TERM_BUCKETS, PostingsIndex, build_index, bucket_of, query_terms
-from lexloom.rules.english import STEM_RULES, STOP_WORDS
+from lexloom.operators.ranking import (
+    TERM_BUCKETS, PostingsIndex, bucket_of, documents, index_stats, query_terms, runs, unpacked, with_packs,
+)
+from lexloom.rules.english import STEM_RULES, STEM_STEPS, STOP_WORDS
 from lexloom.session import durable
 
 
 def stem(word: Column) -> Column:
     """The stem of a lower-case word. Words of up to three letters, and those with other characters than a to z, are their own."""
-    out = word
-    for pattern, left in STEM_RULES:
-        out = F.regexp_replace(out, pattern, left)
+
+    def step(rules, endings):
+        def ruled(x):
+            out = x
+            for pattern, left in rules:
+                out = F.regexp_replace(out, pattern, left)
+            return F.when(F.substring(x, -2, 2).isin(*endings), out).otherwise(x)
+
+        return ruled
+
+    out, done = word, 0
+    for n, endings in STEM_STEPS:
+        # The word so far is an argument of an inner function, so it is worked out once.
+        out = F.transform(F.array(out), step(STEM_RULES[done : done + n], endings))[0]
+        done += n
     return F.when(word.rlike("^[a-z]{4,}$"), out).otherwise(word)
 
 
@@ -33,17 +47,26 @@ def english_index(df: DataFrame, key: str, text_columns: list[str], buckets: int
 
     ``tf`` adds up the forms of a word, ``length`` counts all words of a row, stop words too.
     """
-    words = build_index(df, key, text_columns, buckets)
-    # Two readers: the vocabulary, and what is joined to it.
-    held = durable(words.postings.where(~F.col("term").isin(*STOP_WORDS)).select("key", "length", "term", "tf"))
-    stems = held.join(durable(vocabulary(held)), "term")
-    postings = (
-        stems.groupBy("key", "stem")
+    placed, words = runs(documents(df, key, text_columns), "t")
+    # A document's stems, as often as its words, are counted like words within its row.
+    kept = F.filter(words, lambda x: ~x["term"].isin(*STOP_WORDS))
+    stems = F.flatten(F.transform(kept, lambda x: F.array_repeat(stem(x["term"]), x["tf"])))
+    stemmed, counted = runs(placed.select("key", "length", F.sort_array(stems).alias("stems")), "stems")
+    # Readers: the postings, the statistics and the keys that occur again. Texts are read and moved once.
+    docs = durable(with_packs(stemmed, counted, "packs", buckets))
+    again = durable(docs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("again")))
+    rows = docs.select("key", "length", F.explode("packs").alias("p")).select("key", "length", "p.*")
+    same = F.col("key").eqNullSafe(F.col("again"))
+    packed = rows.join(again, same, "left_anti")
+    # Rows under one key add up, however many there are.
+    loose = (
+        unpacked(rows.join(again, same, "left_semi")).groupBy("key", "term", "bucket")
         .agg(F.first("length").alias("length"), F.sum("tf").cast("int").alias("tf"))
-        .select("key", "length", F.col("stem").alias("term"), "tf", bucket_of(F.col("stem"), buckets).alias("bucket"))
+        .select("key", "length", "term", "tf", "bucket")
     )
+    postings = unpacked(packed).unionByName(loose)
     terms = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
-    return PostingsIndex(postings, terms, words.stats)
+    return PostingsIndex(postings, terms, index_stats(docs, buckets), packed, loose)
 
 
 def query_stems(index: PostingsIndex, query: str) -> list[tuple[str, int]]:

@@ -74,11 +74,17 @@ def rank_query(
 
 @dataclass(frozen=True)
 class PostingsIndex:
-    """Tables of a stored inverted index."""
+    """Tables of a stored inverted index.
+
+    An index yet to be written can have its postings in two parts as well: ``packed`` has a row per document and bucket
+    (key, length, bucket, terms with blanks between them, tfs), which moves in a third of the bytes, ``loose`` the others.
+    """
 
     postings: DataFrame  # term, bucket, key, tf, length
     terms: DataFrame  # term, bucket, df
     stats: DataFrame  # one row: n, mean_length, buckets
+    packed: DataFrame | None = None
+    loose: DataFrame | None = None
 
 
 def bucket_of(term: Column, buckets: int | Column) -> Column:
@@ -86,37 +92,84 @@ def bucket_of(term: Column, buckets: int | Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build_index(
-    df: DataFrame, key: str, text_columns: list[str], buckets: int = TERM_BUCKETS
-) -> PostingsIndex:
-    """Postings, document frequencies and corpus statistics of ``df``."""
+def documents(df: DataFrame, key: str, text_columns: list[str]) -> DataFrame:
+    """(key, t, length): the tokens of each row in sorted order, and their number."""
     texts = df.select(F.col(key).alias("key"), _text(text_columns).alias("text"))
-    docs = texts.select("key", F.array_sort(tokens(F.col("text"))).alias("t"))
-    lengths = docs.withColumn("length", F.size("t"))
-    # A document is one row, so its terms are counted within it: in sorted order a term's
-    # count is the distance from its first place to the next term's.
-    t = F.col("t")
+    return texts.select("key", F.sort_array(tokens(F.col("text"))).alias("t")).withColumn("length", F.size("t"))
+
+
+def runs(df: DataFrame, tokens: str) -> tuple[DataFrame, Column]:
+    """``df`` without a sorted array of tokens, and over it the array of ``struct<term, tf>`` of that.
+
+    A document is one row, so its terms are counted within it: in sorted order a term's
+    count is the distance from its first place to the next term's.
+    """
+    t = F.col(tokens)
     first = F.filter(
         F.transform(t, lambda term, i: F.struct(term.alias("term"), i.alias("i"))),
         lambda x: (x["i"] == 0) | (x["term"] != F.get(t, F.greatest(x["i"] - 1, F.lit(0)))),
     )
-    placed = lengths.select("key", "length", first.alias("first"))
-    f = F.col("first")
+    others = [c for c in df.columns if c != tokens]
+    placed = df.select(*others, F.size(tokens).alias("__size"), first.alias("__first"))
+    f = F.col("__first")
     counted = F.transform(
         f,
         lambda x, i: F.struct(
             x["term"].alias("term"),
-            (F.coalesce(F.get(f, i + 1)["i"], F.col("length")) - x["i"]).cast("int").alias("tf"),
+            (F.coalesce(F.get(f, i + 1)["i"], F.col("__size")) - x["i"]).cast("int").alias("tf"),
         ),
     )
+    return placed, counted
+
+
+def with_packs(df: DataFrame, counted: Column, out: str, buckets: int) -> DataFrame:
+    """Add ``out``: array of ``struct<bucket, terms, tfs>``, one per bucket, of an array of ``struct<term, tf>``."""
+    others = [c for c in df.columns if not c.startswith("__")]
+    entry = lambda x: F.struct(bucket_of(x["term"], buckets).alias("bucket"), x["term"].alias("term"), x["tf"].alias("tf"))
+    placed = df.select(*others, F.sort_array(F.transform(counted, entry)).alias("__e"))
+    parts = placed.select(*others, *[F.col("__e").getField(c).alias(f"__{c}") for c in ("bucket", "term", "tf")])
+    begun = F.transform(
+        F.array_distinct("__bucket"),
+        lambda b: F.struct(b.alias("bucket"), F.array_position(F.col("__bucket"), b).cast("int").alias("at")),
+    )
+    parts = parts.withColumn("__begun", begun)
+
+    def pack(x, i):
+        n = F.coalesce(F.get(F.col("__begun"), i + 1)["at"], F.size("__bucket") + 1) - x["at"]
+        return F.struct(
+            x["bucket"].alias("bucket"),
+            F.array_join(F.slice("__term", x["at"], n), " ").alias("terms"),
+            F.slice("__tf", x["at"], n).alias("tfs"),
+        )
+
+    return parts.select(*others, F.transform("__begun", pack).alias(out))
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """The postings of packed ones."""
+    pairs = F.arrays_zip(F.split("terms", " ", -1).alias("term"), F.col("tfs").alias("tf"))
+    return packed.select("key", "length", F.inline(pairs).alias("term", "tf"), "bucket")
+
+
+def build_index(
+    df: DataFrame, key: str, text_columns: list[str], buckets: int = TERM_BUCKETS
+) -> PostingsIndex:
+    """Postings, document frequencies and corpus statistics of ``df``."""
+    lengths = documents(df, key, text_columns)
+    placed, counted = runs(lengths, "t")
+    # The array is worked out in the generator: of a column a filter on its size would be pushed below, and repeat it.
     postings = placed.select("key", "length", F.inline(counted)).select(
         "key", "length", "term", "tf", bucket_of(F.col("term"), buckets).alias("bucket")
     )
     terms = postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
-    stats = lengths.agg(
+    return PostingsIndex(postings, terms, index_stats(lengths, buckets))
+
+
+def index_stats(lengths: DataFrame, buckets: int) -> DataFrame:
+    """One row: documents, their mean length, and the number of term buckets."""
+    return lengths.agg(
         F.count("*").alias("n"), F.avg("length").alias("mean_length"), F.lit(buckets).alias("buckets")
     )
-    return PostingsIndex(postings, terms, stats)
 
 
 def write_index(index: PostingsIndex, folder: str, shares: int = BUCKET_SHARES) -> None:
@@ -126,9 +179,12 @@ def write_index(index: PostingsIndex, folder: str, shares: int = BUCKET_SHARES)
     common term a single task writes.
     """
     share = F.pmod(F.xxhash64("key"), F.lit(shares))
+    if index.packed is None:
+        dealt = index.postings.repartition("bucket", share)
+    else:
+        dealt = unpacked(index.packed.repartition("bucket", share)).unionByName(index.loose.repartition("bucket", share))
     (
-        index.postings.repartition("bucket", share)
-        .sortWithinPartitions("bucket", "term")
+        dealt.sortWithinPartitions("bucket", "term")
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
     )
     spark = index.postings.sparkSession

@@ -27,3 +27,14 @@ STEM_RULES = (
     (r"^(..+)e$", "$1"),
     (r"^(..*[^aeiou])y$", "$1i"),
 )
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+#: The rules in steps: how many there are, and the last two letters of the words that one of them can change.
+STEM_STEPS = (
+    (4, (*(f"{c}s" for c in _LETTERS), "ed")),
+    (1, ("ly", "ng", "ed")),
+    (2, ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")),
+    (2, ("al", "on", "or", "ve", "te", "at", "nt", "ss", "le", "ce", "ty", "ul")),
+    (2, tuple(f"{c}{end}" for c in _LETTERS for end in "ey")),
+)

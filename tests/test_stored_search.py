@@ -86,3 +86,43 @@ def test_cells_of_nothing(spark, tmp_path):
     assert cells.nearest_in_cells(held, "vec_id", "embedding", [1.0], 3).hits.count() == 0
     with pytest.raises(InvalidRequest):
         cells.nearest_in_cells(held, "vec_id", "embedding", [1.0], 0)
+
+
+def test_steps_of_stems_leave_out_no_rule(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from lexloom.rules.english import STEM_RULES, STEM_STEPS
+
+    assert sum(n for n, _ in STEM_STEPS) == len(STEM_RULES)
+    ends = ["", "s", "es", "ies", "ied", "sses", "xes", "ches", "zzes", "ing", "ingly", "ed", "edly", "ly", "ational", "ation", "ator", "ative", "ate", "at",
+            "ment", "ness", "able", "ible", "ance", "ence", "ity", "ful", "ive", "ion", "al", "e", "y", "bb", "nn", "tted", "rring", "us", "is", "ias"]
+    heads = ["pa", "plan", "agr", "stry", "bee", "mm", "xy", "oxa", "indemn", "ss"]
+    words = sorted({h + "".join(e) for h in heads for e in itertools.product(ends, ends)})
+    df = spark.createDataFrame([(w,) for w in words], "word string").where("word rlike '^[a-z]{4,}$'")
+    plain = F.col("word")
+    for pattern, left in STEM_RULES:
+        plain = F.regexp_replace(plain, pattern, left)
+    assert df.count() > 10_000
+    assert df.where(english.stem(F.col("word")) != plain).count() == 0
+
+
+def test_rows_under_one_key_add_up(spark, tmp_path):
+    rows = [(1, "party the"), (1, "parties party x"), (None, "party"), (None, "indemnity"), (2, None), (3, "the"), (4, "party zz zz")]
+    index = stored(spark, rows, str(tmp_path / "ix"), buckets=4)
+    got = sorted(((r.key, r.term, r.tf) for r in index.postings.collect()), key=str)
+    assert got == sorted([(1, "parti", 3), (1, "x", 1), (None, "parti", 1), (None, "indemn", 1), (4, "parti", 1), (4, "zz", 2)], key=str)
+    assert sorted(map(tuple, index.terms.select("term", "df").collect())) == [("indemn", 1), ("parti", 3), ("x", 1), ("zz", 1)]
+    stats = index.stats.first()
+    assert (stats.n, round(stats.mean_length, 6), stats.buckets) == (7, round(11 / 7, 6), 4)
+    assert [(r.key, r.score) for r in english.english_matches(index, "party", 1).collect()] == [(None, 1.0)]
+
+
+def test_postings_of_an_english_index_are_moved_packed(spark):
+    """Of a document, a row per bucket goes to where its bucket is written, not one per word."""
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300))
+    df = spark.createDataFrame([(i, text) for i in range(20)], "id bigint, text string")
+    index = english.english_index(df, "id", ["text"], buckets=4)
+    assert index.packed.count() == 20 * 4 and index.loose.count() == 0 and index.postings.count() == 20 * 300
+    assert sorted(map(tuple, ranking.unpacked(index.packed).collect())) == sorted(map(tuple, index.postings.collect()))
