@@ -33,7 +33,8 @@ def stem(word: Column) -> Column:
         # The word so far is an argument of an inner function, so it is worked out once.
         out = F.transform(F.array(out), step(STEM_RULES[done : done + n], endings))[0]
         done += n
-    return F.when(word.rlike("^[a-z]{4,}$"), out).otherwise(word)
+    ends = sorted({e for _, endings in STEM_STEPS for e in endings})
+    return F.when(F.substring(word, -2, 2).isin(*ends) & word.rlike("^[a-z]{4,}$"), out).otherwise(word)
 
 
 def vocabulary(words: DataFrame, term: str = "term") -> DataFrame:

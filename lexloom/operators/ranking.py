@@ -99,32 +99,26 @@ def documents(df: DataFrame, key: str, text_columns: list[str]) -> DataFrame:
 
 
 def runs(df: DataFrame, tokens: str) -> tuple[DataFrame, Column]:
-    """``df`` without a sorted array of tokens, and over it the array of ``struct<term, tf>`` of that.
+    """``df`` with a column beside a sorted array of tokens, and over both the array of ``struct<term, tf>`` of the tokens.
 
     A document is one row, so its terms are counted within it: in sorted order a term's
     count is the distance from its first place to the next term's.
     """
-    t = F.col(tokens)
-    first = F.filter(
-        F.transform(t, lambda term, i: F.struct(term.alias("term"), i.alias("i"))),
-        lambda x: (x["i"] == 0) | (x["term"] != F.get(t, F.greatest(x["i"] - 1, F.lit(0)))),
-    )
-    others = [c for c in df.columns if c != tokens]
-    placed = df.select(*others, F.size(tokens).alias("__size"), first.alias("__first"))
+    t, n = F.col(tokens), F.size(tokens)
+    places = F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
+    first = F.filter(places, lambda i: ~F.get(t, i).eqNullSafe(F.get(t, i - 1)))
+    placed = df.withColumn("__first", first)
     f = F.col("__first")
     counted = F.transform(
         f,
-        lambda x, i: F.struct(
-            x["term"].alias("term"),
-            (F.coalesce(F.get(f, i + 1)["i"], F.col("__size")) - x["i"]).cast("int").alias("tf"),
-        ),
+        lambda at, i: F.struct(F.get(t, at).alias("term"), (F.coalesce(F.get(f, i + 1), n) - at).cast("int").alias("tf")),
     )
     return placed, counted
 
 
 def with_packs(df: DataFrame, counted: Column, out: str, buckets: int) -> DataFrame:
-    """Add ``out``: array of ``struct<bucket, terms, tfs>``, one per bucket, of an array of ``struct<term, tf>``."""
-    others = [c for c in df.columns if not c.startswith("__")]
+    """(key, length, ``out``): array of ``struct<bucket, terms, tfs>``, one per bucket, of an array of ``struct<term, tf>``."""
+    others = ["key", "length"]
     entry = lambda x: F.struct(bucket_of(x["term"], buckets).alias("bucket"), x["term"].alias("term"), x["tf"].alias("tf"))
     placed = df.select(*others, F.sort_array(F.transform(counted, entry)).alias("__e"))
     parts = placed.select(*others, *[F.col("__e").getField(c).alias(f"__{c}") for c in ("bucket", "term", "tf")])
